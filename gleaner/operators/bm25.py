@@ -11,6 +11,7 @@ from gleaner.operators.requests import Batch, in_batches, passes_filter
 from gleaner.plans.store import Analyzer, Store
 
 MAX_LITERAL_TERMS = 5000
+_HITS = "request_id string, chunk_id string, fts_score double, rank int"
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,8 @@ def bm25_hits(
     filters drop rows without changing the score of the others. The shuffle carries matching
     postings only, on the even key (request, chunk).
     """
+    if not batch.rows:
+        return batch.empty(_HITS)
     corpus = store.corpus(analyzer)
     wanted = query_terms(batch.frame, analyzer)
     wanted = wanted.withColumn("bucket", store.bucket_of(F.col("term"), analyzer))

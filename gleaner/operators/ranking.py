@@ -33,11 +33,14 @@ def company_names(companies: DataFrame) -> DataFrame:
     )
 
 
-def label_hits(hits: DataFrame, store: Store, method: str) -> DataFrame:
+def label_hits(
+    hits: DataFrame, store: Store, method: str | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Attach text, section, document and company to ranked hits.
 
-    ``hits`` holds at most 100 rows per request of one bounded batch, so it is the broadcast
-    side; the passage scan reads only the directories the hits fall into.
+    ``hits`` holds at most 100 rows per request and method of one bounded batch, so it is the
+    broadcast side; the passage scan reads only the directories the hits fall into. Without
+    ``method`` the hits bring that column along; ``keep`` names further columns of theirs.
     """
     keyed = hits.withColumn("part", store.part_of(F.col("chunk_id")))
     labelled = (
@@ -45,9 +48,10 @@ def label_hits(hits: DataFrame, store: Store, method: str) -> DataFrame:
         .where("linked")
         .join(F.broadcast(keyed), ["part", "chunk_id"])
         .join(company_names(store.companies), "cik", "left")
-        .withColumn("method", F.lit(method))
     )
+    if method is not None:
+        labelled = labelled.withColumn("method", F.lit(method))
     for name in _SCORES:
         if name not in labelled.columns:
             labelled = labelled.withColumn(name, F.lit(None).cast("double"))
-    return labelled.select(*RESULT_COLUMNS)
+    return labelled.select(*RESULT_COLUMNS, *keep)

@@ -165,6 +165,9 @@ class Batch:
         kept = tuple(row for row in self.rows if keep(row))
         return _batch(self.frame.sparkSession, kept, self.frame.schema)
 
+    def empty(self, schema: str) -> DataFrame:
+        return self.frame.sparkSession.createDataFrame([], schema)
+
     def map(self, change: Callable[[Row], Mapping]) -> "Batch":
         changed = tuple(Row(**{**row.asDict(), **change(row)}) for row in self.rows)
         return _batch(self.frame.sparkSession, changed, self.frame.schema)

@@ -1,8 +1,8 @@
 """Exact cosine search: one pass over the stored vectors for a whole batch of requests.
 
 Spark's array functions evaluate a dot product element by element, so distances are computed as
-one matrix product per Arrow batch. Each batch hands on only the rows that can still be among a
-request's best, and the ranking window cuts every task to 100 rows per request before shuffling.
+one matrix product per Arrow batch. A task keeps the best rows of every request while it reads and
+hands on at most 100 per request, so that is all the ranking shuffle ever moves.
 """
 
 from __future__ import annotations
@@ -24,84 +24,96 @@ from gleaner.plans.store import Store
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _DIGITS = 9
+HITS = "request_id string, chunk_id string, distance double, vector_score double, rank int"
+_CELLS_PER_BLOCK = 4_000_000
+
+
+class _Best:
+    """The nearest chunks of one request so far, as ``(rounded distance, chunk id, distance)``."""
+
+    def __init__(self, limit: int, cutoff: float | None, allowed: frozenset[str] | None):
+        self.limit = limit
+        self.cutoff = np.inf if cutoff is None else cutoff
+        self.allowed = allowed
+        self.rows: list[tuple[float, str, float]] = []
+
+    @property
+    def bound(self) -> float:
+        """Rounded distances above this cannot enter any more."""
+        return self.rows[-1][0] if len(self.rows) == self.limit else np.inf
+
+    def offer(self, distance: np.ndarray, keys: np.ndarray, ids: list[str], passing: np.ndarray) -> None:
+        rows = np.flatnonzero(passing & (keys <= self.bound) & (distance <= self.cutoff))
+        if len(rows) > self.limit:
+            edge = np.partition(keys[rows], self.limit - 1)[self.limit - 1]
+            rows = rows[keys[rows] <= edge]
+        if len(rows):
+            offered = [(float(keys[r]), ids[r], float(distance[r])) for r in rows]
+            self.rows = sorted(self.rows + offered)[: self.limit]
 
 
 def _distances(embedding: pa.Array, norms: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Rows by requests; NaN where either side is a zero vector. ``queries`` are unit length."""
+    """Requests by rows; NaN where either side is a zero vector. ``queries`` are unit length."""
     matrix = embedding.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = matrix.reshape(len(embedding), queries.shape[1])
     with np.errstate(divide="ignore", invalid="ignore"):
-        return 1.0 - (matrix @ queries.T) / norms[:, None]
-
-
-def _best(distance: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """Row numbers of the ``limit`` least distances; ``order`` settles draws."""
-    rows = np.flatnonzero(~np.isnan(distance))
-    if len(rows) > limit:
-        key = np.round(distance[rows], _DIGITS)
-        edge = np.partition(key, limit - 1)[limit - 1]
-        inside, drawn = rows[key < edge], rows[key == edge]
-        rest = limit - len(inside)
-        if len(drawn) > rest:
-            drawn = drawn[np.argsort(order[drawn], kind="stable")[:rest]]
-        rows = np.concatenate([inside, drawn])
-    return rows
+        return 1.0 - (queries @ matrix.T) / norms
 
 
 def _block_search(ids, queries, limits, cutoffs, allowed):
-    """Task function: candidate ``(request_id, chunk_id, distance)`` rows of each Arrow batch."""
-    schema = pa.schema(
-        [("request_id", pa.string()), ("chunk_id", pa.string()), ("distance", pa.float64())]
-    )
+    """Task function: a task's nearest chunks per request, ``(request_id, chunk_id, distance)``."""
+    block = max(256, _CELLS_PER_BLOCK // max(1, len(ids)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [_Best(*given) for given in zip(limits, cutoffs, allowed)]
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            chunk_ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            order = np.empty(len(chunk_ids), dtype=np.int64)
-            order[np.argsort(chunk_ids)] = np.arange(len(chunk_ids))
-            ciks = np.array(batch.column("cik").to_pylist(), dtype=object)
-            norms = batch.column("norm").to_numpy(zero_copy_only=False)
-            distances = _distances(batch.column("embedding"), norms, queries)
-            for n, request_id in enumerate(ids):
-                distance = distances[:, n]
-                if allowed[n] is not None:
-                    inside = np.fromiter((c in allowed[n] for c in ciks), bool, len(ciks))
-                    distance = np.where(inside, distance, np.nan)
-                if cutoffs[n] is not None:
-                    distance = np.where(distance <= cutoffs[n], distance, np.nan)
-                rows = _best(distance, order, limits[n])
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([request_id] * len(rows), pa.string()),
-                            pa.array(chunk_ids[rows], pa.string()),
-                            pa.array(distance[rows], pa.float64()),
-                        ],
-                        schema=schema,
-                    )
+            for start in range(0, batch.num_rows, block):
+                piece = batch.slice(start, block)
+                norms = piece.column("norm").to_numpy(zero_copy_only=False)
+                distances = _distances(piece.column("embedding"), norms, queries)
+                keys = np.round(distances, _DIGITS)
+                bounds = np.array([b.bound for b in best])[:, None]
+                # NaN compares false, so directionless vectors never pass.
+                near = keys <= bounds
+                ciks, cik_of_row = np.unique(
+                    np.array([c or "" for c in piece.column("cik").to_pylist()]), return_inverse=True
+                )
+                chunk_ids = piece.column("chunk_id").to_pylist()
+                for n in np.flatnonzero(near.any(axis=1)):
+                    passing = near[n]
+                    if allowed[n] is not None:
+                        passing = passing & np.isin(ciks, list(allowed[n]))[cik_of_row]
+                    best[n].offer(distances[n], keys[n], chunk_ids, passing)
+        found = [(i, c, d) for i, b in zip(ids, best) for _, c, d in b.rows]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([row[0] for row in found], pa.string()),
+                pa.array([row[1] for row in found], pa.string()),
+                pa.array([row[2] for row in found], pa.float64()),
+            ],
+            names=["request_id", "chunk_id", "distance"],
+        )
 
     return search
 
 
-def unit_queries(batch: Batch, dimensions: int) -> tuple[Batch, np.ndarray]:
-    """Requests that have a vector, and those vectors scaled to length 1, in double precision."""
-    searchable = batch.where(lambda row: row["query_vec"] is not None)
-    wrong = [r["request_id"] for r in searchable.rows if len(r["query_vec"]) != dimensions]
+def unit_queries(batch: Batch, dimensions: int) -> np.ndarray:
+    """The query vectors scaled to length 1, in double precision."""
+    wrong = [r["request_id"] for r in batch.rows if len(r["query_vec"]) != dimensions]
     if wrong:
         raise ValueError(f"query vectors must have {dimensions} values; wrong in: {wrong[:10]}")
-    matrix = np.array([r["query_vec"] for r in searchable.rows], dtype=np.float64)
-    matrix = matrix.reshape(len(searchable.rows), dimensions)
+    matrix = np.array([r["query_vec"] for r in batch.rows], dtype=np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return searchable, matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
+        return matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
 
 
 def vector_hits(batch: Batch, store: Store) -> DataFrame:
     """Ranked ``(request_id, chunk_id, distance, vector_score, rank)``; filters act before the cut."""
+    batch = batch.where(lambda row: row["query_vec"] is not None)
+    if not batch.rows or not store.has_vectors:
+        return batch.empty(HITS)
     vectors = store.vectors()
-    dimensions = store.dimensions() or 0
-    batch, queries = unit_queries(batch, dimensions)
+    queries = unit_queries(batch, store.dimensions())
     ciks = batch.filtered_ciks
     if ciks is not None:
         vectors = vectors.where(F.col("cik").isin(ciks))

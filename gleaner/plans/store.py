@@ -219,6 +219,10 @@ class Store:
 
         return self._written("vectors", write)
 
+    @property
+    def has_vectors(self) -> bool:
+        return EMBEDDINGS in self.tables
+
     @property
     def companies(self) -> DataFrame:
         return self.tables[COMPANIES]
