@@ -73,12 +73,12 @@ def contains_ci(text: Column, needle: str) -> Column:
 
 
 def upper_list(csv: Column) -> Column:
-    return F.transform(plain_list(csv), F.upper)
+    return F.transform(plain_list(csv), lambda x: F.upper(x))
 
 
 def plain_list(csv: Column) -> Column:
     """Comma list to array: split, trim, drop empties."""
-    return F.filter(F.transform(F.split(csv, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def excerpt(text: Column, width: int = 300) -> Column:

@@ -241,8 +241,18 @@ def forward_rows(passages: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFr
     )
 
 
+def _exploded_terms(forward: DataFrame, *columns: str) -> DataFrame:
+    """One row per (chunk, term).
+
+    The outer form with a check behind it: for a plain ``explode`` the optimizer infers a filter on
+    the array's size and pushes it below the projections that build the array, which would be
+    worked out twice, and per element.
+    """
+    return forward.select(*columns, F.explode_outer("terms").alias("t")).where("t IS NOT NULL")
+
+
 def posting_rows(forward: DataFrame) -> DataFrame:
-    return forward.select("chunk_id", "cik", "dl", F.explode("terms").alias("t")).select(
+    return _exploded_terms(forward, "chunk_id", "cik", "dl").select(
         "t.term", "chunk_id", "t.tf", "dl", "cik"
     )
 
@@ -259,7 +269,7 @@ def corpus_stats(forward: DataFrame) -> DataFrame:
 def term_stats(forward: DataFrame) -> DataFrame:
     """Chunks per term and occurrences per term."""
     return (
-        forward.select(F.explode("terms").alias("t"))
+        _exploded_terms(forward)
         .groupBy("t.term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("t.tf").cast("long")).alias("cf"))
     )
