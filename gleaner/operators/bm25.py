@@ -5,12 +5,33 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    DoubleType,
+    IntegerType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from gleaner.operators.ranking import label_hits, settled, top_ranked
-from gleaner.operators.requests import Batch, in_batches, passes_filter
+from gleaner.operators.requests import Batch, in_batches, local_frame, passes_filter
 from gleaner.plans.store import Analyzer, Store
 
-MAX_LITERAL_TERMS = 5000
+# Query terms of a batch: up to which they are broadcast, and named in scan filters.
+MAX_BROADCAST_TERMS = 100_000
+MAX_NAMED_TERMS = 5_000
+
+_TERMS = StructType([StructField("r", IntegerType()), StructField("term", StringType())])
+_PARAMS = StructType(
+    [
+        StructField("r", IntegerType()),
+        StructField("request_id", StringType()),
+        StructField("limit", IntegerType()),
+        StructField("min_score", DoubleType()),
+        StructField("allowed_ciks", ArrayType(StringType())),
+    ]
+)
 _HITS = "request_id string, chunk_id string, fts_score double, rank int"
 
 
@@ -42,58 +63,64 @@ def bm25_hits(
     """Ranked ``(request_id, chunk_id, fts_score, rank)``.
 
     Any matching term scores. Frequencies and lengths are those of the whole corpus; company
-    filters drop rows without changing the score of the others. The shuffle carries matching
-    postings only, on the even key (request, chunk).
+    filters drop rows without changing the score of the others. Postings are bucketed by chunk,
+    so the sum per (request, chunk) needs no shuffle; what moves is each task's best 100 rows per
+    request.
     """
     if not batch.rows:
         return batch.empty(_HITS)
-    corpus = store.corpus(analyzer)
+    spark = batch.frame.sparkSession
+    # Requests are numbered: a number is cheaper than a name in millions of group keys.
+    numbers = {row["request_id"]: n for n, row in enumerate(batch.rows)}
+    params = F.broadcast(local_frame(spark, _numbered(batch), _PARAMS))
     wanted = query_terms(batch.frame, analyzer)
-    wanted = wanted.withColumn("bucket", store.bucket_of(F.col("term"), analyzer))
-    found = wanted.limit(MAX_LITERAL_TERMS + 1).collect()
-
+    found = wanted.limit(MAX_BROADCAST_TERMS + 1).collect()
     terms, postings = store.terms(analyzer), store.postings(analyzer)
-    if len(found) <= MAX_LITERAL_TERMS:
-        # Few terms: name them and their directories, so scans skip everything else.
-        named = F.col("term").isin(sorted({row["term"] for row in found}))
-        terms = terms.where(named)
-        postings = postings.where(F.col("bucket").isin(sorted({row["bucket"] for row in found})) & named)
-        wanted = F.broadcast(wanted.select("request_id", "term"))
-        weigh = F.broadcast
-    else:
-        wanted = wanted.select("request_id", "term")
-        weigh = _as_planned
-
-    weights = (
-        terms.join(wanted, "term")
-        .join(F.broadcast(batch.frame.select("request_id", "allowed_ciks")), "request_id")
-        .select(
-            "request_id",
-            "term",
-            "allowed_ciks",
-            model.idf(corpus["n_chunks"], F.col("df")).alias("idf"),
+    if len(found) <= MAX_BROADCAST_TERMS:
+        wanted = F.broadcast(
+            local_frame(spark, ({"r": numbers[r["request_id"]], "term": r["term"]} for r in found), _TERMS)
         )
+        named = sorted({row["term"] for row in found})
+        if len(named) <= MAX_NAMED_TERMS:
+            # Named terms reach the scans, which skip all other pages.
+            terms, postings = terms.where(_among(named)), postings.where(_among(named))
+    else:
+        wanted = wanted.join(params, "request_id").select("r", "term")
+    corpus = store.corpus(analyzer)
+    weights = terms.join(wanted, "term").select(
+        "r", "term", model.idf(corpus["n_chunks"], F.col("df")).alias("idf")
     )
+    if len(found) <= MAX_BROADCAST_TERMS:
+        weights = F.broadcast(weights)
     part = F.col("idf") * model.saturation(F.col("tf"), F.col("dl"), corpus["avgdl"] or 1.0)
-    scored = (
-        postings.join(weigh(weights), "term")
-        .where(passes_filter(F.col("allowed_ciks"), F.col("cik")))
-        .groupBy("request_id", "chunk_id")
-        .agg(F.sum(part).alias("fts_score"))
-    )
-    bounds = batch.frame.select("request_id", "limit", "min_score")
+    matches = postings.join(weights, "term")
+    if any(row["allowed_ciks"] is not None for row in batch.rows):
+        allowed = passes_filter(F.col("allowed_ciks"), F.col("cik"))
+        matches = matches.join(params, "r").where(allowed).select("r", "chunk_id", "idf", "tf", "dl")
+    scored = matches.groupBy("r", "chunk_id").agg(F.sum(part).alias("fts_score"))
     # A minimum of 0 means none was asked for.
     enough = F.coalesce(F.nullif("min_score", F.lit(0.0)) <= F.col("fts_score"), F.lit(True))
-    return top_ranked(
-        scored.join(F.broadcast(bounds), "request_id").where(enough),
+    best = top_ranked(
+        scored.join(params, "r").where(enough).select("r", "chunk_id", "fts_score", "limit"),
         settled(F.col("fts_score")).desc(),
         F.col("chunk_id"),
         limit=F.col("limit"),
-    ).select("request_id", "chunk_id", "fts_score", "rank")
+        by="r",
+    )
+    return best.drop("limit").join(params, "r").select("request_id", "chunk_id", "fts_score", "rank")
+
+
+def _among(terms: list[str]) -> Column:
+    """``term IN (...)`` as one parsed expression; building thousands of literals singly is slow."""
+    if not terms:
+        return F.lit(False)
+    quoted = (t.replace("\\", "\\\\").replace("'", "\\'") for t in terms)
+    return F.expr("term IN (" + ", ".join(f"'{t}'" for t in quoted) + ")")
 
 
-def _as_planned(frame: DataFrame) -> DataFrame:
-    return frame
+def _numbered(batch: Batch) -> list[dict]:
+    names = [field.name for field in _PARAMS if field.name != "r"]
+    return [{"r": n, **{name: row[name] for name in names}} for n, row in enumerate(batch.rows)]
 
 
 def bm25_search(

@@ -11,13 +11,15 @@ SCORE_DIGITS = 9
 _SCORES = ("fts_score", "vector_score", "distance", "combined_score")
 
 
-def top_ranked(hits: DataFrame, *order: Column, limit: Column) -> DataFrame:
+def top_ranked(
+    hits: DataFrame, *order: Column, limit: Column, by: str = "request_id"
+) -> DataFrame:
     """Number each request's rows in ``order`` and keep ``limit`` of them.
 
     The literal ceiling is redundant for the result; it lets the planner cut every task's rows
     to 100 per request before they are shuffled.
     """
-    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return hits.withColumn("rank", rank).where((F.col("rank") <= MAX_LIMIT) & (F.col("rank") <= limit))
 
 

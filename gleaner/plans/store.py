@@ -8,9 +8,10 @@ Four written tables, each arranged so that a search touches a small part of it:
 ``forward``   per chunk: length and ``(term, tf)`` pairs, counted inside the row. Read by the
               build steps below, so text is tokenised once.
 ``terms``     document and collection frequency per term, over all chunks.
-``postings``  ``(term, chunk_id, tf, dl, cik)``; a directory per term bucket, and inside it files
-              cut by ``(term, chunk_id)`` ranges. A term holding a third of all rows spreads over
-              as many files as its rows need, and a query reads only its own terms' row groups.
+``postings``  ``(term, chunk_id, tf, dl, cik)``, bucketed by chunk and sorted by term. All postings
+              of a chunk share a bucket, so scores are summed where the rows are read, without a
+              shuffle; a term holding a third of all rows spreads evenly over all buckets; and the
+              sort lets a scan skip the pages of terms the query does not name.
 
 ``vectors`` holds ``(chunk_id, cik, embedding, norm)`` cut by ``(cik, chunk_id)`` ranges, so
 company filters skip row groups and a dominant company still spreads over many files.
@@ -18,6 +19,7 @@ company filters skip row groups and a dominant company still spreads over many f
 
 from __future__ import annotations
 
+import hashlib
 import math
 import threading
 from collections.abc import Callable
@@ -32,10 +34,11 @@ from gleaner.schemas import CHUNKS, COMPANIES, DOCUMENTS, EMBEDDINGS, SECTIONS
 from gleaner.sources.tables import Tables
 
 _PASSAGES_PER_PART = 2_000_000
-_POSTINGS_PER_FILE = 8_000_000
+_POSTINGS_PER_BUCKET = 8_000_000
 _VECTORS_PER_FILE = 200_000
 _SMALLEST_SHARE = 1_000
 _MOST_DIRECTORIES = 4096
+_MOST_BUCKETS = 50_000
 
 
 @dataclass(frozen=True)
@@ -164,50 +167,48 @@ class Store:
 
         return self._written(f"terms_{analyzer.name}", write)
 
-    def bucket_count(self, analyzer: Analyzer = Analyzer()) -> int:
-        rows = self.corpus(analyzer)["n_postings"]
-        return min(_MOST_DIRECTORIES, shares(rows, _POSTINGS_PER_FILE, self._cores))
-
     def postings(self, analyzer: Analyzer = Analyzer()) -> DataFrame:
         """Postings of linked chunks; the frequencies in ``terms`` still count all chunks."""
-
-        def write(target: str) -> None:
-            rows = self.corpus(analyzer)["n_postings"]
-            files = shares(rows, _POSTINGS_PER_FILE, self._cores)
-            (
-                posting_rows(self.forward(analyzer).where("linked"))
-                .withColumn("bucket", self.bucket_of(F.col("term"), analyzer))
-                .repartitionByRange(files, "bucket", "term", "chunk_id")
-                .sortWithinPartitions("bucket", "term", "chunk_id")
-                .write.mode("overwrite")
-                .partitionBy("bucket")
-                .parquet(target)
-            )
-
-        return self._written(f"postings_{analyzer.name}", write)
-
-    def bucket_of(self, term: Column, analyzer: Analyzer = Analyzer()) -> Column:
-        return F.pmod(F.hash(term), F.lit(self.bucket_count(analyzer)))
+        name = f"postings_{analyzer.name}"
+        with self._lock:
+            if name not in self._built:
+                rows = self.corpus(analyzer)["n_postings"]
+                buckets = min(_MOST_BUCKETS, shares(rows, _POSTINGS_PER_BUCKET, self._cores))
+                table = f"gleaner_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}_{name}"
+                # The compact per-chunk arrays are shuffled, not the rows they unfold into.
+                placed = self.forward(analyzer).where("linked").repartition(buckets, "chunk_id")
+                (
+                    posting_rows(placed)
+                    .sortWithinPartitions("term", "chunk_id")
+                    .write.mode("overwrite")
+                    .bucketBy(buckets, "chunk_id")
+                    .sortBy("term", "chunk_id")
+                    .option("path", f"{self.path}/{name}")
+                    .saveAsTable(table)
+                )
+                self._built[name] = self.spark.table(table)
+            return self._built[name]
 
     # -- vectors ------------------------------------------------------------------------------
 
-    def dimensions(self) -> int | None:
-        """Vector length: that of the most vectors, the smaller one on a draw."""
+    def _vector_facts(self) -> Row:
+        """Vector length (that of the most vectors, the smaller one on a draw) and row count."""
 
         def compute() -> Row:
             sizes = self.tables[EMBEDDINGS].groupBy(F.size("embedding").alias("d")).count()
-            return sizes.orderBy(F.desc("count"), "d").limit(1).agg(F.max("d").alias("d")).first()
+            best = F.max_by("d", F.struct("count", -F.col("d")))
+            return sizes.agg(best.alias("dimensions"), F.sum("count").alias("n")).first()
+
+        return self._fact("vectors", compute)
 
-        return self._fact("dimensions", compute)["d"]
+    def dimensions(self) -> int | None:
+        return self._vector_facts()["dimensions"]
 
     def vectors(self) -> DataFrame:
         def write(target: str) -> None:
-            keys = self.passages().where("linked").select("chunk_id", "doc_id", "cik")
+            keys = self.passages().where("linked").select("chunk_id", "cik")
             usable, _ = split_vectors(self.tables[EMBEDDINGS], self.dimensions())
-            rows = self._fact(
-                "vectors", lambda: self.tables[EMBEDDINGS].agg(F.count(F.lit(1)).alias("n")).first()
-            )
-            files = shares(rows["n"], _VECTORS_PER_FILE, self._cores)
+            files = shares(self._vector_facts()["n"] or 0, _VECTORS_PER_FILE, self._cores)
             (
                 usable.join(keys, "chunk_id")
                 .select("chunk_id", "cik", "embedding", "norm")
