@@ -179,6 +179,9 @@ def _batch(spark: SparkSession, rows: tuple[Row, ...], schema) -> Batch:
 
 def resolved_batch(spark: SparkSession, rows: Iterable[Row], companies: DataFrame) -> Batch:
     """Resolve the filters of a bounded set of requests; the directory is read only for tickers."""
+    rows = list(rows)
+    if len({row["request_id"] for row in rows}) < len(rows):
+        raise ValueError("request ids must be unique")
     schema = StructType([*REQUEST_SCHEMA, StructField("allowed_ciks", ArrayType(StringType()))])
     rows = tuple(Row(**{**row.asDict(), "allowed_ciks": row["ciks"] or None}) for row in rows)
     if any(row["tickers"] for row in rows):

@@ -253,7 +253,8 @@ def legacy_results(results: DataFrame, documents: DataFrame) -> DataFrame:
         return F.nullif(F.col(name), F.lit(0.0))
 
     last = F.coalesce(truthy("combined_score"), truthy("fts_score"), F.col("vector_score"))
-    return results.join(documents.select("doc_id", "year"), "doc_id", "left").select(
+    # Hits come from known documents, so the inner join keeps all and may broadcast either side.
+    return results.join(documents.select("doc_id", "year"), "doc_id").select(
         "request_id",
         "rank",
         "doc_id",

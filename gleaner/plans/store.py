@@ -15,6 +15,10 @@ Four written tables, each arranged so that a search touches a small part of it:
 
 ``vectors`` holds ``(chunk_id, cik, embedding, norm)`` cut by ``(cik, chunk_id)`` ranges, so
 company filters skip row groups and a dominant company still spreads over many files.
+
+``hashes``    for approximate search: each vector once per hash table, in directories by a hash of
+              ``(table, bucket)`` and cut by ``(table, bucket, chunk_id)`` ranges, so a search opens
+              the directories of its own buckets and a crowded bucket spreads over many files.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from __future__ import annotations
 import hashlib
 import math
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from gleaner.functions.stem import stem_tokens
 from gleaner.functions.text import run_counts, run_starts, tokens
@@ -33,13 +39,24 @@ from gleaner.functions.vectors import norm
 from gleaner.schemas import CHUNKS, COMPANIES, DOCUMENTS, EMBEDDINGS, SECTIONS
 from gleaner.sources.tables import Tables
 
-_PASSAGES_PER_PART = 2_000_000
+_PASSAGES_PER_FILE = 2_000_000
+_KEYS_PER_TASK = 5_000_000
 _POSTINGS_PER_BUCKET = 8_000_000
 _VECTORS_PER_FILE = 200_000
 _SMALLEST_SHARE = 1_000
 _MOST_DIRECTORIES = 4096
 _MOST_BUCKETS = 50_000
 
+_POSTINGS_SCHEMA = StructType(
+    [
+        StructField("term", StringType()),
+        StructField("chunk_id", StringType()),
+        StructField("tf", IntegerType()),
+        StructField("dl", IntegerType()),
+        StructField("cik", StringType()),
+    ]
+)
+
 
 @dataclass(frozen=True)
 class Analyzer:
@@ -72,33 +89,68 @@ def shares(rows: int, target: int, cores: int) -> int:
     return max(1, by_size, by_cores)
 
 
+@contextmanager
+def shuffle_partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """At least this many shuffle partitions for the jobs inside; adaptive joins stay adaptive."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass
 class Store:
-    """Layouts under ``path`` for one set of logical tables, each written on first use."""
+    """Layouts under ``path`` for one set of logical tables, each written on first use.
+
+    With ``reuse`` complete layouts found under ``path`` are opened instead of written again, so one
+    job can build a store that later sessions search. The caller answers for the tables being the
+    ones it was built from.
+    """
 
     spark: SparkSession
     tables: Tables
     path: str
+    reuse: bool = False
     _built: dict[str, DataFrame] = field(default_factory=dict)
     _facts: dict[str, Row] = field(default_factory=dict)
     _lock: threading.RLock = field(default_factory=threading.RLock)
 
     @property
     def _cores(self) -> int:
-        return self.spark.sparkContext.defaultParallelism
+        """Cores of the session that wrote the store: the layouts were cut for that number."""
+        here = self.spark.sparkContext.defaultParallelism
+        return self._fact("cores", lambda: self.spark.range(1).select(F.lit(here).alias("n")))["n"]
+
+    def _complete(self, name: str) -> bool:
+        context = self.spark.sparkContext
+        marker = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return marker.getFileSystem(context._jsc.hadoopConfiguration()).exists(marker)
 
     def _written(self, name: str, write: Callable[[str], None]) -> DataFrame:
         with self._lock:
             if name not in self._built:
                 target = f"{self.path}/{name}"
-                write(target)
+                if not (self.reuse and self._complete(name)):
+                    write(target)
                 self._built[name] = self.spark.read.parquet(target)
             return self._built[name]
 
-    def _fact(self, name: str, compute: Callable[[], Row]) -> Row:
+    def _fact(self, name: str, compute: Callable[[], DataFrame]) -> Row:
+        """A one-row frame, computed once; kept beside the layouts of a store to be reused."""
         with self._lock:
             if name not in self._facts:
-                self._facts[name] = compute()
+                frame = (
+                    self._written(
+                        f"fact_{name}",
+                        lambda target: compute().write.mode("overwrite").parquet(target),
+                    )
+                    if self.reuse
+                    else compute()
+                )
+                self._facts[name] = frame.first()
             return self._facts[name]
 
     # -- passages -----------------------------------------------------------------------------
@@ -107,36 +159,44 @@ class Store:
         """Every chunk with its labels; ``linked`` marks those whose section and document exist."""
         return self._written("passages", self._write_passages)
 
+    def _chunk_count(self) -> int:
+        def compute() -> DataFrame:
+            return self.tables[CHUNKS].agg(F.count(F.lit(1)).alias("n"))
+
+        return self._fact("chunks", compute)["n"]
+
     def part_count(self) -> int:
-        rows = self._fact("chunks", lambda: self.tables[CHUNKS].agg(F.count(F.lit(1)).alias("n")).first())
-        return min(_MOST_DIRECTORIES, shares(rows["n"], _PASSAGES_PER_PART, self._cores))
+        return min(_MOST_DIRECTORIES, shares(self._chunk_count(), _PASSAGES_PER_FILE, self._cores))
 
     def part_of(self, chunk_id: Column) -> Column:
         return F.pmod(F.hash(chunk_id), F.lit(self.part_count()))
 
     def _write_passages(self, target: str) -> None:
+        rows, parts = self._chunk_count(), self.part_count()
+        # A multiple of the directory count: the shuffle hashes as ``part_of`` does, so every task
+        # then holds rows of one directory, however many tasks share it.
+        tasks = parts * math.ceil(shares(rows, _PASSAGES_PER_FILE, self._cores) / parts)
         chunks = self.tables[CHUNKS]
         sections = self.tables[SECTIONS].select("section_id", "section_name")
         documents = self.tables[DOCUMENTS].select("doc_id", "cik", "filename")
-        # Labels are resolved on key columns alone; the text then moves once, by chunk id, and
-        # arrives already grouped by the directory it is written to.
+        # Labels are resolved on key columns alone; the text then moves once, by chunk id.
         labels = (
             chunks.select("chunk_id", "section_id", "doc_id")
             .join(sections, "section_id")
             .join(documents, "doc_id")
             .select("chunk_id", "cik", "filename", "section_name", F.lit(True).alias("linked"))
         )
-        (
-            chunks.repartition(self.part_count(), "chunk_id")
-            .join(labels, "chunk_id", "left")
-            .withColumn("linked", F.coalesce("linked", F.lit(False)))
-            .withColumn("part", self.part_of(F.col("chunk_id")))
-            .sortWithinPartitions("part", "chunk_id")
-            .write.mode("overwrite")
-            .option("maxRecordsPerFile", _PASSAGES_PER_PART)
-            .partitionBy("part")
-            .parquet(target)
-        )
+        with shuffle_partitions(self.spark, shares(rows, _KEYS_PER_TASK, 1)):
+            (
+                chunks.repartition(tasks, "chunk_id")
+                .join(labels, "chunk_id", "left")
+                .withColumn("linked", F.coalesce("linked", F.lit(False)))
+                .withColumn("part", self.part_of(F.col("chunk_id")))
+                .sortWithinPartitions("part", "chunk_id")
+                .write.mode("overwrite")
+                .partitionBy("part")
+                .parquet(target)
+            )
 
     # -- terms and postings -------------------------------------------------------------------
 
@@ -152,18 +212,19 @@ class Store:
 
     def corpus(self, analyzer: Analyzer = Analyzer()) -> Row:
         """``n_chunks``, ``avgdl`` over chunks with tokens, ``n_postings``: one row."""
-        return self._fact(
-            f"corpus_{analyzer.name}", lambda: corpus_stats(self.forward(analyzer)).first()
-        )
+        return self._fact(f"corpus_{analyzer.name}", lambda: corpus_stats(self.forward(analyzer)))
 
     def terms(self, analyzer: Analyzer = Analyzer()) -> DataFrame:
         def write(target: str) -> None:
-            (
-                term_stats(self.forward(analyzer))
-                .sortWithinPartitions("term")
-                .write.mode("overwrite")
-                .parquet(target)
-            )
+            rows = self.corpus(analyzer)["n_postings"]
+            # Counts combine before the shuffle; the bound is for a vocabulary of unlike terms.
+            with shuffle_partitions(self.spark, shares(rows, 100 * _KEYS_PER_TASK, 1)):
+                (
+                    term_stats(self.forward(analyzer))
+                    .sortWithinPartitions("term")
+                    .write.mode("overwrite")
+                    .parquet(target)
+                )
 
         return self._written(f"terms_{analyzer.name}", write)
 
@@ -175,29 +236,44 @@ class Store:
                 rows = self.corpus(analyzer)["n_postings"]
                 buckets = min(_MOST_BUCKETS, shares(rows, _POSTINGS_PER_BUCKET, self._cores))
                 table = f"gleaner_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}_{name}"
-                # The compact per-chunk arrays are shuffled, not the rows they unfold into.
-                placed = self.forward(analyzer).where("linked").repartition(buckets, "chunk_id")
-                (
-                    posting_rows(placed)
-                    .sortWithinPartitions("term", "chunk_id")
-                    .write.mode("overwrite")
-                    .bucketBy(buckets, "chunk_id")
-                    .sortBy("term", "chunk_id")
-                    .option("path", f"{self.path}/{name}")
-                    .saveAsTable(table)
-                )
+                if self.reuse and self._complete(name):
+                    self._attach_postings(table, f"{self.path}/{name}", buckets)
+                else:
+                    self._write_postings(table, f"{self.path}/{name}", buckets, analyzer)
                 self._built[name] = self.spark.table(table)
             return self._built[name]
 
+    def _write_postings(self, table: str, target: str, buckets: int, analyzer: Analyzer) -> None:
+        # The compact per-chunk arrays are shuffled, not the rows they unfold into.
+        placed = self.forward(analyzer).where("linked").repartition(buckets, "chunk_id")
+        (
+            posting_rows(placed)
+            .sortWithinPartitions("term", "chunk_id")
+            .write.mode("overwrite")
+            .bucketBy(buckets, "chunk_id")
+            .sortBy("term", "chunk_id")
+            .option("path", target)
+            .saveAsTable(table)
+        )
+
+    def _attach_postings(self, table: str, target: str, buckets: int) -> None:
+        """Name files an earlier session wrote, with the bucketing they were written in."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _POSTINGS_SCHEMA)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+            f"CLUSTERED BY (chunk_id) SORTED BY (term, chunk_id) INTO {buckets} BUCKETS "
+            f"LOCATION '{target}'"
+        )
+
     # -- vectors ------------------------------------------------------------------------------
 
     def _vector_facts(self) -> Row:
         """Vector length (that of the most vectors, the smaller one on a draw) and row count."""
 
-        def compute() -> Row:
+        def compute() -> DataFrame:
             sizes = self.tables[EMBEDDINGS].groupBy(F.size("embedding").alias("d")).count()
             best = F.max_by("d", F.struct("count", -F.col("d")))
-            return sizes.agg(best.alias("dimensions"), F.sum("count").alias("n")).first()
+            return sizes.agg(best.alias("dimensions"), F.sum("count").alias("n"))
 
         return self._fact("vectors", compute)
 
@@ -209,20 +285,45 @@ class Store:
             keys = self.passages().where("linked").select("chunk_id", "cik")
             usable, _ = split_vectors(self.tables[EMBEDDINGS], self.dimensions())
             files = shares(self._vector_facts()["n"] or 0, _VECTORS_PER_FILE, self._cores)
+            with shuffle_partitions(self.spark, shares(self._chunk_count(), _KEYS_PER_TASK, 1)):
+                (
+                    usable.join(keys, "chunk_id")
+                    .select("chunk_id", "cik", "embedding", "norm")
+                    .repartitionByRange(files, "cik", "chunk_id")
+                    .sortWithinPartitions("cik", "chunk_id")
+                    .write.mode("overwrite")
+                    .parquet(target)
+                )
+
+        return self._written("vectors", write)
+
+    def hashes(self, name: str, buckets: Callable[[DataFrame], DataFrame], tables: int) -> DataFrame:
+        """Vectors by hash bucket; ``buckets`` adds an array column with one bucket per table."""
+
+        def write(target: str) -> None:
+            rows = tables * (self._vector_facts()["n"] or 0)
+            files = shares(rows, _VECTORS_PER_FILE, self._cores)
             (
-                usable.join(keys, "chunk_id")
-                .select("chunk_id", "cik", "embedding", "norm")
-                .repartitionByRange(files, "cik", "chunk_id")
-                .sortWithinPartitions("cik", "chunk_id")
+                buckets(self.vectors().where("norm > 0"))
+                .select("*", F.posexplode("buckets").alias("table", "bucket"))
+                .withColumn("slot", self.slot_of(tables))
+                .repartitionByRange(files, "slot", "table", "bucket", "chunk_id")
+                .sortWithinPartitions("slot", "table", "bucket", "chunk_id")
                 .write.mode("overwrite")
+                .partitionBy("slot")
                 .parquet(target)
             )
 
-        return self._written("vectors", write)
+        return self._written(f"hashes_{name}", write)
+
+    def slot_of(self, tables: int) -> Column:
+        rows = tables * (self._vector_facts()["n"] or 0)
+        slots = min(_MOST_DIRECTORIES, shares(rows, _VECTORS_PER_FILE, self._cores))
+        return F.pmod(F.hash("table", "bucket"), F.lit(slots))
 
     @property
     def has_vectors(self) -> bool:
-        return EMBEDDINGS in self.tables
+        return EMBEDDINGS in self.tables and (self.dimensions() or 0) > 0
 
     @property
     def companies(self) -> DataFrame:

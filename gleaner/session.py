@@ -28,11 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master without the setting gets a folder of its own; on a cluster a path on
     one machine would lose data with that machine, so the missing setting is an error there.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="gleaner-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+    return context.getCheckpointDir()

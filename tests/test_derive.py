@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from gleaner.operators.derive import chunk_rows, document_totals, first_chunk_id, section_rows, text_totals
-from gleaner.plans.store import shares, split_vectors
+from gleaner.plans import store as store_module
+from gleaner.plans.store import shares, shuffle_partitions, split_vectors
 from gleaner.schemas import EMBEDDINGS
-from pyspark.sql import functions as F
 
 TEXTS = [("a", "one\n\n  \ntwo\n"), ("b", "x" * 1700), ("c", ""), ("d", "é" * 801 + "\nend")]
 
@@ -46,6 +49,25 @@ def test_vectors_of_the_wrong_length_are_set_aside(tables):
     assert {r["chunk_id"]: r["norm"] for r in usable.collect()}["c3"] == 2.0
 
 
+def test_shuffle_partitions_are_restored(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    with pytest.raises(RuntimeError), shuffle_partitions(spark, 77):
+        assert spark.conf.get(name) == "77"
+        raise RuntimeError
+    assert spark.conf.get(name) == before
+
+
+def test_directories_hold_whole_tasks(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "_PASSAGES_PER_FILE", 2)
+    monkeypatch.setattr(store_module, "_MOST_DIRECTORIES", 2)
+    opened = store_module.Store(spark, tables, str(tmp_path))
+    rows = opened.passages().withColumn("file", F.col("_metadata.file_path"))
+    assert opened.part_count() == 2
+    assert rows.where(F.col("part") != opened.part_of(F.col("chunk_id"))).count() == 0
+    assert 2 < rows.select("file").distinct().count() <= 6
+
+
 def test_shares():
     assert shares(0, 100, 8) == 1
     assert shares(10_000, 100, 8) == 100

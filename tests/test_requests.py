@@ -95,6 +95,12 @@ def test_filters(spark, tables):
     }
 
 
+def test_request_ids_are_unique(spark, store):
+    twice = request_frame(spark, [{"request_id": "r", "query": "apple"}] * 2)
+    with pytest.raises(ValueError, match="unique"):
+        bm25_search(twice, store)
+
+
 def test_batches_give_the_same_rows(spark, store):
     asked = request_frame(
         spark, [{"request_id": f"r{n}", "query": q} for n, q in enumerate("apple banana cherry pie".split() * 3)]

@@ -24,6 +24,7 @@ from workload.sql import (
     FTS_SCORES,
     HYBRID_SCORES,
     LABEL_REQUESTS,
+    PAIRED_REQUESTS,
     fts_sql,
     hybrid_sql,
     request_cte,
@@ -162,6 +163,25 @@ def vector_label_means(spark, sf_dir):
     return vector_search(label_requests(spark, sf_dir), store(spark, sf_dir))
 
 
+def paired_requests(spark, sf_dir):
+    """Every benchmark passage with the vector of its number."""
+    vectors = raw(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("b"), "vec_id").alias("request_id"), F.col("embedding").alias("query_vec")
+    )
+    asked = benchmark_requests(spark, sf_dir).drop("query_vec")
+    return with_defaults(asked.join(vectors, "request_id", "left"))
+
+
+@query("vector_benchmark_passages", vector_sql(PAIRED_REQUESTS))
+def vector_benchmark_passages(spark, sf_dir):
+    return vector_search(paired_requests(spark, sf_dir), store(spark, sf_dir))
+
+
+@query("hybrid_benchmark_passages", hybrid_sql(PAIRED_REQUESTS))
+def hybrid_benchmark_passages(spark, sf_dir):
+    return hybrid_search(paired_requests(spark, sf_dir), store(spark, sf_dir))
+
+
 # -- presets --------------------------------------------------------------------------------------
 
 

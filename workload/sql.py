@@ -294,6 +294,11 @@ BENCHMARK_REQUESTS = """
            TRUE AS normalize_scores, CAST(NULL AS DOUBLE[]) AS query_vec
     FROM benchmark
 """
+# The same passages with the vector of their number.
+PAIRED_REQUESTS = BENCHMARK_REQUESTS.replace(
+    "CAST(NULL AS DOUBLE[]) AS query_vec",
+    "CAST((SELECT e.embedding FROM embeddings e WHERE e.vec_id = item_id) AS DOUBLE[]) AS query_vec",
+)
 LABEL_REQUESTS = """
     SELECT 'label' || label AS request_id, 'label ' || label AS query, 10 AS lim,
            CAST(NULL AS VARCHAR[]) AS tickers, CAST(NULL AS VARCHAR[]) AS ciks,
