@@ -1,10 +1,11 @@
-"""BM25 keyword search over the stored postings."""
+"""BM25 keyword search over the stored postings and term counts."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.types import (
     ArrayType,
     DoubleType,
@@ -14,6 +15,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from gleaner.functions.blocks import CANDIDATES, TermWeights, best_keyword_scores
 from gleaner.operators.ranking import label_hits, settled, top_ranked
 from gleaner.operators.requests import Batch, in_batches, local_frame, passes_filter
 from gleaner.plans.store import Analyzer, Store
@@ -21,6 +23,10 @@ from gleaner.plans.store import Analyzer, Store
 # Query terms of a batch: up to which they are broadcast, and named in scan filters.
 MAX_BROADCAST_TERMS = 100_000
 MAX_NAMED_TERMS = 5_000
+# Up to this many (request, term) pairs a batch always reads postings; beyond, it does so while it
+# matches at most this share of them.
+FEW_TERMS = 64
+DENSE_SHARE = 0.25
 
 _TERMS = StructType([StructField("r", IntegerType()), StructField("term", StringType())])
 _PARAMS = StructType(
@@ -43,6 +49,9 @@ class Bm25:
     def idf(self, n_chunks: int, df: Column) -> Column:
         return F.log10((F.lit(float(n_chunks)) - df + 0.5) / (df + 0.5) + 1.0)
 
+    def idf_value(self, n_chunks: int, df: int) -> float:
+        return math.log10((n_chunks - df + 0.5) / (df + 0.5) + 1.0)
+
     def saturation(self, tf: Column, dl: Column, avgdl: float) -> Column:
         length = F.lit(1.0 - self.b) + F.lit(self.b) * dl / F.lit(avgdl)
         return tf * F.lit(self.k1 + 1.0) / (tf + F.lit(self.k1) * length)
@@ -63,40 +72,61 @@ def bm25_hits(
     """Ranked ``(request_id, chunk_id, fts_score, rank)``.
 
     Any matching term scores. Frequencies and lengths are those of the whole corpus; company
-    filters drop rows without changing the score of the others. Postings are bucketed by chunk,
-    so the sum per (request, chunk) needs no shuffle; what moves is each task's best 100 rows per
-    request.
+    filters drop rows without changing the score of the others.
+
+    A batch that matches a small part of the postings reads that part (``_from_postings``). One
+    that would multiply the postings by its requests reads every chunk once instead
+    (``_from_chunks``). Both give the same rows.
     """
     if not batch.rows:
         return batch.empty(_HITS)
-    spark = batch.frame.sparkSession
-    # Requests are numbered: a number is cheaper than a name in millions of group keys.
     numbers = {row["request_id"]: n for n, row in enumerate(batch.rows)}
-    params = F.broadcast(local_frame(spark, _numbered(batch), _PARAMS))
+    spark = batch.frame.sparkSession
     wanted = query_terms(batch.frame, analyzer)
     found = wanted.limit(MAX_BROADCAST_TERMS + 1).collect()
-    terms, postings = store.terms(analyzer), store.postings(analyzer)
-    if len(found) <= MAX_BROADCAST_TERMS:
-        wanted = F.broadcast(
-            local_frame(spark, ({"r": numbers[r["request_id"]], "term": r["term"]} for r in found), _TERMS)
-        )
-        named = sorted({row["term"] for row in found})
-        if len(named) <= MAX_NAMED_TERMS:
-            # Named terms reach the scans, which skip all other pages.
-            terms, postings = terms.where(_among(named)), postings.where(_among(named))
-    else:
+    terms = store.terms(analyzer)
+    if len(found) > MAX_BROADCAST_TERMS:
+        params = F.broadcast(local_frame(spark, _numbered(batch), _PARAMS))
         wanted = wanted.join(params, "request_id").select("r", "term")
-    corpus = store.corpus(analyzer)
-    weights = terms.join(wanted, "term").select(
-        "r", "term", model.idf(corpus["n_chunks"], F.col("df")).alias("idf")
-    )
-    if len(found) <= MAX_BROADCAST_TERMS:
-        weights = F.broadcast(weights)
-    part = F.col("idf") * model.saturation(F.col("tf"), F.col("dl"), corpus["avgdl"] or 1.0)
+        return _from_postings(batch, store, analyzer, model, terms.join(wanted, "term"), None)
+
+    entries = ({"r": numbers[row["request_id"]], "term": row["term"]} for row in found)
+    wanted = F.broadcast(local_frame(spark, entries, _TERMS))
+    named = sorted({row["term"] for row in found})
+    if len(named) <= MAX_NAMED_TERMS:
+        # Named terms reach the scans, which skip all other pages.
+        terms = terms.where(_among(named))
+    weights = terms.join(wanted, "term").select("r", "term", "df")
+    if len(found) > FEW_TERMS:
+        rows = weights.collect()
+        if sum(row["df"] for row in rows) > DENSE_SHARE * store.corpus(analyzer)["n_postings"]:
+            return _from_chunks(batch, store, analyzer, model, rows)
+    return _from_postings(batch, store, analyzer, model, F.broadcast(weights), named)
+
+
+def _from_postings(
+    batch: Batch,
+    store: Store,
+    analyzer: Analyzer,
+    model: Bm25,
+    weights: DataFrame,
+    named: list[str] | None,
+) -> DataFrame:
+    """Join postings with query terms and sum per (request, chunk).
+
+    Postings are bucketed by chunk, so the sum needs no shuffle; what moves is each task's best
+    100 rows per request. Requests are numbered: a number is cheaper than a name in group keys.
+    """
+    corpus, postings = store.corpus(analyzer), store.postings(analyzer)
+    if named is not None and len(named) <= MAX_NAMED_TERMS:
+        postings = postings.where(_among(named))
+    params = F.broadcast(local_frame(batch.frame.sparkSession, _numbered(batch), _PARAMS))
     matches = postings.join(weights, "term")
     if any(row["allowed_ciks"] is not None for row in batch.rows):
-        allowed = passes_filter(F.col("allowed_ciks"), F.col("cik"))
-        matches = matches.join(params, "r").where(allowed).select("r", "chunk_id", "idf", "tf", "dl")
+        matches = matches.join(params, "r").where(passes_filter(F.col("allowed_ciks"), F.col("cik")))
+    part = model.idf(corpus["n_chunks"], F.col("df")) * model.saturation(
+        F.col("tf"), F.col("dl"), corpus["avgdl"] or 1.0
+    )
     scored = matches.groupBy("r", "chunk_id").agg(F.sum(part).alias("fts_score"))
     # A minimum of 0 means none was asked for.
     enough = F.coalesce(F.nullif("min_score", F.lit(0.0)) <= F.col("fts_score"), F.lit(True))
@@ -110,6 +140,34 @@ def bm25_hits(
     return best.drop("limit").join(params, "r").select("request_id", "chunk_id", "fts_score", "rank")
 
 
+def _from_chunks(
+    batch: Batch, store: Store, analyzer: Analyzer, model: Bm25, weights: list[Row]
+) -> DataFrame:
+    """Score every chunk for all requests where its terms are read."""
+    corpus = store.corpus(analyzer)
+    entries = [
+        (row["term"], row["r"], model.idf_value(corpus["n_chunks"], row["df"])) for row in weights
+    ]
+    cutoffs = [-row["min_score"] if row["min_score"] else None for row in batch.rows]
+    search = best_keyword_scores(
+        *batch.columns(cutoffs), TermWeights(entries), model.k1, model.b, corpus["avgdl"] or 1.0
+    )
+    chunks = store.forward(analyzer).where("linked")
+    ciks = batch.filtered_ciks
+    if ciks is not None:
+        chunks = chunks.where(F.col("cik").isin(ciks))
+    candidates = chunks.select(
+        "chunk_id", "cik", "dl", F.col("terms.term").alias("term"), F.col("terms.tf").alias("tf")
+    ).mapInArrow(search, CANDIDATES)
+    limits = F.broadcast(batch.frame.select("request_id", "limit"))
+    return top_ranked(
+        candidates.join(limits, "request_id").withColumn("fts_score", -F.col("cost")),
+        settled(F.col("fts_score")).desc(),
+        F.col("chunk_id"),
+        limit=F.col("limit"),
+    ).select("request_id", "chunk_id", "fts_score", "rank")
+
+
 def _among(terms: list[str]) -> Column:
     """``term IN (...)`` as one parsed expression; building thousands of literals singly is slow."""
     if not terms:

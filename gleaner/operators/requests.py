@@ -161,6 +161,11 @@ class Batch:
             return None
         return sorted({cik for row in self.rows for cik in row["allowed_ciks"] if cik is not None})
 
+    def columns(self, cutoffs: list) -> tuple[list, list, list, list]:
+        """Ids, limits, cutoffs and allowed ciks, as the task functions take them."""
+        allowed = [None if r["allowed_ciks"] is None else frozenset(r["allowed_ciks"]) for r in self.rows]
+        return [r["request_id"] for r in self.rows], [r["limit"] for r in self.rows], cutoffs, allowed
+
     def where(self, keep: Callable[[Row], bool]) -> "Batch":
         kept = tuple(row for row in self.rows if keep(row))
         return _batch(self.frame.sparkSession, kept, self.frame.schema)

@@ -7,94 +7,16 @@ hands on at most 100 per request, so that is all the ranking shuffle ever moves.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from gleaner.functions.blocks import CANDIDATES, nearest_vectors
 from gleaner.functions.vectors import similarity
 from gleaner.operators.ranking import label_hits, settled, top_ranked
 from gleaner.operators.requests import Batch, in_batches
 from gleaner.plans.store import Store
 
-# Executors need not have this package installed: ship the functions themselves.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_DIGITS = 9
 HITS = "request_id string, chunk_id string, distance double, vector_score double, rank int"
-_CELLS_PER_BLOCK = 4_000_000
-
-
-class _Best:
-    """The nearest chunks of one request so far, as ``(rounded distance, chunk id, distance)``."""
-
-    def __init__(self, limit: int, cutoff: float | None, allowed: frozenset[str] | None):
-        self.limit = limit
-        self.cutoff = np.inf if cutoff is None else cutoff
-        self.allowed = allowed
-        self.rows: list[tuple[float, str, float]] = []
-
-    @property
-    def bound(self) -> float:
-        """Rounded distances above this cannot enter any more."""
-        return self.rows[-1][0] if len(self.rows) == self.limit else np.inf
-
-    def offer(self, distance: np.ndarray, keys: np.ndarray, ids: list[str], passing: np.ndarray) -> None:
-        rows = np.flatnonzero(passing & (keys <= self.bound) & (distance <= self.cutoff))
-        if len(rows) > self.limit:
-            edge = np.partition(keys[rows], self.limit - 1)[self.limit - 1]
-            rows = rows[keys[rows] <= edge]
-        if len(rows):
-            offered = [(float(keys[r]), ids[r], float(distance[r])) for r in rows]
-            self.rows = sorted(self.rows + offered)[: self.limit]
-
-
-def _distances(embedding: pa.Array, norms: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Requests by rows; NaN where either side is a zero vector. ``queries`` are unit length."""
-    matrix = embedding.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = matrix.reshape(len(embedding), queries.shape[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 1.0 - (queries @ matrix.T) / norms
-
-
-def _block_search(ids, queries, limits, cutoffs, allowed):
-    """Task function: a task's nearest chunks per request, ``(request_id, chunk_id, distance)``."""
-    block = max(256, _CELLS_PER_BLOCK // max(1, len(ids)))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [_Best(*given) for given in zip(limits, cutoffs, allowed)]
-        for batch in batches:
-            for start in range(0, batch.num_rows, block):
-                piece = batch.slice(start, block)
-                norms = piece.column("norm").to_numpy(zero_copy_only=False)
-                distances = _distances(piece.column("embedding"), norms, queries)
-                keys = np.round(distances, _DIGITS)
-                bounds = np.array([b.bound for b in best])[:, None]
-                # NaN compares false, so directionless vectors never pass.
-                near = keys <= bounds
-                ciks, cik_of_row = np.unique(
-                    np.array([c or "" for c in piece.column("cik").to_pylist()]), return_inverse=True
-                )
-                chunk_ids = piece.column("chunk_id").to_pylist()
-                for n in np.flatnonzero(near.any(axis=1)):
-                    passing = near[n]
-                    if allowed[n] is not None:
-                        passing = passing & np.isin(ciks, list(allowed[n]))[cik_of_row]
-                    best[n].offer(distances[n], keys[n], chunk_ids, passing)
-        found = [(i, c, d) for i, b in zip(ids, best) for _, c, d in b.rows]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([row[0] for row in found], pa.string()),
-                pa.array([row[1] for row in found], pa.string()),
-                pa.array([row[2] for row in found], pa.float64()),
-            ],
-            names=["request_id", "chunk_id", "distance"],
-        )
-
-    return search
 
 
 def unit_queries(batch: Batch, dimensions: int) -> np.ndarray:
@@ -117,16 +39,13 @@ def vector_hits(batch: Batch, store: Store) -> DataFrame:
     ciks = batch.filtered_ciks
     if ciks is not None:
         vectors = vectors.where(F.col("cik").isin(ciks))
-    search = _block_search(
-        [row["request_id"] for row in batch.rows],
-        queries,
-        [row["limit"] for row in batch.rows],
-        # A maximum of 0 means none was asked for.
-        [row["max_distance"] or None for row in batch.rows],
-        [None if r["allowed_ciks"] is None else frozenset(r["allowed_ciks"]) for r in batch.rows],
-    )
-    candidates = vectors.select("chunk_id", "cik", "embedding", "norm").mapInArrow(
-        search, "request_id string, chunk_id string, distance double"
+    # A maximum of 0 means none was asked for.
+    cutoffs = [row["max_distance"] or None for row in batch.rows]
+    search = nearest_vectors(*batch.columns(cutoffs), queries)
+    candidates = (
+        vectors.select("chunk_id", "cik", "embedding", "norm")
+        .mapInArrow(search, CANDIDATES)
+        .withColumnRenamed("cost", "distance")
     )
     return (
         top_ranked(

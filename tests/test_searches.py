@@ -146,6 +146,31 @@ def test_many_terms_take_the_unnamed_path(spark, store, monkeypatch):
         assert {k: ids(v) for k, v in found.items()} == {k: ids(v) for k, v in expected.items()}
 
 
+def test_both_ways_of_scoring_agree(spark, store, monkeypatch):
+    from gleaner.operators import bm25
+
+    rows = [
+        {"request_id": "plain", "query": "apple banana pie zebra"},
+        {"request_id": "tickers", "query": "apple cherry", "tickers": ["bbb", "ccc"]},
+        {"request_id": "ciks", "query": "cherry banana", "ciks": ["1"], "limit": 1},
+        {"request_id": "least", "query": "apple pie", "min_score": 0.3},
+        {"request_id": "zero", "query": "creme", "min_score": 0.0},
+        {"request_id": "nowhere", "query": "apple", "tickers": ["nope"]},
+    ]
+
+    def rounded(found):
+        return {k: [(r["chunk_id"], round(r["fts_score"], 9)) for r in v] for k, v in found.items()}
+
+    expected = rounded(run(spark, bm25_search, store, rows))
+    monkeypatch.setattr(bm25, "FEW_TERMS", 0)
+    monkeypatch.setattr(bm25, "DENSE_SHARE", 0.0)
+    assert rounded(run(spark, bm25_search, store, rows)) == expected
+    filtered = [row for row in rows if row.get("tickers") or row.get("ciks")]
+    assert rounded(run(spark, bm25_search, store, filtered)) == {
+        k: v for k, v in expected.items() if k in ("tickers", "ciks")
+    }
+
+
 def test_blank_preset_finds_nothing(store):
     assert simple_search(store, "   ").count() == 0
 
@@ -217,7 +242,7 @@ def test_wrong_query_length_is_an_error(spark, store):
 
 
 def test_task_function_keeps_the_best_over_batches():
-    from gleaner.operators.vector import _block_search
+    from gleaner.functions.blocks import nearest_vectors
     import pyarrow as pa
 
     rng = np.random.default_rng(5)
@@ -240,7 +265,7 @@ def test_task_function_keeps_the_best_over_batches():
         )
         for i in range(0, 500, 70)
     ]
-    search = _block_search(["a", "b", "c"], queries, [10, 40, 100], [None, 0.5, None], [None, None, frozenset("1")])
+    search = nearest_vectors(["a", "b", "c"], [10, 40, 100], [None, 0.5, None], [None, None, frozenset("1")], queries)
     found = {}
     for batch in search(iter(batches)):
         for row in batch.to_pylist():
