@@ -90,17 +90,22 @@ def shares(rows: int, target: int, cores: int) -> int:
 
 
 @contextmanager
-def shuffle_partitions(spark: SparkSession, least: int) -> Iterator[None]:
-    """At least this many shuffle partitions for the jobs inside; adaptive joins stay adaptive."""
-    name = "spark.sql.shuffle.partitions"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs inside."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(max(int(before), least)))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def shuffle_partitions(spark: SparkSession, least: int):
+    """At least this many shuffle partitions for the jobs inside; adaptive joins stay adaptive."""
+    name = "spark.sql.shuffle.partitions"
+    return setting(spark, name, str(max(int(spark.conf.get(name)), least)))
+
+
 @dataclass
 class Store:
     """Layouts under ``path`` for one set of logical tables, each written on first use.
@@ -246,24 +251,24 @@ class Store:
     def _write_postings(self, table: str, target: str, buckets: int, analyzer: Analyzer) -> None:
         # The compact per-chunk arrays are shuffled, not the rows they unfold into.
         placed = self.forward(analyzer).where("linked").repartition(buckets, "chunk_id")
-        # The writer sorts by bucket number first, a constant here that hides the terms from its
-        # prefix comparison; rows already in order make that pass a linear one.
-        (
-            posting_rows(placed)
-            .sortWithinPartitions("term", "chunk_id")
-            .write.mode("overwrite")
-            .bucketBy(buckets, "chunk_id")
-            .sortBy("term", "chunk_id")
-            .option("path", target)
-            .saveAsTable(table)
-        )
+        # A task holds one bucket, in term order already. With a writer per open bucket Spark keeps
+        # that order; by default it would sort again, by bucket number first.
+        with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "1"):
+            (
+                posting_rows(placed)
+                .sortWithinPartitions("term", "chunk_id")
+                .write.mode("overwrite")
+                .bucketBy(buckets, "chunk_id")
+                .option("path", target)
+                .saveAsTable(table)
+            )
 
     def _attach_postings(self, table: str, target: str, buckets: int) -> None:
         """Name files an earlier session wrote, with the bucketing they were written in."""
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _POSTINGS_SCHEMA)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
-            f"CLUSTERED BY (chunk_id) SORTED BY (term, chunk_id) INTO {buckets} BUCKETS "
+            f"CLUSTERED BY (chunk_id) INTO {buckets} BUCKETS "
             f"LOCATION '{target}'"
         )
 
