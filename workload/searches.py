@@ -453,41 +453,30 @@ def responses_written_and_read(spark, sf_dir):
 
 @query("ticker_map_json", with_ctes("SELECT index_key, cik, ticker, title FROM t_tickers", "t_tickers"))
 def ticker_map_json(spark, sf_dir):
-    """The ticker table as an index-keyed JSON map, written and read back."""
+    """The ticker table as index-keyed JSON maps, one per line, written and read back."""
     path = f"{work_folder(spark, sf_dir)}/ticker_map"
-    entry = F.to_json(
-        F.struct(F.col("cik").alias("cik_str"), "ticker", "title"), {"ignoreNullFields": "false"}
+    entry = F.struct(F.col("cik").alias("cik_str"), "ticker", "title")
+    lines = store(spark, sf_dir).tables[TICKERS].select(
+        F.to_json(F.create_map(F.col("index_key").cast("string"), entry)).alias("value")
     )
-    # One JSON object per file is the published form, and a directory this size is one file.
-    document = (
-        store(spark, sf_dir)
-        .tables[TICKERS]
-        .agg(F.array_join(F.collect_list(F.concat(F.lit('"'), "index_key", F.lit('":'), entry)), ",").alias("body"))
-        .select(F.concat(F.lit("{"), "body", F.lit("}")).alias("value"))
-    )
-    document.write.mode("overwrite").text(path)
-    return read_ticker_map(spark, path)
+    lines.write.mode("overwrite").text(path)
+    return read_ticker_map(spark, path, whole_files=False)
 
 
 @query(
     "exchange_table_json", with_ctes("SELECT cik, name, ticker, exchange FROM t_companies", "t_companies")
 )
 def exchange_table_json(spark, sf_dir):
-    """The company directory as fields and data rows, one JSON object per exchange."""
+    """The company directory as fields and data rows, one JSON object per line."""
     path = f"{work_folder(spark, sf_dir)}/exchange_table"
     fields = ["cik", "name", "ticker", "exchange"]
     row = F.array(*[F.col(c).cast("string") for c in fields])
-    (
-        store(spark, sf_dir)
-        .tables[COMPANIES]
-        .groupBy("exchange")
-        .agg(F.collect_list(row).alias("data"))
-        .select(F.array(*[F.lit(c) for c in fields]).alias("fields"), "data")
-        .select(F.to_json(F.struct("fields", "data")).alias("value"))
-        .write.mode("overwrite")
-        .text(path)
+    lines = store(spark, sf_dir).tables[COMPANIES].select(
+        F.to_json(
+            F.struct(F.array(*[F.lit(c) for c in fields]).alias("fields"), F.array(row).alias("data"))
+        ).alias("value")
     )
-    # Read by lines: each line is one object of the published form.
+    lines.write.mode("overwrite").text(path)
     return read_exchange_table(spark, path, whole_files=False)
 
 
