@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CHUNK_ROWS, DOCUMENT_ROWS, VECTOR_ROWS
+from conftest import CHUNK_ROWS, DOCUMENT_ROWS
 from gleaner.operators.bm25 import bm25_hits, bm25_search
 from gleaner.operators.hybrid import fuse, hybrid_search, normalized_weights
 from gleaner.operators.lsh import vector_search_lsh
