@@ -29,7 +29,7 @@ def _fold_table() -> np.ndarray:
 _FOLD = _fold_table()
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for the next chunk."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
@@ -84,7 +84,7 @@ def _segment(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends[inner - 1] = inside[inner - 1]
     start = np.flatnonzero(begins)
     stop = np.flatnonzero(ends)
-    power, inverse = _powers(n)
+    power, inverse = powers(n)
     total = np.cumsum(value * power[:n], dtype=np.uint64)
     h = total[stop]
     h[1:] -= total[start[1:] - 1]

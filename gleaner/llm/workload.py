@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm import sql
+from gleaner.llm import html_text, language, language_model, sql
 from gleaner.llm.decontaminate import contaminated
 from gleaner.llm.mixing import mix
+from gleaner.llm.near_lines import dedup_lines
+from gleaner.llm.near_sets import ngram_jaccard
 from gleaner.llm.quality import cascade, text_measures
+from gleaner.llm.shared import scratch
+from gleaner.llm.tokens import TokenizerFile, count_tokens
 from gleaner.llm.url_lists import host_of, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +73,31 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "fetched_on", "host", "blocked", "n_lists", "lists", "since")
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether a document is kept from training; a null id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(5, 1).alias("held_out"), "text")
+    model = language_model.fit(docs.where(~F.col("held_out")))
+    return language_model.score(docs, model)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = TokenizerFile.read(public_tokenizers.path("word_bpe_49k.json"), drops_space=True)
+    # a cache of its own for each call: the figures are those of a cold cache
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, tokenizer, scratch(spark, "token-cache"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(4, 2))
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -97,16 +127,43 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_jaccard(docs, 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed")
+    )
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages.select("page_id", "url", "html"), html_text.fit(pages))
+    return found.select("page_id", "url", "text", "n_chars", "n_blocks", "n_main")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
 QUERIES: dict[str, Query] = {
-    "op1_url_filters": op1_url_filters,
-    "op5_benchmark_decontamination": op5_benchmark_decontamination,
-    "op6_quality_rules": op6_quality_rules,
-    "op10_source_mixing": op10_source_mixing,
+    build.__name__: build
+    for build in (
+        op1_url_filters,
+        op2_lm_scoring,
+        op3_token_counts,
+        op4_language_id,
+        op5_benchmark_decontamination,
+        op6_quality_rules,
+        op7_ngram_jaccard,
+        op8_line_dedup,
+        op9_html_extraction,
+        op10_source_mixing,
+    )
 }
 
 ORACLES: dict[str, str] = {
