@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.llm.decontaminate import contaminated
 from gleaner.llm.mixing import mix
+from gleaner.llm.near_lines import dedup_lines
+from gleaner.llm.near_sets import one_of_each
 from gleaner.llm.quality import cascade
-from gleaner.llm.shared import written
+from gleaner.llm.shared import WORD, written
 from gleaner.llm.workload import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,6 +22,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return cascade(docs).where("kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; one that nothing but repeated lines made up goes.
+
+    ``n_chars``, where there is one, follows the text.
+    """
+    found = dedup_lines(docs)
+    found = found.where((F.size("removed") == 0) | F.col("text").rlike(WORD))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by five-word shingles at a similarity of 0.8."""
+    return one_of_each(docs, n=5, percent=80)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -33,6 +53,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
     ("benchmark decontamination", benchmark_decontamination),
     ("source mixing", source_mixing),
 ]

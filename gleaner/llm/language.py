@@ -96,11 +96,14 @@ def parser_table(transitions: np.ndarray) -> np.ndarray:
     """One step of the greedy parse as a flat table.
 
     Entry ``state * SYMBOLS + symbol`` holds ``next * SYMBOLS * 2 + new``: ``new`` is 1 if the phrase
-    could not go on and the symbol begins the next one.
+    cannot go on and the symbol begins the next one. One state is added, last, in which a text
+    starts and to which a symbol returns that the sample lacks: there every symbol begins a phrase.
     """
-    restart = np.maximum(transitions[0], 0)
-    new = transitions < 0
-    target = np.where(new, restart[None, :], transitions)
+    start = len(transitions)
+    first = np.where(transitions[0] < 0, start, transitions[0])
+    whole = np.concatenate([transitions, np.full((1, SYMBOLS), -1, np.int32)])
+    new = whole < 0
+    target = np.where(new, first[None, :], whole)
     return (target.astype(np.int32) * (SYMBOLS * 2) + new).astype(np.int32).ravel()
 
 
@@ -181,8 +184,8 @@ def phrase_counts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarra
         alive = np.searchsorted(-long, -np.arange(1, long[0] + 1), "right")
         columns = [data[start[:n] + j] for j, n in enumerate(alive.tolist())]
         for k, step in enumerate(steps):
-            state = np.zeros(len(lanes), np.int32)
-            phrases = np.ones(len(lanes), np.int32)
+            state = np.full(len(lanes), len(step) - SYMBOLS, np.int32)
+            phrases = np.zeros(len(lanes), np.int32)
             for symbols in columns:
                 n = len(symbols)
                 move = step[state[:n] + symbols]
