@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 9
 _CELLS_PER_BLOCK = 1_000_000
-CANDIDATES = "request_id string, chunk_id string, cost double"
+CANDIDATES = "request_id string, chunk_id string, cost double, key double"
 
 TaskFunction = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -38,13 +38,15 @@ class Best:
         """Rounded costs above this cannot enter any more."""
         return self.rows[-1][0] if len(self.rows) == self.limit else np.inf
 
-    def offer(self, cost: np.ndarray, keys: np.ndarray, ids: Sequence[str], passing: np.ndarray) -> None:
+    def offer(self, cost: np.ndarray, keys: np.ndarray, ids: pa.Array, passing: np.ndarray) -> None:
         rows = np.flatnonzero(passing & (keys <= self.bound) & (cost <= self.cutoff))
         if len(rows) > self.limit:
             edge = np.partition(keys[rows], self.limit - 1)[self.limit - 1]
             rows = rows[keys[rows] <= edge]
         if len(rows):
-            offered = [(float(keys[r]), ids[r], float(cost[r])) for r in rows]
+            # only the names of rows that may stay become Python objects
+            names = ids.take(pa.array(rows)).to_pylist()
+            offered = list(zip(keys[rows].tolist(), names, cost[rows].tolist()))
             self.rows = sorted(self.rows + offered)[: self.limit]
 
 
@@ -55,13 +57,18 @@ class BestOfAll:
         self.ids = ids
         self.best = [Best(*given) for given in zip(limits, cutoffs, allowed)]
 
-    def offer(self, costs: np.ndarray, passing: np.ndarray, chunk_ids: Sequence[str], ciks: Sequence) -> None:
-        """``costs`` and ``passing`` hold a line per request and a column per chunk."""
+    def offer(self, costs: np.ndarray, passing: np.ndarray, chunk_ids: pa.Array, ciks: pa.Array) -> None:
+        """``costs`` and ``passing`` hold a line per request and a column per chunk.
+
+        The rounded cost goes on as ``key``: it is rounded here and nowhere else, so rows that draw
+        are ranked after the tasks as they were in them.
+        """
         keys = np.round(costs, DIGITS)
         bounds = np.array([b.bound for b in self.best])[:, None]
         # NaN compares false, so directionless vectors never pass.
         near = passing & (keys <= bounds)
-        names, name_of_row = np.unique(np.array([c or "" for c in ciks]), return_inverse=True)
+        coded = pc.fill_null(ciks, "").dictionary_encode()
+        names, name_of_row = np.array(coded.dictionary.to_pylist()), coded.indices.to_numpy()
         for n in np.flatnonzero(near.any(axis=1)):
             open_rows, best = near[n], self.best[n]
             if best.allowed is not None:
@@ -69,14 +76,15 @@ class BestOfAll:
             best.offer(costs[n], keys[n], chunk_ids, open_rows)
 
     def batch(self) -> pa.RecordBatch:
-        found = [(i, c, d) for i, b in zip(self.ids, self.best) for _, c, d in b.rows]
+        found = [(i, c, d, k) for i, b in zip(self.ids, self.best) for k, c, d in b.rows]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([row[0] for row in found], pa.string()),
                 pa.array([row[1] for row in found], pa.string()),
                 pa.array([row[2] for row in found], pa.float64()),
+                pa.array([row[3] for row in found], pa.float64()),
             ],
-            names=["request_id", "chunk_id", "cost"],
+            names=["request_id", "chunk_id", "cost", "key"],
         )
 
 
@@ -102,8 +110,8 @@ def nearest_vectors(ids, limits, cutoffs, allowed, queries: np.ndarray) -> TaskF
             best.offer(
                 distances,
                 ~np.isnan(distances),
-                piece.column("chunk_id").to_pylist(),
-                piece.column("cik").to_pylist(),
+                piece.column("chunk_id"),
+                piece.column("cik"),
             )
         yield best.batch()
 
@@ -150,9 +158,7 @@ def best_keyword_scores(
             scores = np.bincount(
                 cell, weights=weights.idf[entry] * part[source], minlength=len(ids) * rows
             ).reshape(len(ids), rows)
-            best.offer(
-                -scores, scores > 0, piece.column("chunk_id").to_pylist(), piece.column("cik").to_pylist()
-            )
+            best.offer(-scores, scores > 0, piece.column("chunk_id"), piece.column("cik"))
         yield best.batch()
 
     return search

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.types import (
@@ -20,8 +22,9 @@ from gleaner.operators.ranking import label_hits, settled, top_ranked
 from gleaner.operators.requests import Batch, in_batches, local_frame, passes_filter
 from gleaner.plans.store import Analyzer, Store
 
-# Query terms of a batch: up to which they are broadcast, and named in scan filters.
-MAX_BROADCAST_TERMS = 100_000
+# (request, term) pairs that are held and broadcast at once; a batch with more is cut by requests.
+TERMS_AT_ONCE = 100_000
+# Terms named in a scan filter. More of them read every chunk once instead: see ``bm25_hits``.
 MAX_NAMED_TERMS = 5_000
 # Up to this many (request, term) pairs a batch always reads postings; beyond, it does so while it
 # matches at most this share of them.
@@ -75,31 +78,53 @@ def bm25_hits(
     filters drop rows without changing the score of the others.
 
     A batch that matches a small part of the postings reads that part (``_from_postings``). One
-    that would multiply the postings by its requests reads every chunk once instead
-    (``_from_chunks``). Both give the same rows.
+    that would multiply the postings by its requests, or names too many terms for a scan filter,
+    reads every chunk once instead (``_from_chunks``). Both give the same rows. Terms are held for
+    at most ``TERMS_AT_ONCE`` pairs, or one request; the postings are never shuffled.
     """
     if not batch.rows:
         return batch.empty(_HITS)
-    numbers = {row["request_id"]: n for n, row in enumerate(batch.rows)}
-    spark = batch.frame.sparkSession
     wanted = query_terms(batch.frame, analyzer)
-    found = wanted.limit(MAX_BROADCAST_TERMS + 1).collect()
-    terms = store.terms(analyzer)
-    if len(found) > MAX_BROADCAST_TERMS:
-        params = F.broadcast(local_frame(spark, _numbered(batch), _PARAMS))
-        wanted = wanted.join(params, "request_id").select("r", "term")
-        return _from_postings(batch, store, analyzer, model, terms.join(wanted, "term"), None)
+    found = wanted.limit(TERMS_AT_ONCE + 1).collect()
+    if len(found) <= TERMS_AT_ONCE:
+        return _hits_of(batch, found, store, analyzer, model)
+    counts = {row["request_id"]: row["count"] for row in wanted.groupBy("request_id").count().collect()}
+    parts = [
+        _hits_of(part, query_terms(part.frame, analyzer).collect(), store, analyzer, model)
+        for part in _cut(batch, counts)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _cut(batch: Batch, counts: dict[str, int]) -> Iterator[Batch]:
+    """Requests in turn, as many as stay within ``TERMS_AT_ONCE`` pairs, and one at least."""
+    ids: set[str] = set()
+    pairs = 0
+    for row in batch.rows:
+        count = counts.get(row["request_id"], 0)
+        if ids and pairs + count > TERMS_AT_ONCE:
+            yield batch.where(lambda r, ids=frozenset(ids): r["request_id"] in ids)
+            ids, pairs = set(), 0
+        ids.add(row["request_id"])
+        pairs += count
+    yield batch.where(lambda r: r["request_id"] in ids)
 
+
+def _hits_of(
+    batch: Batch, found: list[Row], store: Store, analyzer: Analyzer, model: Bm25
+) -> DataFrame:
+    numbers = {row["request_id"]: n for n, row in enumerate(batch.rows)}
     entries = ({"r": numbers[row["request_id"]], "term": row["term"]} for row in found)
-    wanted = F.broadcast(local_frame(spark, entries, _TERMS))
+    wanted = F.broadcast(local_frame(batch.frame.sparkSession, entries, _TERMS))
     named = sorted({row["term"] for row in found})
-    if len(named) <= MAX_NAMED_TERMS:
-        # Named terms reach the scans, which skip all other pages.
-        terms = terms.where(_among(named))
+    few = len(named) <= MAX_NAMED_TERMS
+    # Named terms reach the scans, which skip all other pages.
+    terms = store.terms(analyzer).where(_among(named)) if few else store.terms(analyzer)
     weights = terms.join(wanted, "term").select("r", "term", "df")
     if len(found) > FEW_TERMS:
         rows = weights.collect()
-        if sum(row["df"] for row in rows) > DENSE_SHARE * store.corpus(analyzer)["n_postings"]:
+        matched = sum(row["df"] for row in rows)
+        if not few or matched > DENSE_SHARE * store.corpus(analyzer)["n_postings"]:
             return _from_chunks(batch, store, analyzer, model, rows)
     return _from_postings(batch, store, analyzer, model, F.broadcast(weights), named)
 
@@ -110,16 +135,14 @@ def _from_postings(
     analyzer: Analyzer,
     model: Bm25,
     weights: DataFrame,
-    named: list[str] | None,
+    named: list[str],
 ) -> DataFrame:
     """Join postings with query terms and sum per (request, chunk).
 
     Postings are bucketed by chunk, so the sum needs no shuffle; what moves is each task's best
     100 rows per request. Requests are numbered: a number is cheaper than a name in group keys.
     """
-    corpus, postings = store.corpus(analyzer), store.postings(analyzer)
-    if named is not None and len(named) <= MAX_NAMED_TERMS:
-        postings = postings.where(_among(named))
+    corpus, postings = store.corpus(analyzer), store.postings(analyzer).where(_among(named))
     params = F.broadcast(local_frame(batch.frame.sparkSession, _numbered(batch), _PARAMS))
     matches = postings.join(weights, "term")
     if any(row["allowed_ciks"] is not None for row in batch.rows):
@@ -162,7 +185,7 @@ def _from_chunks(
     limits = F.broadcast(batch.frame.select("request_id", "limit"))
     return top_ranked(
         candidates.join(limits, "request_id").withColumn("fts_score", -F.col("cost")),
-        settled(F.col("fts_score")).desc(),
+        F.col("key"),
         F.col("chunk_id"),
         limit=F.col("limit"),
     ).select("request_id", "chunk_id", "fts_score", "rank")

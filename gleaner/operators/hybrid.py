@@ -70,16 +70,12 @@ def fuse(fts: DataFrame, vector: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def hybrid_candidates(
-    batch: Batch,
-    store: Store,
-    analyzer: Analyzer = Analyzer(),
-    model: Bm25 = Bm25(),
-) -> DataFrame:
-    """Both branches, each fetching three times the limit (100 at most), fused.
+def branches(
+    batch: Batch, store: Store, analyzer: Analyzer, model: Bm25, every: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Keyword and vector hits at three times the limit (100 at most), without thresholds.
 
-    A branch only sees requests that give it weight; thresholds of the single searches do not
-    apply here.
+    A branch only sees requests that give it weight, unless ``every`` one is asked for.
     """
     wide = batch.map(
         lambda row: {
@@ -88,19 +84,14 @@ def hybrid_candidates(
             "max_distance": None,
         }
     )
-    fts = bm25_hits(wide.where(lambda row: row["fts_weight"] > 0), store, analyzer, model)
-    vector = vector_hits(wide.where(lambda row: row["semantic_weight"] > 0), store)
-    return fuse(fts, vector, normalized_weights(batch.frame))
+    return (
+        bm25_hits(wide.where(lambda row: every or row["fts_weight"] > 0), store, analyzer, model),
+        vector_hits(wide.where(lambda row: every or row["semantic_weight"] > 0), store),
+    )
 
 
-def hybrid_hits(
-    batch: Batch,
-    store: Store,
-    analyzer: Analyzer = Analyzer(),
-    model: Bm25 = Bm25(),
-) -> DataFrame:
+def fused_hits(candidates: DataFrame, batch: Batch) -> DataFrame:
     """Best fused chunks; on a draw keyword hits keep their order ahead of vector-only ones."""
-    candidates = hybrid_candidates(batch, store, analyzer, model)
     return top_ranked(
         candidates.join(F.broadcast(batch.frame.select("request_id", "limit")), "request_id"),
         settled(F.col("combined_score")).desc(),
@@ -111,10 +102,15 @@ def hybrid_hits(
     )
 
 
-def _refuse_weightless(batch: Batch) -> None:
-    bad = [r["request_id"] for r in batch.rows if r["fts_weight"] + r["semantic_weight"] <= 0]
-    if bad:
-        raise ValueError(f"combined weights must be greater than 0; not so in: {bad[:10]}")
+def hybrid_hits(
+    batch: Batch,
+    store: Store,
+    analyzer: Analyzer = Analyzer(),
+    model: Bm25 = Bm25(),
+) -> DataFrame:
+    """Both branches, fused, and the best of them."""
+    fts, vector = branches(batch, store, analyzer, model)
+    return fused_hits(fuse(fts, vector, normalized_weights(batch.frame)), batch)
 
 
 def hybrid_search(
@@ -126,7 +122,6 @@ def hybrid_search(
     """Combined search for a request table; see ``RESULT_COLUMNS``."""
 
     def search(batch: Batch) -> DataFrame:
-        _refuse_weightless(batch)
         return label_hits(hybrid_hits(batch, store, analyzer, model), store, "hybrid")
 
-    return in_batches(requests, store.companies, search)
+    return in_batches(requests, store.companies, search, hybrid=True)

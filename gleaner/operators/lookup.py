@@ -169,7 +169,8 @@ def ticker_drilldown(
 def companies_with_documents(tables: Tables) -> DataFrame:
     """Listings of companies that own at least one document."""
     key = F.col("cik").cast("string")
-    owners = tables[DOCUMENTS].select(F.col("cik").alias("owner"))
+    # One row per owner before the shuffle, however many documents it has.
+    owners = tables[DOCUMENTS].select(F.col("cik").alias("owner")).distinct()
     return tables[COMPANIES].join(owners, key == F.col("owner"), "left_semi")
 
 
@@ -208,4 +209,5 @@ def longest_sections(tables: Tables, limit: int = 10) -> DataFrame:
 
 
 def browse(table: DataFrame, limit: int = 10) -> DataFrame:
-    return table.limit(limit)
+    """A table's first rows in the order of its columns, nulls first."""
+    return table.orderBy(*table.columns).limit(limit)

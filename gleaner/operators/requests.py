@@ -5,10 +5,13 @@ limits) is small by contract, so a batch of at most ``MAX_BATCH`` rows is read i
 turns into literal filters and broadcast sides of known size. A larger table is cut into batches
 by a hash of the request id, and every batch's result is appended to a table in the shared folder:
 the driver holds one batch at a time, whatever the number of requests.
+
+Every search begins with ``in_batches``, which refuses requests out of bounds before anything runs.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
@@ -30,6 +33,8 @@ from gleaner.session import shared_folder
 
 MAX_BATCH = 1000
 
+_NAMED_FAULTS = 10  # requests an error names
+
 _DEFAULTS = {
     "limit": DEFAULT_LIMIT,
     "include_distances": True,
@@ -77,17 +82,20 @@ def clamp_limit(requests: DataFrame, least: int = 1, most: int = 50) -> DataFram
     return requests.withColumn("limit", clamped.cast("int"))
 
 
-def split_requests(
-    requests: DataFrame, *, hybrid: bool = False, needs_vector: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Requests within bounds, and the others with a ``reason`` naming every broken bound."""
+def is_blank(text: Column) -> Column:
+    """Nothing but white space, or nothing."""
+    return ~F.coalesce(text.rlike(r"\S"), F.lit(False))
+
+
+def _bounds(hybrid: bool) -> dict[str, Column]:
+    """Broken bounds by the reason that names them."""
 
     def outside(name: str, low: float, high: float | None) -> Column:
         value = F.col(name)
-        return (value < low) | (value > high) if high is not None else value < low
+        broken = (value < low) | (value > high) if high is not None else value < low
+        return F.coalesce(broken, F.lit(False))
 
     checks = {
-        "blank query": F.trim(F.coalesce("query", F.lit(""))) == "",
         "limit out of bounds": outside("limit", 1, MAX_LIMIT),
         "min_score out of bounds": outside("min_score", 0, None),
         "max_distance out of bounds": outside("max_distance", 0, MAX_DISTANCE),
@@ -98,6 +106,14 @@ def split_requests(
         checks["combined weights must be greater than 0"] = (
             F.col("fts_weight") + F.col("semantic_weight") <= 0
         )
+    return checks
+
+
+def split_requests(
+    requests: DataFrame, *, hybrid: bool = False, needs_vector: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Requests within bounds, and the others with a ``reason`` naming every broken bound."""
+    checks = {"blank query": is_blank(F.col("query"))} | _bounds(hybrid)
     if needs_vector:
         checks["no query vector"] = F.col("query_vec").isNull()
     reasons = F.array_compact(F.array(*[F.when(bad, F.lit(text)) for text, bad in checks.items()]))
@@ -108,6 +124,20 @@ def split_requests(
     )
 
 
+def refuse_faulty(requests: DataFrame, *, hybrid: bool = False) -> None:
+    """Raise if a request breaks a bound, or if its id is missing or not its own."""
+    checks = {"no request id": F.col("request_id").isNull()} | _bounds(hybrid)
+    reasons = F.array_compact(F.array(*[F.when(bad, F.lit(text)) for text, bad in checks.items()]))
+    judged = requests.select("request_id", F.concat_ws("; ", reasons).alias("reason"))
+    shared = requests.groupBy("request_id").count().where("count > 1 AND request_id IS NOT NULL")
+    faults = judged.where("reason <> ''").unionByName(
+        shared.select("request_id", F.lit("request id not unique").alias("reason"))
+    )
+    found = faults.limit(_NAMED_FAULTS).collect()
+    if found:
+        raise ValueError("; ".join(sorted(f"{r['request_id']}: {r['reason']}" for r in found)))
+
+
 def is_given(values: Column) -> Column:
     """An empty list means no filter, like a missing one."""
     return F.coalesce(F.size(values) > 0, F.lit(False))
@@ -185,8 +215,6 @@ def _batch(spark: SparkSession, rows: tuple[Row, ...], schema) -> Batch:
 def resolved_batch(spark: SparkSession, rows: Iterable[Row], companies: DataFrame) -> Batch:
     """Resolve the filters of a bounded set of requests; the directory is read only for tickers."""
     rows = list(rows)
-    if len({row["request_id"] for row in rows}) < len(rows):
-        raise ValueError("request ids must be unique")
     schema = StructType([*REQUEST_SCHEMA, StructField("allowed_ciks", ArrayType(StringType()))])
     rows = tuple(Row(**{**row.asDict(), "allowed_ciks": row["ciks"] or None}) for row in rows)
     if any(row["tickers"] for row in rows):
@@ -200,20 +228,31 @@ def in_batches(
     companies: DataFrame,
     search: Callable[[Batch], DataFrame],
     max_batch: int = MAX_BATCH,
+    hybrid: bool = False,
 ) -> DataFrame:
-    """Run ``search`` over all requests, batch by batch when there are more than ``max_batch``."""
+    """Run ``search`` over all requests, batch by batch when there are more than ``max_batch``.
+
+    Faulty requests are refused first; with ``hybrid`` a sum of weights of 0 is a fault, too.
+    """
     spark = requests.sparkSession
     rows = requests.limit(max_batch + 1).collect()
     if len(rows) <= max_batch:
+        refuse_faulty(local_frame(spark, (row.asDict() for row in rows), requests.schema), hybrid=hybrid)
         return search(resolved_batch(spark, rows, companies))
 
     folder = f"{shared_folder(spark)}/gleaner/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     requests.write.parquet(f"{folder}/requests")
     requests = spark.read.parquet(f"{folder}/requests")
+    refuse_faulty(requests, hybrid=hybrid)
     slices = _slice_count(requests, max_batch)
-    numbered = requests.withColumn("slice", _slice(slices))
+    # Written by slice, so that each slice is read from its own directory.
+    cut = requests.withColumn("slice", _slice(slices)).repartition("slice")
+    cut.write.partitionBy("slice").parquet(f"{folder}/slices")
+    numbered = spark.read.schema(cut.schema).parquet(f"{folder}/slices")
     for n in range(slices):
-        rows = numbered.where(F.col("slice") == n).drop("slice").limit(max_batch).collect()
+        rows = numbered.where(F.col("slice") == n).drop("slice").collect()
+        if not rows:
+            continue
         found = search(resolved_batch(spark, rows, companies))
         found.write.mode("append").parquet(f"{folder}/hits")
     return spark.read.parquet(f"{folder}/hits")
@@ -224,10 +263,14 @@ def _slice(slices: int) -> Column:
 
 
 def _slice_count(requests: DataFrame, max_batch: int) -> int:
-    """A slice count for which no slice exceeds the batch size, checked by counting."""
-    slices = 2 * requests.count() // max_batch + 1
+    """A slice count for which no slice exceeds the batch size, checked by counting.
+
+    Ids are unique here, so slices shrink with their number. The first count leaves a slice about a
+    tenth empty.
+    """
+    slices = max(2, math.ceil(1.1 * requests.count() / max_batch))
     while True:
         largest = requests.groupBy(_slice(slices).alias("s")).count().agg(F.max("count")).first()[0]
         if largest <= max_batch:
             return slices
-        slices *= 2
+        slices = math.ceil(slices * max(1.05, largest / max_batch))

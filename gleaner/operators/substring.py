@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from gleaner.functions.text import contains_ci
@@ -12,8 +10,8 @@ from gleaner.operators.ranking import label_hits, top_ranked
 from gleaner.operators.requests import Batch, in_batches
 from gleaner.plans.store import Analyzer, Store
 
-# Patterns tested per row in one projection; further requests get a projection of their own.
-_PATTERNS_PER_SCAN = 100
+# Patterns of one array expression; a batch's arrays are all part of one projection.
+_PATTERNS_PER_ARRAY = 100
 
 
 def _matches(row: Row) -> Column:
@@ -33,20 +31,16 @@ def substring_hits(batch: Batch, store: Store) -> DataFrame:
     ciks = batch.filtered_ciks
     if ciks is not None:
         passages = passages.where(F.col("cik").isin(ciks))
-    groups = [
-        batch.rows[start : start + _PATTERNS_PER_SCAN]
-        for start in range(0, len(batch.rows), _PATTERNS_PER_SCAN)
-    ]
-
-    def scan(rows: tuple[Row, ...]) -> DataFrame:
-        matched = F.array_compact(F.array(*[_matches(row) for row in rows]))
-        return passages.select("chunk_id", F.explode(matched).alias("hit")).select(
-            F.col("hit.id").alias("request_id"), "chunk_id", F.col("hit.k").alias("limit")
-        )
-
-    if not groups:
+    if not batch.rows:
         return batch.empty("request_id string, chunk_id string, rank int")
-    found = reduce(DataFrame.unionByName, [scan(rows) for rows in groups])
+    matched = [
+        F.array_compact(F.array(*[_matches(row) for row in batch.rows[start : start + _PATTERNS_PER_ARRAY]]))
+        for start in range(0, len(batch.rows), _PATTERNS_PER_ARRAY)
+    ]
+    every = matched[0] if len(matched) == 1 else F.concat(*matched)
+    found = passages.select("chunk_id", F.explode(every).alias("hit")).select(
+        F.col("hit.id").alias("request_id"), "chunk_id", F.col("hit.k").alias("limit")
+    )
     return top_ranked(found, F.col("chunk_id"), limit=F.col("limit")).drop("limit")
 
 
@@ -63,11 +57,14 @@ def text_search(
     requests: DataFrame,
     store: Store,
     *,
-    indexed: bool = True,
+    indexed: bool | None = None,
     analyzer: Analyzer = Analyzer(),
     model: Bm25 = Bm25(),
 ) -> DataFrame:
-    """Keyword search where postings may be used, else substring search."""
-    if indexed:
+    """Keyword search where the store has complete postings, else substring search.
+
+    ``indexed`` overrules what the store says.
+    """
+    if store.has_postings(analyzer) if indexed is None else indexed:
         return bm25_search(requests, store, analyzer, model)
     return substring_search(requests, store)

@@ -5,16 +5,16 @@ Every group here is one request's hits, at most 100 rows by the request contract
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.functions.text import excerpt
-from gleaner.operators.bm25 import Bm25, bm25_hits
-from gleaner.operators.hybrid import hybrid_hits, normalized_weights
+from gleaner.operators.bm25 import Bm25
+from gleaner.operators.hybrid import branches, fuse, fused_hits, hybrid_hits, hybrid_search, normalized_weights
 from gleaner.operators.ranking import label_hits
 from gleaner.operators.requests import Batch, in_batches
-from gleaner.operators.vector import vector_hits
 from gleaner.plans.store import Analyzer, Store
 from gleaner.schemas import RESULT_COLUMNS
 
@@ -170,7 +170,21 @@ def explain_hybrid(
             )
         )
 
-    return in_batches(requests, store.companies, explain)
+    return in_batches(requests, store.companies, explain, hybrid=True)
+
+
+def explained_envelope(
+    requests: DataFrame,
+    store: Store,
+    analyzer: Analyzer = Analyzer(),
+    model: Bm25 = Bm25(),
+) -> DataFrame:
+    """The response of a hybrid search with its explanation in it: one row per request."""
+    results = hybrid_search(requests, store, analyzer, model)
+    explained = explain_hybrid(requests, store, analyzer, model)
+    fields = [c for c in explained.columns if c != "request_id"]
+    explained = explained.select("request_id", F.struct(*fields).alias("explanation"))
+    return envelope(results, requests, "hybrid").join(explained, "request_id", "left")
 
 
 def _steps(returned: Column) -> list[Column]:
@@ -196,6 +210,13 @@ def envelope(results: DataFrame, requests: DataFrame, method: str) -> DataFrame:
     )
 
 
+def written_hits(store: Store, hits: DataFrame) -> DataFrame:
+    """Ranked hits, bounded by their batch, kept in the shared folder to be read more than once."""
+    path = f"{store.path}/hits/{uuid.uuid4().hex}"
+    hits.write.parquet(path)
+    return store.spark.read.schema(hits.schema).parquet(path)
+
+
 def compare_methods(
     requests: DataFrame,
     store: Store,
@@ -215,19 +236,36 @@ def compare_methods(
         return hits.select("request_id", "chunk_id", "rank", F.lit(method).alias("method"), *columns)
 
     def search(batch: Batch) -> DataFrame:
+        # Each branch runs once, at the wider limit and without thresholds; a single search's hits
+        # are its first rows within the threshold, a fusion's those of requests that weigh it.
         request_chunk = Window.partitionBy("request_id", "chunk_id")
+        fts, vector = (written_hits(store, hits) for hits in branches(batch, store, analyzer, model, every=True))
+        asked = F.broadcast(
+            batch.frame.select("request_id", "limit", "min_score", "max_distance", "fts_weight", "semantic_weight")
+        )
+
+        def single(hits: DataFrame, enough: Column) -> DataFrame:
+            kept = hits.join(asked, "request_id").where(F.coalesce(enough, F.lit(True)))
+            return kept.where(F.col("rank") <= F.col("limit"))
+
+        def weighed(hits: DataFrame, weight: str) -> DataFrame:
+            return hits.join(asked.where(F.col(weight) > 0).select("request_id"), "request_id", "left_semi")
+
+        fused = fuse(
+            weighed(fts, "fts_weight"), weighed(vector, "semantic_weight"), normalized_weights(batch.frame)
+        )
         hits = reduce(
             DataFrame.unionByName,
             [
-                tagged(bm25_hits(batch, store, analyzer, model), "fts"),
-                tagged(vector_hits(batch, store), "vector"),
-                tagged(hybrid_hits(batch, store, analyzer, model), "hybrid"),
+                tagged(single(fts, F.nullif("min_score", F.lit(0.0)) <= F.col("fts_score")), "fts"),
+                tagged(single(vector, F.nullif("max_distance", F.lit(0.0)) >= F.col("distance")), "vector"),
+                tagged(fused_hits(fused, batch), "hybrid"),
             ],
         )
         counted = hits.withColumn("found_by", F.count(F.lit(1)).over(request_chunk))
         return label_hits(counted, store, keep=("found_by",))
 
-    return in_batches(requests, store.companies, search)
+    return in_batches(requests, store.companies, search, hybrid=True)
 
 
 def result_cards(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleaner.functions.blocks import CANDIDATES, nearest_vectors
 from gleaner.functions.vectors import similarity
-from gleaner.operators.ranking import label_hits, settled, top_ranked
+from gleaner.operators.ranking import label_hits, top_ranked
 from gleaner.operators.requests import Batch, in_batches
 from gleaner.plans.store import Store
 
@@ -50,7 +50,7 @@ def vector_hits(batch: Batch, store: Store) -> DataFrame:
     return (
         top_ranked(
             candidates.join(F.broadcast(batch.frame.select("request_id", "limit")), "request_id"),
-            settled(F.col("distance")),
+            F.col("key"),
             F.col("chunk_id"),
             limit=F.col("limit"),
         )

@@ -13,6 +13,8 @@ Four written tables, each arranged so that a search touches a small part of it:
               shuffle; a term holding a third of all rows spreads evenly over all buckets; and the
               sort lets a scan skip the pages of terms the query does not name.
 
+``documents``  metadata without text, which lookups read.
+
 ``vectors`` holds ``(chunk_id, cik, embedding, norm)`` cut by ``(cik, chunk_id)`` ranges, so
 company filters skip row groups and a dominant company still spreads over many files.
 
@@ -75,6 +77,19 @@ class Analyzer:
         pieces = {piece for word in words for piece in word.lower().split("'")}
         return Analyzer("english", tuple(sorted(pieces - {""})), True)
 
+    @staticmethod
+    def without(words: tuple[str, ...]) -> "Analyzer":
+        """The plain rule without some words."""
+        return Analyzer("plain", tuple(sorted(set(words))))
+
+    @property
+    def layout(self) -> str:
+        """Name of what is written for this analyzer: by what it does, not by what it is called."""
+        if not self.stopwords and not self.stemming:
+            return "plain"
+        content = repr((self.stopwords, self.stemming)).encode()
+        return f"{self.name}_{hashlib.sha256(content).hexdigest()[:12]}"
+
     def terms(self, text: Column) -> Column:
         found = tokens(text)
         if self.stopwords:
@@ -158,6 +173,24 @@ class Store:
                 self._facts[name] = frame.first()
             return self._facts[name]
 
+    # -- documents ----------------------------------------------------------------------------
+
+    def documents(self) -> DataFrame:
+        """Document metadata without text, for lookups: in the order lists are shown in, with a
+        Bloom filter on ``doc_id``, so that one document is read from one row group."""
+
+        def write(target: str) -> None:
+            (
+                self.tables[DOCUMENTS]
+                .repartitionByRange("cik", F.desc("year"), "filename")
+                .sortWithinPartitions("cik", F.desc("year"), "filename")
+                .write.mode("overwrite")
+                .option("parquet.bloom.filter.enabled#doc_id", "true")
+                .parquet(target)
+            )
+
+        return self._written("documents", write)
+
     # -- passages -----------------------------------------------------------------------------
 
     def passages(self) -> DataFrame:
@@ -213,11 +246,11 @@ class Store:
                 .parquet(target)
             )
 
-        return self._written(f"forward_{analyzer.name}", write)
+        return self._written(f"forward_{analyzer.layout}", write)
 
     def corpus(self, analyzer: Analyzer = Analyzer()) -> Row:
         """``n_chunks``, ``avgdl`` over chunks with tokens, ``n_postings``: one row."""
-        return self._fact(f"corpus_{analyzer.name}", lambda: corpus_stats(self.forward(analyzer)))
+        return self._fact(f"corpus_{analyzer.layout}", lambda: corpus_stats(self.forward(analyzer)))
 
     def terms(self, analyzer: Analyzer = Analyzer()) -> DataFrame:
         def write(target: str) -> None:
@@ -231,11 +264,11 @@ class Store:
                     .parquet(target)
                 )
 
-        return self._written(f"terms_{analyzer.name}", write)
+        return self._written(f"terms_{analyzer.layout}", write)
 
     def postings(self, analyzer: Analyzer = Analyzer()) -> DataFrame:
         """Postings of linked chunks; the frequencies in ``terms`` still count all chunks."""
-        name = f"postings_{analyzer.name}"
+        name = f"postings_{analyzer.layout}"
         with self._lock:
             if name not in self._built:
                 rows = self.corpus(analyzer)["n_postings"]
@@ -248,6 +281,11 @@ class Store:
                 self._built[name] = self.spark.table(table)
             return self._built[name]
 
+    def has_postings(self, analyzer: Analyzer = Analyzer()) -> bool:
+        """Whether complete postings are there: made by this store, or found under its path."""
+        name = f"postings_{analyzer.layout}"
+        return name in self._built or (self.reuse and self._complete(name))
+
     def _write_postings(self, table: str, target: str, buckets: int, analyzer: Analyzer) -> None:
         # The compact per-chunk arrays are shuffled, not the rows they unfold into.
         placed = self.forward(analyzer).where("linked").repartition(buckets, "chunk_id")
@@ -277,12 +315,7 @@ class Store:
     def _vector_facts(self) -> Row:
         """Vector length (that of the most vectors, the smaller one on a draw) and row count."""
 
-        def compute() -> DataFrame:
-            sizes = self.tables[EMBEDDINGS].groupBy(F.size("embedding").alias("d")).count()
-            best = F.max_by("d", F.struct("count", -F.col("d")))
-            return sizes.agg(best.alias("dimensions"), F.sum("count").alias("n"))
-
-        return self._fact("vectors", compute)
+        return self._fact("vectors", lambda: vector_facts(self.tables[EMBEDDINGS]))
 
     def dimensions(self) -> int | None:
         return self._vector_facts()["dimensions"]
@@ -384,6 +417,13 @@ def term_stats(forward: DataFrame) -> DataFrame:
     )
 
 
+def vector_facts(embeddings: DataFrame) -> DataFrame:
+    """The length that vectors are taken to have (that of the most, the smaller on a draw), and their number."""
+    sizes = embeddings.groupBy(F.size("embedding").alias("d")).count()
+    best = F.max_by("d", F.struct("count", -F.col("d")))
+    return sizes.agg(best.alias("dimensions"), F.coalesce(F.sum("count"), F.lit(0).cast("long")).alias("n"))
+
+
 def split_vectors(embeddings: DataFrame, dimensions: int | None) -> tuple[DataFrame, DataFrame]:
     """Vectors of the right length, with their norm, and the ones to reject."""
     fits = F.coalesce(F.size("embedding") == F.lit(dimensions), F.lit(False))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CHUNK_ROWS, DOCUMENT_ROWS
+from conftest import CHUNK_ROWS, DOCUMENT_ROWS, SF_DIR
 from gleaner.operators.bm25 import bm25_hits, bm25_search
 from gleaner.operators.hybrid import fuse, hybrid_search, normalized_weights
 from gleaner.operators.lsh import vector_search_lsh
@@ -140,7 +140,8 @@ def test_many_terms_take_the_unnamed_path(spark, store, monkeypatch):
 
     rows = [{"request_id": "r", "query": "apple banana pie"}, {"request_id": "s", "query": "cherry", "ciks": ["3"]}]
     expected = run(spark, bm25_search, store, rows)
-    for bound in ("MAX_NAMED_TERMS", "MAX_BROADCAST_TERMS"):
+    monkeypatch.setattr(bm25, "FEW_TERMS", 1)
+    for bound in ("MAX_NAMED_TERMS", "TERMS_AT_ONCE"):
         monkeypatch.setattr(bm25, bound, 1)
         found = run(spark, bm25_search, store, rows)
         assert {k: ids(v) for k, v in found.items()} == {k: ids(v) for k, v in expected.items()}
@@ -369,9 +370,9 @@ def test_hybrid_ignores_thresholds_and_overfetches(spark, store):
     vec = [1.0, 0.0]
     rows = [{"request_id": "r", "query": "apple", "query_vec": vec, "min_score": 50.0, "max_distance": 0.01, "limit": 1}]
     batch = resolved_batch(spark, request_frame(spark, rows).collect(), store.companies)
-    from gleaner.operators.hybrid import hybrid_candidates
+    from gleaner.operators.hybrid import hybrid_hits
 
-    counts = hybrid_candidates(batch, store).select("fts_results", "vector_results").distinct().collect()
+    counts = hybrid_hits(batch, store).select("fts_results", "vector_results").distinct().collect()
     assert [tuple(r) for r in counts] == [(3, 3)]
 
 
@@ -388,3 +389,61 @@ def test_candidates_of_a_task_do_not_depend_on_partitions(spark, store):
     assert [row["rank"] for row in sorted(hits, key=lambda r: (-r["s"], r["chunk_id"]))] == list(
         range(1, len(hits) + 1)
     )
+
+
+@pytest.mark.parametrize("search", [bm25_search, vector_search, hybrid_search])
+@pytest.mark.parametrize(
+    ("row", "reason"),
+    [
+        ({"limit": 0}, "limit out of bounds"),
+        ({"limit": 150}, "limit out of bounds"),
+        ({"min_score": -1.0}, "min_score"),
+        ({"max_distance": 3.0}, "max_distance"),
+        ({"request_id": None}, "no request id"),
+    ],
+)
+def test_faulty_requests_are_refused(spark, store, search, row, reason):
+    with pytest.raises(ValueError, match=reason):
+        run(spark, search, store, [{"request_id": "r", "query": "apple", "query_vec": [1.0, 0.0], **row}])
+
+
+def test_repeated_ids_are_refused_before_any_batch(spark, store):
+    from gleaner.operators.requests import in_batches
+
+    asked = request_frame(spark, [{"request_id": "r", "query": "apple"}] * 3)
+    for most in (1000, 2):
+        with pytest.raises(ValueError, match="not unique"):
+            in_batches(asked, store.companies, lambda batch: pytest.fail("ran"), max_batch=most)
+
+
+def test_analyzers_of_one_name_do_not_share_layouts(spark, store):
+    rows = [{"request_id": "r", "query": "apple banana"}]
+    plain = run(spark, bm25_search, store, rows)["r"]
+    less = run(spark, lambda a, s: bm25_search(a, s, Analyzer("plain", ("apple",))), store, rows)["r"]
+    assert {r["chunk_id"] for r in less} < {r["chunk_id"] for r in plain}
+    assert Analyzer("plain", ("a",)).layout != Analyzer("plain", ("b",)).layout != Analyzer().layout
+
+
+def test_document_lookups_read_no_text(spark):
+    from gleaner.operators.lookup import find_documents, get_document
+    from gleaner.plans.open import store_for
+    from gleaner.schemas import DOCUMENTS
+
+    opened = store_for(spark, SF_DIR)
+    tables = {**opened.tables, DOCUMENTS: opened.documents()}
+    for frame in (find_documents(tables, year=2018), get_document(tables[DOCUMENTS], "7")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema" in plan and "text:string" not in plan and "EqualTo" in plan
+
+
+def test_owners_are_distinct_before_the_shuffle(spark):
+    from gleaner.operators.lookup import companies_with_documents
+    from gleaner.plans.open import store_for
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = companies_with_documents(store_for(spark, SF_DIR).tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = plan[plan.index("Exchange hashpartitioning(owner") :]
+    assert "HashAggregate" in below

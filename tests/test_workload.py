@@ -23,6 +23,8 @@ def connection():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_same_rows(spark, connection, name):
     same, note = compare(spark, connection, name, SF_DIR)
+    if same is None:
+        pytest.skip(note)
     assert same, note
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.operators import presets, summary
@@ -12,7 +14,7 @@ from gleaner.operators.requests import with_defaults
 from gleaner.operators.substring import substring_search, text_search
 from gleaner.operators.vector import vector_search
 from gleaner.plans.open import work_folder
-from gleaner.plans.store import Analyzer
+from gleaner.plans.store import Analyzer, Store
 from gleaner.schemas import COMPANIES, DOCUMENTS, TICKERS
 from gleaner.sources import sinks
 from gleaner.sources.filing_json import filing_documents, filing_sections, read_filing_lines
@@ -90,6 +92,9 @@ PROBES = [
     {"request_id": "fts", "query": "revenue", "limit": 3},
     {"request_id": "vector", "query": "artificial intelligence", "limit": 3, "vec_id": 1},
     {"request_id": "hybrid", "query": "revenue growth", "limit": 5, "vec_id": 2},
+    # the same with words that the corpus holds
+    {"request_id": "fts hits", "query": "thble", "limit": 3},
+    {"request_id": "hybrid hits", "query": "thtion nicht", "limit": 5, "vec_id": 2},
 ]
 
 
@@ -104,12 +109,36 @@ _search("bm25_batch", KEYWORD_BATCH, bm25_search, fts_sql)
 _search("bm25_filtered", KEYWORD_FILTERED, bm25_search, fts_sql)
 _search("bm25_min_score", KEYWORD_SCORED, bm25_search, fts_sql)
 _search("substring_batch", SUBSTRING, substring_search, substring_sql)
-_search("text_search_indexed", KEYWORD, text_search, fts_sql)
+
+
+def _text_search_indexed(requests, opened):
+    """With complete postings in the store, words are ranked."""
+    opened.postings()
+    return text_search(requests, opened)
+
+
+def _text_search_fallback(requests, opened):
+    """A store that never wrote postings is searched by substring."""
+    bare = Store(opened.spark, opened.tables, f"{opened.path}/bare-{uuid.uuid4().hex}")
+    return text_search(requests, bare)
+
+
+_search("text_search_indexed", KEYWORD, _text_search_indexed, fts_sql)
+_search("text_search_fallback", KEYWORD_FILTERED, _text_search_fallback, substring_sql)
+
+STOPWORDS = ("the", "of", "and", "nicht")
+
+
+def _without_stopwords(sql: str) -> str:
+    listed = ", ".join(f"'{word}'" for word in STOPWORDS)
+    return sql.replace("WHERE term <> ''", f"WHERE term <> '' AND term NOT IN ({listed})")
+
+
 _search(
-    "text_search_fallback",
-    KEYWORD_FILTERED,
-    lambda requests, opened: text_search(requests, opened, indexed=False),
-    substring_sql,
+    "bm25_stopwords",
+    KEYWORD_BATCH + KEYWORD_FILTERED,
+    lambda requests, opened: bm25_search(requests, opened, Analyzer.without(STOPWORDS)),
+    lambda req: _without_stopwords(fts_sql(req)),
 )
 _search("vector_single", VECTOR, vector_search, vector_sql)
 _search("vector_filtered", VECTOR_FILTERED, vector_search, vector_sql)
@@ -319,6 +348,7 @@ def _probe(name: str, rows: list[dict], run, hits: str, method: str, fts: str, v
 
 
 _probe("probe_fts", [PROBES[0]], bm25_search, "fts_hits", "fts", "h.fts_score", "NULL", "NULL")
+_probe("probe_fts_hits", [PROBES[3]], bm25_search, "fts_hits", "fts", "h.fts_score", "NULL", "NULL")
 _probe("probe_vector", [PROBES[1]], vector_search, "vector_hits", "vector", "NULL", "h.vector_score", "NULL")
 _probe(
     "probe_hybrid",
@@ -330,6 +360,16 @@ _probe(
     "h.vector_score",
     "h.combined_score",
 )
+_probe(
+    "probe_hybrid_hits",
+    [PROBES[4]],
+    hybrid_search,
+    "hybrid_hits",
+    "hybrid",
+    "h.fts_score",
+    "h.vector_score",
+    "h.combined_score",
+)
 _probe(
     "summary_hybrid_batch",
     HYBRID_BATCH,
@@ -448,6 +488,40 @@ def responses_written_and_read(spark, sf_dir):
     )
 
 
+@query(
+    "response_items",
+    hybrid_sql(_BATCH),
+)
+def response_items(spark, sf_dir):
+    """The items of the envelopes, laid flat again."""
+    requests = requests_for(spark, sf_dir, HYBRID_BATCH)
+    nested = summary.envelope(hybrid_search(requests, store(spark, sf_dir)), requests, "hybrid")
+    return nested.select("request_id", "method", F.inline("results"))
+
+
+@query(
+    "explained_responses",
+    _composition_sql(
+        f"""
+        SELECT r.request_id, coalesce(s.total_results, 0) AS total_results, coalesce(s.total_results, 0) AS items,
+               coalesce(s.fts_results, 0) AS fts_results, coalesce(s.combined_unique, 0) AS combined_unique,
+               'Returned top ' || coalesce(s.total_results, 0) || ' results' AS step_4,
+               {rounded('s.score_avg', 'combined_score_avg')}
+        FROM req r LEFT JOIN s ON s.request_id = r.request_id
+        """
+    ),
+)
+def explained_responses(spark, sf_dir):
+    """Responses that carry their explanation."""
+    found = summary.explained_envelope(requests_for(spark, sf_dir, HYBRID_BATCH), store(spark, sf_dir))
+    return found.select(
+        "request_id",
+        "total_results",
+        F.size("results").alias("items"),
+        *[F.col(f"explanation.{c}").alias(c) for c in ("fts_results", "combined_unique", "step_4", "combined_score_avg")],
+    )
+
+
 # -- JSON sources ---------------------------------------------------------------------------------
 
 

@@ -10,12 +10,12 @@ from gleaner.operators import lookup
 from gleaner.operators.derive import document_totals
 from gleaner.operators.ranking import company_names
 from gleaner.operators.requests import clamp_limit, complement_weights, split_requests, with_defaults
-from gleaner.operators.stats import capabilities, table_counts
+from gleaner.operators.stats import capabilities, is_empty, table_counts
 from gleaner.plans.store import corpus_stats, forward_rows, posting_rows, term_stats
 from gleaner.schemas import CHUNKS, COMPANIES, DOCUMENTS, EMBEDDINGS, SECTIONS, TICKERS
 from gleaner.sources.raw import raw
-from gleaner.sources.tables import table_inventory
-from workload.registry import query, requests_for, store
+from gleaner.sources.tables import catalog_tables, missing_tables, register_views, table_inventory
+from workload.registry import ORACLES, query, requests_for, store
 from workload.sql import rounded, with_ctes
 
 
@@ -28,6 +28,14 @@ _DOC_COLUMNS = """
     CAST(ingested_at AS VARCHAR) AS ingested_at, processor_version
 """
 
+
+
+def _lookup_tables(spark, sf_dir):
+    """The logical tables, with document metadata as the store keeps it: without text."""
+    opened = store(spark, sf_dir)
+    return {**opened.tables, DOCUMENTS: opened.documents()}
+
+
 # -- scans ----------------------------------------------------------------------------------------
 
 
@@ -112,6 +120,45 @@ def inventory(spark, sf_dir):
     return table_inventory(spark, _tables(spark, sf_dir))
 
 
+_INVENTORY = ORACLES["table_inventory"]
+
+
+@query("catalog_inventory", _INVENTORY)
+def catalog_inventory(spark, sf_dir):
+    """The same through names of the session catalog, none of which may be missing."""
+    tables = _tables(spark, sf_dir)
+    register_views(tables)
+    try:
+        if missing_tables(spark).count():
+            raise RuntimeError("a registered table is missing from the catalog")
+        return table_inventory(spark, catalog_tables(spark))
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+
+
+@query("tables_empty", f"SELECT table_name, row_count = 0 AS is_empty FROM ({_INVENTORY})")
+def tables_empty(spark, sf_dir):
+    found = [(name, is_empty(frame)) for name, frame in _tables(spark, sf_dir).items()]
+    return spark.createDataFrame(found, "table_name string, is_empty boolean")
+
+
+@query(
+    "lookup_without_filter",
+    with_ctes(
+        "SELECT count(*) AS listings, 'at least one search parameter must be provided' AS reason FROM t_companies",
+        "t_companies",
+    ),
+)
+def lookup_without_filter(spark, sf_dir):
+    """A lookup that names nothing is refused, however many listings there are."""
+    listings = _tables(spark, sf_dir)[COMPANIES]
+    try:
+        return lookup.find_companies(listings)
+    except ValueError as refused:
+        return listings.agg(F.count(F.lit(1)).alias("listings")).withColumn("reason", F.lit(str(refused)))
+
+
 # -- projections ----------------------------------------------------------------------------------
 
 
@@ -256,7 +303,7 @@ def _ticker_sql(*tickers: str) -> str:
 def _document_query(key: str, where: str, limit: int = 50, /, **given):
     @query(key, _document_sql(where, limit))
     def build(spark, sf_dir):
-        return lookup.find_documents(_tables(spark, sf_dir), limit=limit, **given)
+        return lookup.find_documents(_lookup_tables(spark, sf_dir), limit=limit, **given)
 
 
 _document_query(
@@ -277,29 +324,29 @@ _document_query("documents_year_zero_is_no_filter", "d.cik IN ('7')", 1000, ciks
 
 @query("document_by_id", with_ctes(f"SELECT {_DOC_COLUMNS} FROM t_documents WHERE doc_id = '7'", "t_documents"))
 def document_by_id(spark, sf_dir):
-    return lookup.get_document(_tables(spark, sf_dir)[DOCUMENTS], "7")
+    return lookup.get_document(_lookup_tables(spark, sf_dir)[DOCUMENTS], "7")
 
 
 @query(
     "preset_documents_by_ticker", _document_sql(_ticker_sql("tk5b") + " AND d.year = 2017", 50)
 )
 def preset_documents_by_ticker(spark, sf_dir):
-    return lookup.documents_by_ticker(_tables(spark, sf_dir), "TK5B", 2017)
+    return lookup.documents_by_ticker(_lookup_tables(spark, sf_dir), "TK5B", 2017)
 
 
 @query("preset_documents_by_cik", _document_sql("d.cik = '12'"))
 def preset_documents_by_cik(spark, sf_dir):
-    return lookup.documents_by_cik(_tables(spark, sf_dir), "12")
+    return lookup.documents_by_cik(_lookup_tables(spark, sf_dir), "12")
 
 
 @query("drilldown_companies", _company_sql("upper(ticker) LIKE upper('%tk1%')", 5))
 def drilldown_companies(spark, sf_dir):
-    return lookup.ticker_drilldown(_tables(spark, sf_dir), "tk1")[0]
+    return lookup.ticker_drilldown(_lookup_tables(spark, sf_dir), "tk1")[0]
 
 
 @query("drilldown_documents", _document_sql(_ticker_sql("tk1") + " AND d.year = 2019", 5))
 def drilldown_documents(spark, sf_dir):
-    return lookup.ticker_drilldown(_tables(spark, sf_dir), "tk1")[1]
+    return lookup.ticker_drilldown(_lookup_tables(spark, sf_dir), "tk1")[1]
 
 
 @query(
@@ -314,7 +361,7 @@ def drilldown_documents(spark, sf_dir):
     ),
 )
 def companies_with_documents(spark, sf_dir):
-    return lookup.companies_with_documents(_tables(spark, sf_dir))
+    return lookup.companies_with_documents(_lookup_tables(spark, sf_dir))
 
 
 @query(
@@ -349,7 +396,16 @@ def longest_sections(spark, sf_dir):
     return lookup.longest_sections(_tables(spark, sf_dir))
 
 
-@query("browse_companies")
+@query(
+    "browse_companies",
+    with_ctes(
+        """
+        SELECT cik, name, ticker, exchange FROM t_companies
+        ORDER BY cik NULLS FIRST, name NULLS FIRST, ticker NULLS FIRST, exchange NULLS FIRST LIMIT 10
+        """,
+        "t_companies",
+    ),
+)
 def browse_companies(spark, sf_dir):
     return lookup.browse(_tables(spark, sf_dir)[COMPANIES])
 
@@ -456,9 +512,11 @@ def counts(spark, sf_dir):
     with_ctes(
         """
         SELECT c > 0 AS fts_available, e > 0 AS vector_available, c > 0 OR e > 0 AS hybrid_available,
-               c AS total_chunks, e AS total_embeddings, d AS vector_dimensions
+               CASE WHEN c > 0 THEN 'BM25' ELSE 'LIKE' END AS search_method,
+               c AS total_chunks, e AS total_embeddings, d AS vector_dimensions,
+               CAST(0.3 AS DOUBLE) AS default_fts_weight, CAST(0.7 AS DOUBLE) AS default_semantic_weight
         FROM (SELECT (SELECT count(*) FROM t_chunks) AS c, (SELECT count(*) FROM t_vectors) AS e,
-                     (SELECT max(len(embedding)) FROM t_vectors) AS d)
+                     (SELECT mode(len(embedding)) FROM t_vectors) AS d)
         """,
         "t_chunks",
         "t_vectors",
