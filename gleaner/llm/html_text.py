@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, functions as F
 from gleaner.llm.shared import require, small_batches
 from gleaner.llm.words import word_chunks
 
-TRAIN_PAGES = 160
-PATH_SLOTS = 96
+TRAIN_PAGES = 120
+TRAIN_BLOCKS = 150  # longer pages are not trained on
+PATH_SLOTS = 128
 WORD_SLOTS = 32
+MEASURES = 11
 HIDDEN = 16
-EPOCHS = 30
+EPOCHS = 16
 
 # Elements that end a block, elements whose content is no text of the page, elements
 # that have no end tag, and words that name the parts of a page in tags, classes, ids and roles.
@@ -54,6 +56,7 @@ OTHER_WORDS = (
     "cookie consent notice alert popup modal form login signup newsletter subscribe search share social related "
     "recommended breadcrumb breadcrumbs pagination pager widget comment comments respond reply disqus copyright"
 ).split()
+_OTHER, _MAIN = frozenset(OTHER_WORDS), frozenset(MAIN_WORDS)
 PLAIN_WORDS = ("content", "post", "entry", "story", "text", "body", "page", "wrapper", "container")
 
 _TOKEN = re.compile(
@@ -73,8 +76,11 @@ class Block:
 
 
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
-    """Tokens of a tag: its name, and the words of its class, id, role and itemprop."""
-    if not attributes:
+    """Tokens of a tag: its name, and the words of its class, id, role and itemprop.
+
+    What the root and the body are called says nothing about a part of the page.
+    """
+    if not attributes or tag in ("html", "body"):
         return (tag,)
     words = []
     for match in _NAMED.finditer(attributes):
@@ -159,8 +165,7 @@ def blocks_of(page: str | None) -> list[Block]:
 
 def rule_labels(blocks: Sequence[Block]) -> list[bool]:
     """What a page's own elements say: inside main or article, and in no part named otherwise."""
-    other = frozenset(OTHER_WORDS)
-    return [any(w in b.path for w in MAIN_WORDS) and not any(w in other for w in b.path) for b in blocks]
+    return [not _MAIN.isdisjoint(b.path) and _OTHER.isdisjoint(b.path) for b in blocks]
 
 
 def _slot(token: str, slots: int) -> int:
@@ -170,7 +175,7 @@ def _slot(token: str, slots: int) -> int:
 def features(pages: Sequence[Sequence[Block]]) -> np.ndarray:
     """A vector per block, pages after one another."""
     blocks = [b for page in pages for b in page]
-    out = np.zeros((len(blocks), PATH_SLOTS + WORD_SLOTS + 8), np.float32)
+    out = np.zeros((len(blocks), PATH_SLOTS + WORD_SLOTS + MEASURES), np.float32)
     slots: dict[tuple[str, ...], list[int]] = {}
     for i, block in enumerate(blocks):
         at = slots.get(block.path)
@@ -195,6 +200,10 @@ def features(pages: Sequence[Sequence[Block]]) -> np.ndarray:
     out[:, -6] = [b.text[-1] in ".!?" for b in blocks]
     out[:, -7] = ["©" in b.text for b in blocks]
     out[:, -8] = 1.0
+    # how often the lexicon's words stand around the block, and whether one of them is innermost
+    out[:, -9] = [0.0 if _OTHER.isdisjoint(b.path) else 1.0 for b in blocks]
+    out[:, -10] = [0.0 if _MAIN.isdisjoint(b.path) else 1.0 for b in blocks]
+    out[:, -11] = [1.0 if not _OTHER.isdisjoint(b.path[-3:]) else 0.0 for b in blocks]
     return out
 
 
@@ -207,7 +216,7 @@ class Labeller:
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        width = PATH_SLOTS + WORD_SLOTS + 8
+        width = PATH_SLOTS + WORD_SLOTS + MEASURES
         self.weights: dict[str, np.ndarray] = {}
         for way in "fb":
             self.weights[f"x{way}"] = rng.normal(0, 0.1, (width, 4 * HIDDEN)).astype(np.float32)
@@ -312,15 +321,16 @@ def _variants(
                 path = tuple(dict.fromkeys(swap.get(t, t) for t in block.path))
             page.append(Block(block.text, path, block.linked))
             good.append(keep)
-        for _ in range(int(rng.integers(1, 4))):
+        for _ in range(int(rng.integers(2, 6))):
             word = OTHER_WORDS[rng.integers(len(OTHER_WORDS))]
-            near = page[int(rng.integers(len(page)))]
-            tag = ("div", "section", "aside", "ul")[int(rng.integers(4))]
-            outer = near.path if rng.random() < 0.5 else near.path[:2]
             at = int(rng.integers(len(page) + 1))
+            near = page[min(at, len(page) - 1)].path
+            tag = ("div", "section", "aside", "ul", word)[int(rng.integers(5))]
+            outer = near[:-1] if rng.random() < 0.6 else near[:2]
+            inner = ((), ("p",), ("div", "p"), ("li",))[int(rng.integers(4))]
             for _ in range(int(rng.integers(1, 4))):
                 text = strangers[int(rng.integers(len(strangers)))]
-                page.insert(at, Block(text, (*outer, tag, word, "p"), 0.0))
+                page.insert(at, Block(text, tuple(dict.fromkeys((*outer, tag, word, *inner))), 0.0))
                 good.insert(at, False)
         yield page, good
 
@@ -332,7 +342,7 @@ def train(pages: Sequence[str], seed: int = 5) -> Labeller | None:
     for page in pages:
         blocks = blocks_of(page)
         labels = rule_labels(blocks)
-        if any(labels) and len(blocks) <= 400:
+        if any(labels) and len(blocks) <= TRAIN_BLOCKS:
             known.append((blocks, labels))
     if not known:
         return None

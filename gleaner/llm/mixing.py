@@ -15,6 +15,7 @@ the input that have the name of a result column are replaced.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -131,7 +132,8 @@ def mix(
     kept = [c for c in docs.columns if c not in own]
     many = docs.schema["source"].dataType.typeName() == "array"
     members = F.array_sort(F.array_distinct(F.coalesce("source", F.array().cast("array<string>")))) if many else F.array("source")
-    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    own_key = F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    place = F.conv(F.substring(F.md5(own_key), 1, 15), 16, 10).cast("long")
     sized = docs.select(
         *kept, members.alias("_members"), text_size(F.col("text")).alias("size"), place.alias("_place")
     )
@@ -147,7 +149,7 @@ def mix(
     sizes = [sum(size for members_, size in patterns if i in members_) for i in range(len(names))]
     total = share * sum(size for _, size in patterns)
     wanted = targets(sizes, weight, total, most_copies)
-    flow = route(patterns, [round(t) for t in wanted], most_copies)
+    flow = route(patterns, [math.floor(t + 1e-6) for t in wanted], most_copies)
     takes = [sum(flow.get((p, s), 0) for s in range(len(names))) for p in range(len(patterns))]
 
     spark = docs.sparkSession

@@ -93,3 +93,70 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n
        len(ws) < 10 OR 100 * n_repeat_words > 20 * len(ws) AS base_failed, NOT {_REJECTED} AS kept
 FROM b
 """
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+NGRAM_JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, s, s + least(len(ws), 4) - 1), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS s FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (
+  SELECT doc_id AS d, doc_id AS m FROM documents
+  UNION SELECT r.d, t.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) t ON t.a = r.m)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(m) FROM r WHERE r.d = w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+LINE_DEDUP = rf"""
+WITH x AS (
+  SELECT doc_id, text, CASE WHEN text IS NULL OR text = '' THEN [] ELSE string_split(text, chr(10)) END AS parts FROM documents),
+l AS (
+  SELECT doc_id, k, ws, array_to_string(ws, ' ') AS line, row_number() OVER (ORDER BY doc_id, k) AS o
+  FROM (SELECT doc_id, k, {_WORDS.format("parts[k + 1]")} AS ws FROM (SELECT doc_id, parts, unnest(range(0, len(parts))) AS k FROM x))
+  WHERE len(ws) >= 8),
+f AS (SELECT line, min(o) AS o, any_value(ws) AS ws FROM l GROUP BY line),
+v AS (
+  SELECT o, len(ws) AS n, i, md5(array_to_string(list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, len(ws))), ' ')) AS t
+  FROM (SELECT o, ws, unnest(range(1, len(ws) + 1)) AS i FROM f)),
+swapped AS (SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY n, i, t) AS least FROM v) WHERE o > least),
+grown AS (SELECT greatest(f.o, v.o) AS o FROM v JOIN f ON md5(f.line) = v.t AND f.o <> v.o),
+near AS (SELECT o FROM swapped UNION SELECT o FROM grown),
+gone AS (
+  SELECT l.doc_id, l.k, l.o > f.o AS exact, near.o IS NOT NULL AS near
+  FROM l JOIN f ON f.line = l.line LEFT JOIN near ON near.o = f.o WHERE l.o > f.o OR near.o IS NOT NULL),
+per AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_exact, count(*) AS n, string_agg(k, ',' ORDER BY k) AS removed FROM gone GROUP BY doc_id)
+SELECT x.doc_id, len(parts)::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact, coalesce(n - n_exact, 0)::BIGINT AS n_near,
+       coalesce(removed, '') AS removed
+FROM x LEFT JOIN per ON per.doc_id = x.doc_id
+"""
+
+SOURCE_MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws('|', '7', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS place
+  FROM documents),
+src AS (
+  SELECT source, sum(size)::BIGINT AS s, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (
+  SELECT *, 2.0 * s / w AS ratio, sum(2 * s) OVER q AS below, sum(w) OVER () - sum(w) OVER q AS above, 1.5 * sum(s) OVER () AS total,
+         lead(2.0 * s / w) OVER (ORDER BY 2.0 * s / w, source) AS following
+  FROM src WINDOW q AS (ORDER BY 2.0 * s / w, source ROWS UNBOUNDED PRECEDING)),
+level AS (
+  SELECT min(l) AS l FROM (
+    SELECT (total - below) / above AS l FROM o WHERE above > 0 AND following > (total - below) / above AND ratio <= (total - below) / above
+    UNION ALL SELECT max(total) / max(t) FROM (SELECT total, sum(w) OVER () AS t, min(ratio) OVER () AS r FROM o) WHERE r > total / t)),
+t AS (
+  SELECT source, s, least(2.0 * s, coalesce(l, 1e300) * w) AS target, floor(least(2.0 * s, coalesce(l, 1e300) * w) + 1e-6)::BIGINT AS take FROM src, level),
+g AS (SELECT source, place, sum(size) AS words FROM d GROUP BY source, place),
+a AS (
+  SELECT source, place, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY place % 4096, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM g)
+SELECT d.doc_id, d.size, t.s AS source_size, round(t.target, 3) AS target,
+       (d.size * (CASE WHEN t.s > 0 THEN take // t.s ELSE 0 END + CASE WHEN t.s > 0 AND a.ahead + a.words / 2.0 < take % t.s THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN a ON a.source IS NOT DISTINCT FROM d.source AND a.place = d.place
+"""

@@ -170,4 +170,7 @@ ORACLES: dict[str, str] = {
     "op1_url_filters": sql.URL_FILTERS,
     "op5_benchmark_decontamination": sql.DECONTAMINATION,
     "op6_quality_rules": sql.QUALITY_RULES,
+    "op7_ngram_jaccard": sql.NGRAM_JACCARD,
+    "op8_line_dedup": sql.LINE_DEDUP,
+    "op10_source_mixing": sql.SOURCE_MIXING,
 }

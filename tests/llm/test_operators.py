@@ -272,13 +272,38 @@ def test_extraction_on_held_out_pages(spark):
         wrong += found[row["page_id"]]["text"] != html_text.main_text(blocks, html_text.rule_labels(blocks))
     assert wrong == 0
     # without the semantic elements, context and words have to do
-    bare = [r["html"].replace("article", "div").replace("<nav>", '<div class="menu">') for r in rows[:80]]
+    bare = [r["html"].replace("article", "div").replace("<nav>", '<div class="menu">').replace("</nav>", "</div>") for r in rows[:80]]
     blocks = [html_text.blocks_of(r["html"]) for r in rows[:80]]
     marks = html_text.label(labeller, [html_text.blocks_of(b) for b in bare])
     right = sum(m == k for b, ms in zip(blocks, marks) for m, k in zip(ms, html_text.rule_labels(b)))
     assert right / sum(map(len, blocks)) > 0.97
 
 
+PARTS = [
+    '<div class="comments"><p>{}</p></div>',
+    '<section id="comments"><h3>{}</h3><div class="comment"><p>{}</p></div></section>',
+    "<aside><p>{}</p></aside>",
+    "<header><p>{}</p></header>",
+    '<div class="notice">{}</div>',
+    '<div class="cookie-banner"><p>{}</p></div>',
+    '<div class="advert">{}</div>',
+    '<ul class="related-posts"><li>{}</li></ul>',
+    "<form><p>{}</p></form>",
+]
+
+
+def test_parts_inside_the_article_are_left_out(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    labeller = html_text.train(pages[:120])
+    text = "Some words that stand in a part of the page which is none of the article."
+    wrong = 0
+    for part in PARTS:
+        held = [p.replace("</article>", part.format(text, text) + "</article>") for p in pages[150:190]]
+        blocks = [html_text.blocks_of(p) for p in held]
+        wrong += sum(m != html_text.rule_labels(b) for b, m in zip(blocks, html_text.label(labeller, blocks)))
+    assert wrong <= 0.02 * 40 * len(PARTS)
+
+
 def test_extraction_of_awkward_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>alone"), (3, None, "<p>alone"), (None, "u", PAGE)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
