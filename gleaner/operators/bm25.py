@@ -214,5 +214,5 @@ def bm25_search(
     return in_batches(
         requests,
         store.companies,
-        lambda batch: label_hits(bm25_hits(batch, store, analyzer, model), store, "fts"),
+        lambda batch: label_hits(bm25_hits(batch, store, analyzer, model), store, "fts", batch=batch),
     )

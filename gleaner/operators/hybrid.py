@@ -122,6 +122,6 @@ def hybrid_search(
     """Combined search for a request table; see ``RESULT_COLUMNS``."""
 
     def search(batch: Batch) -> DataFrame:
-        return label_hits(hybrid_hits(batch, store, analyzer, model), store, "hybrid")
+        return label_hits(hybrid_hits(batch, store, analyzer, model), store, "hybrid", batch=batch)
 
     return in_batches(requests, store.companies, search, hybrid=True)

@@ -116,6 +116,6 @@ def vector_search_lsh(
 
     def search(batch: Batch) -> DataFrame:
         hits = lsh_hits(batch, store, bucket_length, tables, seed)
-        return label_hits(shown_distances(hits, batch), store, "vector")
+        return label_hits(shown_distances(hits, batch), store, "vector", batch=batch)
 
     return in_batches(requests, store.companies, search)

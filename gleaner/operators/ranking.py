@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gleaner.operators.requests import Batch, local_frame
 from gleaner.plans.store import Store
 from gleaner.schemas import MAX_LIMIT, RESULT_COLUMNS
 
 SCORE_DIGITS = 9
+NAMED_HITS = 2_000  # also what parquet scans are told to look up by value, see ``Store``
 _SCORES = ("fts_score", "vector_score", "distance", "combined_score")
 
 
@@ -36,19 +38,32 @@ def company_names(companies: DataFrame) -> DataFrame:
 
 
 def label_hits(
-    hits: DataFrame, store: Store, method: str | None = None, keep: tuple[str, ...] = ()
+    hits: DataFrame,
+    store: Store,
+    method: str | None = None,
+    keep: tuple[str, ...] = (),
+    *,
+    batch: Batch,
+    methods: int = 1,
 ) -> DataFrame:
     """Attach text, section, document and company to ranked hits.
 
-    ``hits`` holds at most 100 rows per request and method of one bounded batch, so it is the
-    broadcast side; the passage scan reads only the directories the hits fall into. Without
-    ``method`` the hits bring that column along; ``keep`` names further columns of theirs.
+    ``hits`` holds at most ``limit`` rows per request and method of one bounded batch, so it is the
+    broadcast side. Where the limits of a batch allow ``NAMED_HITS`` rows in all, the hits are read
+    into the plan, and the passage scan names directories and chunks: inside a directory, which is
+    sorted by chunk, it reads the pages that hold them. For more hits the scan prunes directories
+    at run time. Without ``method`` the hits bring that column along; ``keep`` names further
+    columns of theirs.
     """
     keyed = hits.withColumn("part", store.part_of(F.col("chunk_id")))
+    passages = store.passages().where("linked")
+    if methods * sum(row["limit"] for row in batch.rows) <= NAMED_HITS:
+        rows = keyed.collect()
+        keyed = local_frame(hits.sparkSession, (row.asDict() for row in rows), keyed.schema)
+        passages = passages.where(F.col("part").isin(sorted({row["part"] for row in rows})))
+        passages = passages.where(F.col("chunk_id").isin(sorted({row["chunk_id"] for row in rows})))
     labelled = (
-        store.passages()
-        .where("linked")
-        .join(F.broadcast(keyed), ["part", "chunk_id"])
+        passages.join(F.broadcast(keyed), ["part", "chunk_id"])
         .join(company_names(store.companies), "cik", "left")
     )
     if method is not None:

@@ -49,7 +49,7 @@ def substring_search(requests: DataFrame, store: Store) -> DataFrame:
     return in_batches(
         requests,
         store.companies,
-        lambda batch: label_hits(substring_hits(batch, store), store, "fts"),
+        lambda batch: label_hits(substring_hits(batch, store), store, "fts", batch=batch),
     )
 
 

@@ -140,7 +140,7 @@ def explain_hybrid(
 
     def explain(batch: Batch) -> DataFrame:
         hits = hybrid_hits(batch, store, analyzer, model)
-        results = label_hits(hits, store, "hybrid", keep=counts)
+        results = label_hits(hits, store, "hybrid", keep=counts, batch=batch)
         return (
             composition(results, batch.frame, keep=counts)
             .join(F.broadcast(normalized_weights(batch.frame)), "request_id")
@@ -263,7 +263,7 @@ def compare_methods(
             ],
         )
         counted = hits.withColumn("found_by", F.count(F.lit(1)).over(request_chunk))
-        return label_hits(counted, store, keep=("found_by",))
+        return label_hits(counted, store, keep=("found_by",), batch=batch, methods=3)
 
     return in_batches(requests, store.companies, search, hybrid=True)
 

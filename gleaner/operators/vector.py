@@ -73,6 +73,6 @@ def vector_search(requests: DataFrame, store: Store) -> DataFrame:
     """Exact nearest chunks for a request table; see ``RESULT_COLUMNS``."""
 
     def search(batch: Batch) -> DataFrame:
-        return label_hits(shown_distances(vector_hits(batch, store), batch), store, "vector")
+        return label_hits(shown_distances(vector_hits(batch, store), batch), store, "vector", batch=batch)
 
     return in_batches(requests, store.companies, search)

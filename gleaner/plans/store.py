@@ -138,6 +138,10 @@ class Store:
     _facts: dict[str, Row] = field(default_factory=dict)
     _lock: threading.RLock = field(default_factory=threading.RLock)
 
+    def __post_init__(self) -> None:
+        # Scans look up so many named values in page statistics; beyond, only their range is used.
+        self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "2000")
+
     @property
     def _cores(self) -> int:
         """Cores of the session that wrote the store: the layouts were cut for that number."""

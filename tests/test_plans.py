@@ -8,6 +8,7 @@ from conftest import SF_DIR
 from gleaner.operators import lookup
 from gleaner.operators.bm25 import bm25_hits
 from gleaner.operators.requests import resolved_batch
+from gleaner.operators.vector import vector_hits
 from workload import searches, tables as _tables  # noqa: F401
 from workload.registry import QUERIES, requests_for, store
 
@@ -33,12 +34,21 @@ def test_query_terms_reach_the_scan(spark):
 
 
 @pytest.mark.parametrize("name", ["bm25_single", "vector_single", "hybrid_batch", "substring_batch"])
-def test_labels_prune_partitions(spark, name):
+def test_labels_prune_partitions(spark, name, monkeypatch):
+    monkeypatch.setattr("gleaner.operators.ranking.NAMED_HITS", 0)
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "dynamicpruning" in text
 
 
-def test_no_search_multiplies_its_sides(spark):
+@pytest.mark.parametrize("name", ["bm25_single", "vector_single", "hybrid_single"])
+def test_labels_of_few_hits_are_named_in_the_scan(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    pushed = [line for line in text.splitlines() if "PushedFilters" in line and "chunk_text" in line]
+    assert pushed and all("In(chunk_id" in line and "part#" in line for line in pushed)
+
+
+def test_no_search_multiplies_its_sides(spark, monkeypatch):
+    monkeypatch.setattr("gleaner.operators.ranking.NAMED_HITS", 0)
     for name in QUERIES:
         if name.startswith(("bm25", "vector", "hybrid", "substring", "compare", "documents", "companies")):
             text = plan(QUERIES[name](spark, SF_DIR))
@@ -46,7 +56,9 @@ def test_no_search_multiplies_its_sides(spark):
 
 
 def test_company_filters_reach_the_vector_scan(spark):
-    text = plan(QUERIES["vector_filtered"](spark, SF_DIR))
+    opened = store(spark, SF_DIR)
+    rows = requests_for(spark, SF_DIR, searches.VECTOR_FILTERED).collect()
+    text = plan(vector_hits(resolved_batch(spark, rows, opened.companies), opened))
     assert "In(cik, [0,17,3])" in text
 
 
