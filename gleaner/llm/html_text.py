@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.shared import require, small_batches
+from gleaner.llm.shared import require, ship, shipped, small_batches
 from gleaner.llm.words import word_chunks
 
 TRAIN_PAGES = 120
@@ -392,12 +392,12 @@ def extract(pages: DataFrame, labeller: Labeller | None) -> DataFrame:
     own = ("text", "n_chars", "n_blocks", "n_main")
     given = pages.select(*[c for c in pages.columns if c not in own])
     carried = [f for f in given.schema.fields if f.name != "html"]
-    shared = pages.sparkSession.sparkContext.broadcast(labeller)
+    shared = ship(pages.sparkSession, labeller)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [blocks_of(page) for page in batch.column("html").to_pylist()]
-            marks = label(shared.value, found)
+            marks = label(shipped(shared), found)
             texts = [main_text(b, m) for b, m in zip(found, marks, strict=True)]
             columns = [batch.column(f.name) for f in carried]
             columns += [

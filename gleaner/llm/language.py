@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gleaner.llm.shared import require, small_batches
+from gleaner.llm.shared import require, ship, shipped, small_batches
 
 DOCS_PER_LANGUAGE = 60
 SAMPLE_CHARS = 40_000
@@ -213,12 +213,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     require(docs, "text")
     small_batches(docs.sparkSession, 512)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        # a worker keeps the broadcast value, and with it one set of tables for all its tasks
-        names, scores = predict_texts(shared.value, [t if t is not None else "" for t in texts])
+        # a worker keeps one model, and with it one set of tables, for all its tasks
+        names, scores = predict_texts(shipped(shared), [t if t is not None else "" for t in texts])
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return docs.select(*kept, predicted(F.col("text")).alias("_p")).select(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gleaner.llm.arrays import map_array, save_array
-from gleaner.llm.shared import require, scratch, small_batches, written
+from gleaner.llm.shared import require, scratch, ship, shipped, small_batches, written
 from gleaner.llm.words import deal, joined, pair_hash, shard_of, word_chunks
 
 BEGIN = np.uint64(1)  # context of a first word
@@ -412,12 +412,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     require(docs, "text")
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in RESULT]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     given = docs.select(*kept)
     carried = [f for f in given.schema.fields if f.name != "text"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm: Model = shared.value
+        lm: Model = shipped(shared)
         for batch in batches:
             n = batch.num_rows
             counts, known = np.zeros(n, np.int64), np.zeros(n, np.int64)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.session import shared_folder
@@ -40,6 +42,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """An object of this package's classes for all tasks, without the package being there."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(broadcast: Broadcast) -> object:
+    """What ``ship`` sent: one object per worker, which keeps it for all its tasks."""
+    if "shipped" not in broadcast.__dict__:
+        broadcast.shipped = pickle.loads(broadcast.value)
+    return broadcast.shipped
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keep Arrow batches of whole texts small, so that one batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -26,7 +26,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm.shared import SPACE, require, small_batches
+from gleaner.llm.shared import SPACE, require, ship, shipped, small_batches
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 MEMO_WORDS = 400_000  # of a worker; a full memo is emptied
@@ -76,31 +76,38 @@ def normalised(text: Column, drops_space: bool) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " ")) if drops_space else text
 
 
-def _by_words(counter: Callable[[list[str]], list[int]], memo: dict[bytes, int], texts: list[str]) -> list[int]:
-    """Counts of texts as sums over their words."""
-    split = [text.encode().split() for text in texts]
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    new = list({word for words in split for word in words if word not in memo})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        memo.update(zip(part, counter([word.decode() for word in part]), strict=True))
-    return [sum(map(memo.__getitem__, words)) for words in split]
+class Encoder:
+    """Counts of texts; a worker has one for all its tasks, with the words it has met."""
+
+    def __init__(self, file: TokenizerFile):
+        self.file = file
+        self.count: Callable[[list[str]], list[int]] | None = None
+        self.memo: dict[bytes, int] = {}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        self.count = self.count or self.file.counter()
+        return self._by_words(texts) if self.file.drops_space else self.count(texts)
+
+    def _by_words(self, texts: list[str]) -> list[int]:
+        """Counts of texts as sums over their words."""
+        split = [text.encode().split() for text in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        new = list({word for words in split for word in words if word not in self.memo})
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            self.memo.update(zip(part, self.count([word.decode() for word in part]), strict=True))
+        return [sum(map(self.memo.__getitem__, words)) for words in split]
 
 
 def encode_misses(misses: DataFrame, tokenizer: TokenizerFile) -> DataFrame:
     """``(digest, n_tokens)`` of ``(digest, content)``."""
-    shared = misses.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = ship(misses.sparkSession, Encoder(tokenizer))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, memo = None, {}
+        encoder: Encoder = shipped(shared)
         for batch in batches:
-            counter = counter or shared.value.counter()
-            texts = batch.column("content").to_pylist()
-            if shared.value.drops_space:
-                counts = _by_words(counter, memo, texts)
-            else:
-                counts = counter(texts)
+            counts = encoder(batch.column("content").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"]
             )

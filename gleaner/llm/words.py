@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
 
 
 def _fold_table() -> np.ndarray:
@@ -29,15 +28,26 @@ def _fold_table() -> np.ndarray:
 _FOLD = _fold_table()
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the next chunk."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        _POWERS[:] = [
-            np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]))
-            for base in (_BASE, _INVERSE)
-        ]
-    return _POWERS[0], _POWERS[1]
+class Powers:
+    """Powers of the base and of its inverse, kept for the next chunk but not sent with tasks."""
+
+    def __init__(self):
+        self.made: list[np.ndarray] = []
+
+    def __getstate__(self):
+        return {"made": []}
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.made or len(self.made[0]) < n:
+            size = 1 << max(16, int(n - 1).bit_length())
+            self.made = [
+                np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]))
+                for base in (_BASE, _INVERSE)
+            ]
+        return self.made[0], self.made[1]
+
+
+powers = Powers()
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
