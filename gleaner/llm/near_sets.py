@@ -74,10 +74,11 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
             counts += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
         for part, c in enumerate(np.split(counts, parts)):
             if c.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": [c.tobytes()]})
+                few = np.minimum(c, 0xFFFFFFFF).astype(np.uint32)  # of one task
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": [few.tobytes()]})
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(c, np.int64) for c in group["counts"].to_pylist()], axis=0)
+        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in group["counts"].to_pylist())
         return pa.table({"part": group["part"].slice(0, 1), "counts": [total.tobytes()]})
 
     schema = "part int, counts binary"
@@ -109,19 +110,27 @@ def signature_of(shingles: np.ndarray) -> bytes:
 
 
 def profiles(keyed: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """``(key, sid, size, prefix, signature)`` of non-empty texts, at least once for each key."""
+    """``(key, sid, size, prefix, signature)`` of non-empty texts, at least once for each key.
+
+    A task gives the prefix and the signature of a set once.
+    """
     shared = keyed.sparkSession.sparkContext.broadcast(counts)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        given: set[bytes] = set()
         for batch in batches:
             out: list[tuple] = []
             keys = batch.column("key").to_pylist()
             for key, shingles in zip(keys, shingle_sets(batch.column("text"), n), strict=True):
                 if len(shingles) and key not in seen:
                     seen.add(key)
-                    prefix = prefix_of(shingles, shared.value, percent)
-                    out.append((key, _digest(shingles), len(shingles), prefix.tobytes(), signature_of(shingles)))
+                    sid, prefix, signature = _digest(shingles), b"", b""
+                    if sid not in given:
+                        given.add(sid)
+                        prefix = prefix_of(shingles, shared.value, percent).tobytes()
+                        signature = signature_of(shingles)
+                    out.append((key, sid, len(shingles), prefix, signature))
             if out:
                 names = ("key", "sid", "size", "prefix", "signature")
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))))
@@ -206,6 +215,8 @@ class SignatureTree:
 
 
 def _postings(shards: int):
+    """Prefix shingles with the digest and size of their set, dealt by shingle."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefixes = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
@@ -213,30 +224,30 @@ def _postings(shards: int):
                 continue
             reps = np.array([len(p) for p in prefixes])
             keys = np.concatenate(prefixes)
-            ids = np.repeat(batch.column("id").to_numpy(), reps)
-            sizes = np.repeat(batch.column("size").to_numpy().astype(np.uint32), reps)
-            rows = list(deal(shard_of(keys, shards), keys, ids, sizes))
+            sids = np.frombuffer(b"".join(batch.column("sid").to_pylist()), np.uint64).reshape(-1, 2)
+            sizes = batch.column("size").to_numpy().astype(np.uint32)
+            rows = list(deal(shard_of(keys, shards), keys, np.repeat(sids, reps, axis=0), np.repeat(sizes, reps)))
             yield pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([s for s, _ in rows], pa.int32()),
-                    **{name: [c[k] for _, c in rows] for k, name in enumerate(("keys", "ids", "sizes"))},
+                    **{name: [c[k] for _, c in rows] for k, name in enumerate(("keys", "sids", "sizes"))},
                 }
             )
 
     return emit
 
 
-def _blocks(ids: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+def _blocks(sids: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """A group, or for a large one every pair of its blocks that may hold a link."""
-    if len(ids) <= BLOCK:
-        yield ids
+    if len(sids) <= BLOCK:
+        yield sids
         return
     half = BLOCK // 2
-    cut = range(0, len(ids), half)
+    cut = range(0, len(sids), half)
     for x, a in enumerate(cut):
         for b in cut[x + 1 :]:
             if b == a + half or sizes[a + half - 1] * 100 >= sizes[b] * percent:
-                yield np.concatenate([ids[a : a + half], ids[b : b + half]])
+                yield np.concatenate([sids[a : a + half], sids[b : b + half]])
 
 
 def _runs(percent: int):
@@ -244,24 +255,30 @@ def _runs(percent: int):
 
     def group(table: pa.Table) -> pa.Table:
         keys = joined(table["keys"].to_pylist(), np.uint64)
-        ids = joined(table["ids"].to_pylist(), np.int64)
+        sids = joined(table["sids"].to_pylist(), np.uint64).reshape(-1, 2)
         sizes = joined(table["sizes"].to_pylist(), np.uint32).astype(np.int64)
-        order = np.lexsort((ids, sizes, keys))
-        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        order = np.argsort(keys)
+        shared = np.concatenate([[False], np.diff(keys[order]) == 0])
+        shared[:-1] |= shared[1:]
+        order = order[shared]  # the others have one set only
+        keys, sids, sizes = keys[order], sids[order], sizes[order]
+        order = np.lexsort((sids[:, 1], sids[:, 0], sizes, keys))
+        keys, sids, sizes = keys[order], sids[order], sizes[order]
+        if len(keys):
+            other = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]).any(axis=1)])
+            keys, sids, sizes = keys[other], sids[other], sizes[other]
         # a group also ends where the next size is too far away to be linked
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sizes[:-1] * 100 < sizes[1:] * percent)])
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sizes[:-1] * 100 < sizes[1:] * percent)])[: len(keys)]
         begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(keys))
-        found: dict[bytes, np.ndarray] = {}
-        for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-            for members in _blocks(ids[a:b], sizes[a:b], percent):
-                found.setdefault(hashlib.blake2b(members.tobytes(), digest_size=16).digest(), members)
-        return pa.table(
-            {
-                "run": pa.array(list(found), pa.binary()),
-                "ids": pa.array([m.tolist() for m in found.values()], pa.list_(pa.int64())),
-            }
-        )
+        end = np.append(begin[1:], len(keys))[: len(begin)]
+        many = end - begin > 1
+        found: dict[bytes, bytes] = {}
+        for a, b in zip(begin[many].tolist(), end[many].tolist()):
+            for members in _blocks(sids[a:b], sizes[a:b], percent):
+                data = members.tobytes()
+                found.setdefault(hashlib.blake2b(data, digest_size=16).digest(), data)
+        lists = [[data[i : i + 16] for i in range(0, len(data), 16)] for data in found.values()]
+        return pa.table({"run": pa.array(list(found), pa.binary()), "sids": pa.array(lists, pa.list_(pa.binary()))})
 
     return group
 
@@ -269,66 +286,44 @@ def _runs(percent: int):
 def _walk(percent: int, leaders: bool):
     """Candidate pairs of the runs of a partition, which come sorted by run."""
 
-    def tree_pairs(run: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def tree_pairs(run: list[tuple]) -> pa.RecordBatch:
         run.sort(key=lambda r: (r[1], r[0]))
-        ids = np.array([r[0] for r in run], np.int64)
         sizes = np.array([r[1] for r in run], np.int64)
         bits = np.frombuffer(b"".join(r[2] for r in run), np.uint64).reshape(len(run), -1)
-        component = np.array([r[3] for r in run], np.int64)
+        numbers: dict[bytes, int] = {}
+        component = np.array([numbers.setdefault(r[3], len(numbers)) for r in run], np.int64)
         tree = SignatureTree(sizes, bits, component)
         if leaders:
-            found = [(np.full(len(x), leader), x) for leader, x in tree.leader_pairs(percent)]
+            found = [(leader, int(x)) for leader, near in tree.leader_pairs(percent) for x in near]
         else:
-            found = list(tree.pairs(percent))
-        if not found:
-            return ids[:0], ids[:0]
-        return ids[np.concatenate([f[0] for f in found])], ids[np.concatenate([f[1] for f in found])]
+            found = [(int(x), int(y)) for i, j in tree.pairs(percent) for x, y in zip(i, j)]
+        pairs = [sorted((run[x][0], run[y][0])) for x, y in found]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"]
+        )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, run = None, []
-
-        def emit(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("run", "id", "size", "signature", "component")]
+            columns = [batch.column(c).to_pylist() for c in ("run", "sid", "size", "signature", "component")]
             for key, *member in zip(*columns):
                 if key != current:
                     if len(run) > 1:
-                        yield emit(*tree_pairs(run))
+                        yield tree_pairs(run)
                     current, run = key, []
                 run.append(tuple(member))
         if len(run) > 1:
-            yield emit(*tree_pairs(run))
+            yield tree_pairs(run)
 
     return walk
 
 
-def _verified(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    left = blobs.select(F.col("id").alias("a"), F.col("blob").alias("x"))
-    right = blobs.select(F.col("id").alias("b"), F.col("blob").alias("y"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"]
-            )
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-
-def _whole_sets(keyed: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``(id, blob)``: the hashes of the needed sets, made again from the texts.
+def _whole_sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """``(sid, blob)``: the hashes of at least the needed sets, made again from the texts.
 
-    A Bloom filter of fixed size keeps most other sets from being written; the join is exact.
+    A Bloom filter of fixed size keeps most other sets from being written; the joins are exact.
     """
-    shared = keyed.sparkSession.sparkContext.broadcast(bloom_of(needed, "sid"))
+    shared = texts.sparkSession.sparkContext.broadcast(bloom_of(needed, "sid"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -343,8 +338,31 @@ def _whole_sets(keyed: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             if sids:
                 yield pa.RecordBatch.from_pydict({"sid": sids, "blob": blobs})
 
-    made = keyed.select("text").mapInArrow(again, "sid binary, blob binary")
-    return made.join(needed, "sid").dropDuplicates(["id"]).select("id", "blob")
+    made = texts.mapInArrow(again, "sid binary, blob binary").groupBy("sid").agg(F.first("blob").alias("blob"))
+    return made.join(needed, "sid", "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of set digests whose whole sets are similar enough."""
+    pairs = written(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    blobs = written(_whole_sets(texts, needed, n), "whole-sets")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"]
+            )
+
+    left = blobs.select(F.col("sid").alias("a"), F.col("blob").alias("x"))
+    right = blobs.select(F.col("sid").alias("b"), F.col("blob").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(check, "a binary, b binary"), "links")
 
 
 def text_key(text: Column) -> Column:
@@ -358,43 +376,37 @@ def linked_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     keyed = docs.select(text_key(F.col("text")).alias("key"), "text")
     counts = shingle_counts(docs, n)
     found = written(profiles(keyed, n, percent, counts), "profiles")
-    distinct = found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "signature")])
-    sets = written(distinct.withColumn("id", F.monotonically_increasing_id()), "sets")
-
-    postings = sets.agg(F.sum(F.length("prefix") / 8)).collect()[0][0] or 0
+    texts = docs.select("text")
+    postings = found.agg(F.sum(F.length("prefix") / 8)).collect()[0][0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings / SHARD_POSTINGS) + 1)
-    dealt = sets.select("id", "size", "prefix").mapInArrow(
-        _postings(shards), "shard int, keys binary, ids binary, sizes binary"
-    )
-    runs = dealt.groupBy("shard").applyInArrow(_runs(percent), "run binary, ids array<long>")
-    runs = written(runs.groupBy("run").agg(F.first("ids").alias("ids")), "runs")
-    members = runs.select("run", F.size("ids").alias("m"), F.explode("ids").alias("id"))
-    needed = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "sid")
-    blobs = written(_whole_sets(keyed, written(needed, "needed"), n), "whole-sets")
+    dealt = found.where(F.length("prefix") > 0).select("sid", "size", "prefix")
+    dealt = dealt.mapInArrow(_postings(shards), "shard int, keys binary, sids binary, sizes binary")
+    runs = dealt.groupBy("shard").applyInArrow(_runs(percent), "run binary, sids array<binary>")
+    runs = written(runs.groupBy("run").agg(F.first("sids").alias("sids")), "runs")
+    members = runs.select("run", F.size("sids").alias("m"), F.explode("sids").alias("sid"))
+    described = found.where(F.length("signature") > 0).select("sid", "size", "signature")
+    described = described.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    described = written(described, "signatures")
 
     def candidates(chosen: DataFrame, leaders: bool) -> DataFrame:
-        ready = chosen.repartition("run").sortWithinPartitions("run")
-        ready = ready.select("run", "id", "size", "signature", "component")
-        return ready.mapInArrow(_walk(percent, leaders), "a long, b long").distinct()
+        ready = chosen.join(described, "sid").repartition("run").sortWithinPartitions("run")
+        ready = ready.select("run", "sid", "size", "signature", "component")
+        return ready.mapInArrow(_walk(percent, leaders), "a binary, b binary").distinct()
 
-    described = members.join(sets.select("id", "size", "signature"), "id")
-    first = written(_verified(candidates(described.withColumn("component", F.col("id")), True), blobs, percent), "links")
+    first = verified(candidates(members.withColumn("component", F.col("sid")), True), texts, n, percent)
     roots = written(components(first), "roots")
-    placed = members.join(roots.withColumnRenamed("u", "id"), "id", "left")
-    placed = placed.select("run", "m", "id", F.coalesce("root", "id").alias("component"))
+    placed = members.join(roots.withColumnRenamed("u", "sid"), "sid", "left")
+    placed = placed.select("run", "m", "sid", F.coalesce("root", "sid").alias("component"))
     # a run of two was decided in the first round, and one of a single component needs no more
     open_ = placed.where(F.col("m") > 2).groupBy("run").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     open_ = open_.where(F.col("c0") < F.col("c1")).select("run")
-    rest = placed.join(open_, "run", "left_semi").join(sets.select("id", "size", "signature"), "id")
-    second = written(_verified(candidates(rest, False), blobs, percent), "links")
+    second = verified(candidates(placed.join(open_, "run", "left_semi"), False), texts, n, percent)
     if second.limit(1).count():
         tree = roots.select(F.col("u").alias("a"), F.col("root").alias("b"))
         roots = components(tree.unionByName(second))
-    return (
-        found.groupBy("key").agg(F.first("sid").alias("sid"))
-        .join(sets.select("sid", "id", "size"), "sid")
-        .join(roots.withColumnRenamed("u", "id"), "id", "left")
-        .select("key", "size", F.coalesce("root", "id").alias("root"))
+    sids = found.groupBy("key").agg(F.first("sid").alias("sid"), F.first("size").alias("size"))
+    return sids.join(roots.withColumnRenamed("u", "sid"), "sid", "left").select(
+        "key", "size", F.coalesce("root", "sid").alias("root")
     )
 
 
