@@ -203,9 +203,13 @@ class SignatureTree:
             inside = (ci < below) & (cj < below) & (ci <= cj)
             stack.append((level - 1, ci[inside], cj[inside]))
 
-    def leader_pairs(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each set once with a leader it may be linked to; a set without one leads itself."""
-        left = np.arange(len(self.levels[0][1]))
+    def leader_pairs(self, percent: int, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each set once with a leader it may be linked to; a set without one leads itself.
+
+        Leaders are taken in ``order``. An order that is the same in all groups makes the same few
+        sets lead the many groups of one family of near copies.
+        """
+        left = order
         while len(left) > 1:
             rest = left[1:]
             near = self._may_link(0, np.full(len(rest), left[0]), rest, percent)
@@ -294,7 +298,8 @@ def _walk(percent: int, leaders: bool):
         component = np.array([numbers.setdefault(r[3], len(numbers)) for r in run], np.int64)
         tree = SignatureTree(sizes, bits, component)
         if leaders:
-            found = [(leader, int(x)) for leader, near in tree.leader_pairs(percent) for x in near]
+            order = np.array(sorted(range(len(run)), key=lambda i: run[i][0]), np.int64)
+            found = [(leader, int(x)) for leader, near in tree.leader_pairs(percent, order) for x in near]
         else:
             found = [(int(x), int(y)) for i, j in tree.pairs(percent) for x, y in zip(i, j)]
         pairs = [sorted((run[x][0], run[y][0])) for x, y in found]
