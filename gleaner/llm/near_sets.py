@@ -42,6 +42,8 @@ LEAF = 16
 FAN = 8
 BLOCK = 4096
 SHARD_POSTINGS = 4_000_000
+UNIT = 2_000_000  # tokens of the sets that are compared and verified together
+HELD_PAIRS = 500_000  # of a unit, before they are written out
 BROADCAST_ROWS = 500_000
 
 
@@ -288,9 +290,9 @@ def _runs(percent: int):
 
 
 def _walk(percent: int, leaders: bool):
-    """Candidate pairs of the runs of a partition, which come sorted by run."""
+    """Candidate pairs of a partition's runs, which come sorted by unit and run; once per unit."""
 
-    def tree_pairs(run: list[tuple]) -> pa.RecordBatch:
+    def tree_pairs(run: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         run.sort(key=lambda r: (r[1], r[0]))
         sizes = np.array([r[1] for r in run], np.int64)
         bits = np.frombuffer(b"".join(r[2] for r in run), np.uint64).reshape(len(run), -1)
@@ -299,26 +301,38 @@ def _walk(percent: int, leaders: bool):
         tree = SignatureTree(sizes, bits, component)
         if leaders:
             order = np.array(sorted(range(len(run)), key=lambda i: run[i][0]), np.int64)
-            found = [(leader, int(x)) for leader, near in tree.leader_pairs(percent, order) for x in near]
+            found = ((leader, int(x)) for leader, near in tree.leader_pairs(percent, order) for x in near)
         else:
-            found = [(int(x), int(y)) for i, j in tree.pairs(percent) for x, y in zip(i, j)]
-        pairs = [sorted((run[x][0], run[y][0])) for x, y in found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"]
-        )
+            found = ((int(x), int(y)) for i, j in tree.pairs(percent) for x, y in zip(i, j))
+        for x, y in found:
+            one, other = run[x][0], run[y][0]
+            yield (one, other) if one < other else (other, one)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, run = None, []
+        unit = key = None
+        run: list[tuple] = []
+        seen: set[tuple[bytes, bytes]] = set()
+
+        def emit() -> pa.RecordBatch:
+            columns = {k: pa.array([p[i] for p in seen], pa.binary()) for i, k in enumerate("ab")}
+            return pa.RecordBatch.from_pydict({"unit": pa.array([unit] * len(seen), pa.int64()), **columns})
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("run", "sid", "size", "signature", "component")]
-            for key, *member in zip(*columns):
-                if key != current:
+            columns = [batch.column(c).to_pylist() for c in ("unit", "run", "sid", "size", "signature", "component")]
+            for next_unit, next_key, *member in zip(*columns):
+                if next_key != key or next_unit != unit:
                     if len(run) > 1:
-                        yield tree_pairs(run)
-                    current, run = key, []
+                        seen.update(tree_pairs(run))
+                    run = []
+                    if seen and (next_unit != unit or len(seen) > HELD_PAIRS):
+                        yield emit()
+                        seen.clear()
+                    unit, key = next_unit, next_key
                 run.append(tuple(member))
         if len(run) > 1:
-            yield tree_pairs(run)
+            seen.update(tree_pairs(run))
+        if seen:
+            yield emit()
 
     return walk
 
@@ -348,32 +362,51 @@ def _whole_sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of set digests whose whole sets are similar enough."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    blobs = written(_whole_sets(texts, needed, n), "whole-sets")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"]
-            )
+    """The pairs ``(unit, a, b)`` of set digests whose whole sets are similar enough.
 
-    left = blobs.select(F.col("sid").alias("a"), F.col("blob").alias("x"))
-    right = blobs.select(F.col("sid").alias("b"), F.col("blob").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(check, "a binary, b binary"), "links")
+    A unit's pairs are verified together, so a set is brought once to a unit, not to every pair.
+    """
+    pairs = written(pairs, "pairs")
+    asked = written(pairs.select("unit", F.explode(F.array("a", "b")).alias("sid")).distinct(), "asked")
+    blobs = _whole_sets(texts, asked.select("sid").distinct(), n)
+
+    def check(some: pa.Table, sets: pa.Table) -> pa.Table:
+        held = {
+            sid: np.frombuffer(blob, np.uint64)
+            for sid, blob in zip(sets["sid"].to_pylist(), sets["blob"].to_pylist())
+        }
+        keep = []
+        for x, y in zip(some["a"].to_pylist(), some["b"].to_pylist()):
+            a, b = held[x], held[y]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(100 * both >= percent * (len(a) + len(b) - both))
+        return some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    brought = asked.join(blobs, "sid").select("unit", "sid", "blob")
+    linked = pairs.groupBy("unit").cogroup(brought.groupBy("unit")).applyInArrow(check, "a binary, b binary")
+    return written(linked, "links")
 
 
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _in_units(members: DataFrame, described: DataFrame) -> DataFrame:
+    """``(unit, run, m, sid)``: runs put together so that those of one family meet.
+
+    Runs with the same smallest member belong to one family, more or less. They share a unit, so a
+    pair that meets in many of them comes out once; a unit holds about ``UNIT`` tokens, and a family
+    that has more is dealt to several units by run.
+    """
+    sizes = members.join(described.select("sid", "size"), "sid")
+    weights = written(sizes.groupBy("leader").agg(F.sum("size").alias("weight")), "leaders")
+    units = int((weights.agg(F.sum("weight")).collect()[0][0] or 0) / UNIT) + 1
+    parts = F.ceil(F.col("weight") / F.lit(UNIT))
+    unit = F.when(parts > 1, F.xxhash64("leader", F.pmod(F.xxhash64("run"), parts)))
+    unit = unit.otherwise(F.pmod(F.xxhash64("leader"), F.lit(units)))
+    return members.join(weights, "leader").select(unit.alias("unit"), "run", "m", "sid")
+
+
 def linked_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """``(key, size, root)`` for every non-empty text: its set's size and its component's number."""
     spark: SparkSession = docs.sparkSession
@@ -388,20 +421,24 @@ def linked_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     dealt = dealt.mapInArrow(_postings(shards), "shard int, keys binary, sids binary, sizes binary")
     runs = dealt.groupBy("shard").applyInArrow(_runs(percent), "run binary, sids array<binary>")
     runs = written(runs.groupBy("run").agg(F.first("sids").alias("sids")), "runs")
-    members = runs.select("run", F.size("sids").alias("m"), F.explode("sids").alias("sid"))
+    members = runs.select(
+        "run", F.size("sids").alias("m"), F.array_min("sids").alias("leader"), F.explode("sids").alias("sid")
+    )
     described = found.where(F.length("signature") > 0).select("sid", "size", "signature")
     described = described.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
     described = written(described, "signatures")
+    members = written(_in_units(members, described), "members")
 
     def candidates(chosen: DataFrame, leaders: bool) -> DataFrame:
-        ready = chosen.join(described, "sid").repartition("run").sortWithinPartitions("run")
-        ready = ready.select("run", "sid", "size", "signature", "component")
-        return ready.mapInArrow(_walk(percent, leaders), "a binary, b binary").distinct()
+        ready = chosen.join(described, "sid").repartition("unit").sortWithinPartitions("unit", "run")
+        ready = ready.select("unit", "run", "sid", "size", "signature", "component")
+        pairs = ready.mapInArrow(_walk(percent, leaders), "unit long, a binary, b binary")
+        return pairs.groupBy("a", "b").agg(F.min("unit").alias("unit"))
 
     first = verified(candidates(members.withColumn("component", F.col("sid")), True), texts, n, percent)
     roots = written(components(first), "roots")
     placed = members.join(roots.withColumnRenamed("u", "sid"), "sid", "left")
-    placed = placed.select("run", "m", "sid", F.coalesce("root", "sid").alias("component"))
+    placed = placed.select("unit", "run", "m", "sid", F.coalesce("root", "sid").alias("component"))
     # a run of two was decided in the first round, and one of a single component needs no more
     open_ = placed.where(F.col("m") > 2).groupBy("run").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     open_ = open_.where(F.col("c0") < F.col("c1")).select("run")
