@@ -8,7 +8,9 @@ buckets, which keeps passages that many documents share out of the prefixes.
 Within a group a signature tree is built: leaves hold sets of like size, every node the OR of its
 sets' token bitmaps, their size range and how many tokens may share a bit. Two traversals of the
 tree against itself drop node pairs whose largest possible overlap is too small. What is left is
-verified exactly on the whole sets.
+verified exactly on the whole sets. Groups with the same smallest member mostly belong to one family
+of near copies; they are worked on in one unit, where a pair counts once and a set is brought once,
+and a family above ``UNIT`` tokens is dealt to several units.
 
 Links only matter up to connection. A first round links each set to a leader of its group; the
 second looks at all pairs of different components, so a group of thousands of near copies is not
@@ -37,11 +39,13 @@ from gleaner.llm.words import deal, gram_hashes, joined, shard_of, word_chunks
 
 BUCKET_BITS = 20  # of the shingle counts that order the prefixes
 PART_BITS = 14  # buckets that are added up together
-SIGNATURE_BITS = 2048
+BITS_PER_TOKEN = 4  # of a signature, rounded up to a power of two within these bounds
+FEWEST_BITS, MOST_BITS = 512, 1 << 16
 LEAF = 16
 FAN = 8
 BLOCK = 4096
 SHARD_POSTINGS = 4_000_000
+HELD_WORDS = 1 << 22  # of signatures compared at a time
 UNIT = 2_000_000  # tokens of the sets that are compared and verified together
 HELD_PAIRS = 500_000  # of a unit, before they are written out
 BROADCAST_ROWS = 500_000
@@ -106,11 +110,25 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndar
 
 
 def signature_of(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE_BITS, np.uint8)
-    bits[(shingles & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)] = 1
+    """A bitmap of the low hash bits; sets of like size have bitmaps of like width."""
+    width = 1 << (BITS_PER_TOKEN * len(shingles) - 1).bit_length()
+    width = max(FEWEST_BITS, min(MOST_BITS, width))
+    bits = np.zeros(width, np.uint8)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def widened(signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures as bit words of one width, and how many bits each had set.
+
+    A narrow one is repeated: it then says of every wider hash whether its low bits occur, so an
+    overlap is never taken for less than it may be.
+    """
+    words = [np.frombuffer(signature, np.uint64) for signature in signatures]
+    width = max(map(len, words))
+    return np.stack([np.tile(w, width // len(w)) for w in words]), np.array([int(popcount(w)) for w in words])
+
+
 def profiles(keyed: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
     """``(key, sid, size, prefix, signature)`` of non-empty texts, at least once for each key.
 
@@ -148,8 +166,9 @@ def popcount(words: np.ndarray) -> np.ndarray:
 class SignatureTree:
     """Sets in order of size, grouped into leaves and upward; each level knows what it may overlap."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, component: np.ndarray):
-        spare = sizes - popcount(bits)  # tokens that share a bit with another of the same set
+    def __init__(self, sizes: np.ndarray, signatures: list[bytes], component: np.ndarray):
+        bits, own = widened(signatures)
+        spare = sizes - own  # tokens that share a bit with another of the same set
         self.levels = [(bits, sizes, sizes, spare, component, component)]
         step = LEAF
         while len(self.levels[-1][1]) > 1:
@@ -168,6 +187,7 @@ class SignatureTree:
             step = FAN
 
     def _may_link(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether node pairs may hold a link: by component, by size, by largest possible overlap."""
         bits, lo, hi, spare, c0, c1 = self.levels[level]
         apart = ~((c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j]))
         apart &= (hi[i] * 100 >= lo[j] * percent) & (hi[j] * 100 >= lo[i] * percent)
@@ -177,9 +197,10 @@ class SignatureTree:
         apart[apart] = both * (100 + percent) >= (lo[i] + lo[j]) * percent
         return apart
 
-    def pairs(self, percent: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of sets of different components whose largest possible overlap is enough."""
         top = len(self.levels) - 1
+        most = max(FAN * FAN, HELD_WORDS // self.levels[0][0].shape[1])  # compared at a time
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, i, j = stack.pop()
@@ -295,10 +316,9 @@ def _walk(percent: int, leaders: bool):
     def tree_pairs(run: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         run.sort(key=lambda r: (r[1], r[0]))
         sizes = np.array([r[1] for r in run], np.int64)
-        bits = np.frombuffer(b"".join(r[2] for r in run), np.uint64).reshape(len(run), -1)
         numbers: dict[bytes, int] = {}
         component = np.array([numbers.setdefault(r[3], len(numbers)) for r in run], np.int64)
-        tree = SignatureTree(sizes, bits, component)
+        tree = SignatureTree(sizes, [r[2] for r in run], component)
         if leaders:
             order = np.array(sorted(range(len(run)), key=lambda i: run[i][0]), np.int64)
             found = ((leader, int(x)) for leader, near in tree.leader_pairs(percent, order) for x in near)
@@ -340,7 +360,8 @@ def _walk(percent: int, leaders: bool):
 def _whole_sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """``(sid, blob)``: the hashes of at least the needed sets, made again from the texts.
 
-    A Bloom filter of fixed size keeps most other sets from being written; the joins are exact.
+    A Bloom filter of fixed size keeps most other sets out; the join that follows is exact. A set
+    comes once from each task that reads a text of it.
     """
     shared = texts.sparkSession.sparkContext.broadcast(bloom_of(needed, "sid"))
 
@@ -357,8 +378,7 @@ def _whole_sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             if sids:
                 yield pa.RecordBatch.from_pydict({"sid": sids, "blob": blobs})
 
-    made = texts.mapInArrow(again, "sid binary, blob binary").groupBy("sid").agg(F.first("blob").alias("blob"))
-    return made.join(needed, "sid", "left_semi")
+    return texts.mapInArrow(again, "sid binary, blob binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -382,7 +402,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
             keep.append(100 * both >= percent * (len(a) + len(b) - both))
         return some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    brought = asked.join(blobs, "sid").select("unit", "sid", "blob")
+    # With few askers the sets go straight to the units; otherwise they are shuffled on the way.
+    brought = blobs.join(_small(asked), "sid").select("unit", "sid", "blob")
     linked = pairs.groupBy("unit").cogroup(brought.groupBy("unit")).applyInArrow(check, "a binary, b binary")
     return written(linked, "links")
 
