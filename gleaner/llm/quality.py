@@ -127,11 +127,14 @@ class Measured:
 
 
 def measure(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000) -> list[Measured]:
-    """Cost and selectivity of each rule on at most ``sample_rows`` rows, best worth first.
+    """Cost and selectivity of each rule on about ``sample_rows`` rows, best worth first.
 
-    The sample only decides the order; it never decides which texts are kept.
+    The rows are drawn where they lie, by a share of their number. The sample only decides the
+    order; it never decides which texts are kept.
     """
-    sample = docs.select("text").limit(sample_rows).select("text", words_of(F.col("text")).alias("words"))
+    texts = docs.select("text")
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = (texts.sample(share, seed=1) if share < 1 else texts).withColumn("words", words_of(F.col("text")))
     sample = sample.persist()
     try:
         seen = sample.count()
