@@ -32,6 +32,8 @@ from gleaner.llm.shared import let, require, small_batches, written
 from gleaner.llm.words import mix64, powers, texts, word_chunks
 
 MIN_WORDS = 8
+BROADCAST_BYTES = 32_000_000
+ROW_BYTES = 80  # of a document's entry, besides its line numbers
 _HOLE = np.uint64(0xA0761D6478BD642F)
 
 RESULT = ("n_lines", "n_exact", "n_near", "removed")
@@ -234,7 +236,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.array_sort(F.collect_set("line")).alias("removed"),
         F.size(F.collect_set(F.when(F.col("exact"), F.col("line")))).cast("long").alias("n_exact"),
     )
-    gone = gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    gone = written(gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "gone")
+    held = gone.agg(F.sum(F.size("removed") * 4 + ROW_BYTES)).collect()[0][0] or 0
+    if held <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)  # then no text is shuffled; a larger table is joined by shuffle
     kept = [c for c in docs.columns if c not in RESULT]
     named = docs.select(*kept, text_key(F.col("text")).alias("_own"))
     parts = F.split("text", "\n")
