@@ -94,7 +94,7 @@ def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order; markup may be broken."""
     page = page or ""
     found: list[Block] = []
-    open_: list[tuple[str, tuple[str, ...]]] = []
+    open_: list[tuple[str, tuple[str, ...], bool]] = []
     silent = links = 0
     parts: list[str] = []
     in_links = 0
@@ -103,7 +103,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal in_links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(name for _, names in open_ for name in names)
+            path = tuple(name for _, names, _ in open_ for name in names)
             found.append(Block(text, path, min(1.0, in_links / len(text))))
         parts.clear()
         in_links = 0
@@ -127,10 +127,10 @@ def blocks_of(page: str | None) -> list[Block]:
                 if tag == "p" and not silent:
                     close()
                 continue
-            if any(t in BLOCK_TAGS for t, _ in open_[depth:]):
+            if any(t in BLOCK_TAGS for t, _, _ in open_[depth:]):
                 close()
-            for t, _ in open_[depth:]:
-                silent -= t in SILENT_TAGS
+            for t, _, quiet in open_[depth:]:
+                silent -= quiet
                 links -= t == "a"
             del open_[depth:]
             continue
@@ -147,8 +147,8 @@ def blocks_of(page: str | None) -> list[Block]:
             for i in range(len(open_) - 1, -1, -1):
                 outer = open_[i][0]
                 if outer == "p" or (outer == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-                    for t, _ in open_[i:]:
-                        silent -= t in SILENT_TAGS
+                    for t, _, quiet in open_[i:]:
+                        silent -= quiet
                         links -= t == "a"
                     del open_[i:]
                     break
@@ -156,8 +156,10 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
         if tag in VOID_TAGS:
             continue
-        open_.append((tag, _names(tag, attributes)))
-        silent += tag in SILENT_TAGS
+        # a form inside the article is none of its text; one around it is a container
+        quiet = tag in SILENT_TAGS or (tag == "form" and any(not _MAIN.isdisjoint(n) for _, n, _ in open_))
+        open_.append((tag, _names(tag, attributes), quiet))
+        silent += quiet
         links += tag == "a"
     close()
     return found
