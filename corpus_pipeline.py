@@ -23,12 +23,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; one that nothing but repeated lines made up goes.
+    """Documents without repeated lines; one that is a copy, or nothing but repeated lines, goes.
 
-    ``n_chars``, where there is one, follows the text.
+    A copy lost lines, has at least half of its words in lines that equal lines of earlier documents,
+    short lines too, and at most a tenth in lines that stay and equal none. What is left of it would
+    be its short lines, which the next stage could not recognise. ``n_chars``, where there is one,
+    follows the text.
     """
-    found = dedup_lines(docs)
-    found = found.where((F.size("removed") == 0) | F.col("text").rlike(WORD))
+    found = dedup_lines(docs, measured=True)
+    copy = (F.col("copied_words") * 2 >= F.col("total_words")) & (F.col("new_words") * 10 <= F.col("total_words"))
+    found = found.where((F.size("removed") == 0) | (F.col("text").rlike(WORD) & ~copy))
     if "n_chars" in docs.columns:
         changed = F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))

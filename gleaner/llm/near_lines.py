@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleaner.llm.bloom import bloom_of, may_hold_all
 from gleaner.llm.near_sets import text_key
-from gleaner.llm.shared import let, require, small_batches, written
+from gleaner.llm.shared import WORD, let, require, small_batches, written
 from gleaner.llm.words import mix64, powers, texts, word_chunks
 
 MIN_WORDS = 8
@@ -117,31 +117,34 @@ def within_one(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((long[head + 1 :] == short[head:]).all())
 
 
-def _lines(keyed: DataFrame, min_words: int) -> DataFrame:
-    """A row per line that may go: its document, number, digest and half keys."""
+def _lines(keyed: DataFrame, least: int, min_words: int) -> DataFrame:
+    """A row per line of ``least`` words: its document, number, size and digest, and half keys from ``min_words`` on."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, number, words, bounds in line_chunks(batch.column("text")):
-                long = np.flatnonzero(np.diff(bounds) >= min_words)
+                size = np.diff(bounds)
+                long = np.flatnonzero(size >= least)
                 if not len(long):
                     continue
                 at = pa.array(row[long])
-                halves = half_keys(words, bounds)[long]
-                offsets = pa.array(np.arange(len(long) + 1, dtype=np.int32) * 4)
+                near = size[long] >= min_words
+                halves = half_keys(words, bounds)[long[near]]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(near * 4)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(at),
                         batch.column("key").take(at),
                         pa.array(number[long].astype(np.int32)),
+                        pa.array(size[long].astype(np.int32)),
                         _binary16(digests_of(words, bounds)[long]),
                         pa.ListArray.from_arrays(offsets, pa.array(halves.ravel())),
                     ],
-                    ["doc_id", "key", "line", "digest", "halves"],
+                    ["doc_id", "key", "line", "n", "digest", "halves"],
                 )
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(emit, f"doc_id {kind}, key binary, line int, digest binary, halves array<long>")
+    return keyed.mapInArrow(emit, f"doc_id {kind}, key binary, line int, n int, digest binary, halves array<long>")
 
 
 def _words_of(keyed: DataFrame, needed: DataFrame, min_words: int) -> DataFrame:
@@ -214,33 +217,48 @@ def near_digests(keyed: DataFrame, first: DataFrame, min_words: int) -> DataFram
     return pairs.mapInArrow(_verify, "digest binary")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, measured: bool = False) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, ``n_lines``, ``n_exact``, ``n_near`` and ``removed``.
 
-    ``removed`` holds the 0-based numbers of the lines that went, in order.
+    ``removed`` holds the 0-based numbers of the lines that went, in order. ``measured`` adds three
+    numbers, null where no line went: ``total_words`` before, ``copied_words`` in lines of any length
+    that equal a line of an earlier document, and ``new_words`` in lines that stay and do not.
     """
     require(docs, "doc_id", "text")
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    lines = written(_lines(keyed, min_words), "lines")
+    lines = written(_lines(keyed, 1 if measured else min_words, min_words), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "line")
     first = lines.groupBy("digest").agg(F.min(order).alias("first"), F.first("halves").alias("halves"))
     first = written(first, "first-lines")
-    near = written(near_digests(keyed, first, min_words).withColumn("near", F.lit(True)), "near-lines")
+    near = written(near_digests(keyed, first.where(F.size("halves") > 0), min_words).withColumn("near", F.lit(True)), "near-lines")
     verdict = first.select("digest", "first").join(near, "digest", "left")
     gone = lines.drop("halves").join(verdict, "digest").withColumn("near", F.coalesce("near", F.lit(False)))
     gone = gone.withColumn("exact", F.col("first") != order).where("near OR exact")
+    goes = F.col("n") >= min_words
+    sums = []
+    if measured:
+        document = lambda of: F.struct(*[F.col(of + c) for c in ("doc_id", "key")])
+        gone = gone.withColumn("copied", document("first.") != document(""))
+        # by line number, as rows that agree in id and text bring their lines more than once
+        sums = [
+            F.aggregate(F.collect_set(F.when(which, F.struct("line", "n"))), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias(name)
+            for name, which in (("copied_words", F.col("copied")), ("old_words", F.col("copied") | goes))
+        ]
     gone = gone.groupBy("doc_id", "key").agg(
-        F.array_sort(F.collect_set("line")).alias("removed"),
-        F.size(F.collect_set(F.when(F.col("exact"), F.col("line")))).cast("long").alias("n_exact"),
+        F.array_sort(F.collect_set(F.when(goes, F.col("line")))).alias("removed"),
+        F.size(F.collect_set(F.when(F.col("exact") & goes, F.col("line")))).cast("long").alias("n_exact"),
+        *sums,
     )
+    gone = gone.where(F.size("removed") > 0)
     gone = written(gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "gone")
     held = gone.agg(F.sum(F.size("removed") * 4 + ROW_BYTES)).collect()[0][0] or 0
     if held <= BROADCAST_BYTES:
         gone = F.broadcast(gone)  # then no text is shuffled; a larger table is joined by shuffle
-    kept = [c for c in docs.columns if c not in RESULT]
+    extra = ("total_words", "copied_words", "new_words") if measured else ()
+    kept = [c for c in docs.columns if c not in (*RESULT, *extra)]
     named = docs.select(*kept, text_key(F.col("text")).alias("_own"))
     parts = F.split("text", "\n")
     rest = let(
@@ -256,6 +274,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.size(parts)).otherwise(0).cast("long")
     n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
     n_exact = F.coalesce("n_exact", F.lit(0).cast("long"))
+    measures = []
+    if measured:
+        total = F.when(F.col("removed").isNotNull(), F.regexp_count("text", F.lit(WORD))).cast("long")
+        measures = [total, F.col("copied_words"), total - F.col("old_words")]
     return (
         named.join(gone, named["doc_id"].eqNullSafe(gone["_id"]) & (named["_own"] == gone["_key"]), "left")
         .select(
@@ -264,5 +286,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             n_exact.alias("n_exact"),
             (n_removed - n_exact).alias("n_near"),
             F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+            *[c.alias(name) for name, c in zip(extra, measures)],
         )
     )

@@ -83,6 +83,21 @@ def test_stages(spark, sf_dir):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect()))
 
 
+def test_a_copy_leaves_one_document(spark):
+    """Copies go with their short lines; what repeats itself, or brings text of its own, stays."""
+    body = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(6)]
+    texts = ["\n".join(["A heading", *body, "the end"])] * 3  # 1 to 3: exact copies
+    texts += ["\n".join(["Other heading", *body])]  # 4: a copy under another heading
+    texts += ["\n".join(["A heading", *body[:4], *(b.replace("w7 ", "v7 ") for b in body[4:])])]  # 5: lines edited
+    texts += ["\n".join([*body[:3], *(" ".join(f"own{k}w{i}" for i in range(20)) for k in range(3))])]  # 6: half is new
+    texts += ["\n".join(["A heading", *(["one line of nine words that comes again here"] * 20)])]  # 7: repeats itself
+    texts += ["\n".join([body[0], *(f"short line {i} alone" for i in range(20))])]  # 8: one line is not its own
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts, 1)], "doc_id long, text string, n_chars long")
+    found = corpus_pipeline.line_dedup(spark, frame, "")
+    assert found.columns == frame.columns
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 6, 7, 8]
+
+
 def test_stages_on_nothing(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
