@@ -14,6 +14,8 @@ from gleaner.llm.quality import cascade
 from gleaner.llm.shared import WORD, written
 from gleaner.llm.workload import table
 
+WORDS_PER_EDIT = 25  # lines may differ by one word for each so many
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     be its short lines, which the next stage could not recognise. ``n_chars``, where there is one,
     follows the text.
     """
-    found = dedup_lines(docs, measured=True)
+    found = dedup_lines(docs, measured=True, words_per_edit=WORDS_PER_EDIT)
     copy = (F.col("copied_words") * 2 >= F.col("total_words")) & (F.col("new_words") * 10 <= F.col("total_words"))
     found = found.where((F.size("removed") == 0) | (F.col("text").rlike(WORD) & ~copy))
     if "n_chars" in docs.columns:

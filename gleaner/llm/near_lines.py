@@ -13,6 +13,12 @@ joined with the lines that are just that. What is found is verified by edit dist
 Candidates are lines that share their first or their last half with another line; without that, two
 lines cannot be one word apart.
 
+With ``words_per_edit`` the bound grows: two lines may differ by one word for every so many words of
+the shorter one. Lines long enough for two edits are then also cut into winnowed word n-grams.
+Lines within the bound share a run of words long enough to hold a window, so they share an n-gram at
+places no further apart than the bound; pairs that do are verified by edit distance on the words.
+Each is first compared with the earliest line of its n-grams, and with all others only if that fails.
+
 Defined results: null and empty texts have no lines; rows that agree in id and text are one document
 and share one fate; an empty table gives an empty result. Columns of the input that have the name of
 a result column are replaced.
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from gleaner.llm.bloom import bloom_of, may_hold_all
 from gleaner.llm.near_sets import text_key
 from gleaner.llm.shared import WORD, let, require, small_batches, written
-from gleaner.llm.words import mix64, powers, texts, word_chunks
+from gleaner.llm.words import gram_hashes, mix64, powers, texts, word_chunks
 
 MIN_WORDS = 8
 BROADCAST_BYTES = 32_000_000
@@ -117,6 +123,55 @@ def within_one(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((long[head + 1 :] == short[head:]).all())
 
 
+def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether two word sequences differ by at most ``most`` inserted, deleted or replaced words."""
+    goal = len(b) - len(a)
+    if abs(goal) > most:
+        return False
+
+    def slide(i: int, diagonal: int) -> int:
+        n = min(len(a) - i, len(b) - i - diagonal)
+        other = np.flatnonzero(a[i : i + n] != b[i + diagonal : i + diagonal + n])
+        return i + (int(other[0]) if len(other) else n)
+
+    # how far into ``a`` each diagonal reaches with so many edits
+    far = {0: slide(0, 0)}
+    for edits in range(1, most + 1):
+        if far.get(goal) == len(a):
+            return True
+        before, far = far, {}
+        for d in range(-edits, edits + 1):
+            steps = [before[x] + step for x, step in ((d, 1), (d - 1, 0), (d + 1, 1)) if x in before]
+            i = min(max(steps, default=-1), len(a), len(b) - d)
+            if i >= max(0, -d):
+                far[d] = slide(i, d)
+    return far.get(goal) == len(a)
+
+
+def _edits(shorter, words_per_edit: int):
+    """The bound of two lines, from the words of the shorter one."""
+    return max(1, shorter // words_per_edit)
+
+
+def fingerprints(words: np.ndarray, bounds: np.ndarray, words_per_edit: int) -> tuple[np.ndarray, ...]:
+    """``(line, place, hash)`` of the winnowed n-grams of lines that are long enough for two edits.
+
+    ``k`` edits in ``k * words_per_edit`` words or more leave a run of at least ``run`` words as it was.
+    """
+    run = 2 * (words_per_edit - 1) // 3
+    gram = max(1, run // 2)
+    hashes = gram_hashes(words, gram)
+    size = np.diff(bounds)
+    window = run - gram + 1
+    if len(hashes) < window:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+    line = np.repeat(np.arange(len(size)), size)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1) + np.arange(len(hashes) - window + 1)
+    inside = (line[: len(least)] == line[run - 1 : run - 1 + len(least)]) & (size >= 2 * words_per_edit)[line[: len(least)]]
+    at = np.unique(least[inside])
+    return line[at], at - bounds[line[at]], hashes[at]
+
+
 def _lines(keyed: DataFrame, least: int, min_words: int) -> DataFrame:
     """A row per line of ``least`` words: its document, number, size and digest, and half keys from ``min_words`` on."""
 
@@ -193,17 +248,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("digest").filter(pa.array(good))], ["digest"])
 
 
+def _numbered(keyed: DataFrame, first: DataFrame, needed: DataFrame, min_words: int) -> DataFrame:
+    """``(digest, words, ord)`` of the needed lines; ``ord`` grows with the order of the lines."""
+    words = _words_of(keyed, needed, min_words)
+    # sorted by range, numbered in place
+    ready = words.join(needed, "digest", "left_semi").dropDuplicates(["digest"])
+    ready = ready.join(first.select("digest", "first"), "digest").orderBy("first")
+    return written(ready.select("digest", "words", F.monotonically_increasing_id().alias("ord")), "candidate-lines")
+
+
 def near_digests(keyed: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     """Digests of lines that are one word away from an earlier line."""
     halves = first.select("digest", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
     needed = written(halves.join(shared, "half", "left_semi").select("digest").distinct(), "candidates")
-    words = _words_of(keyed, needed, min_words)
-    # Numbers that grow with the order of the lines: sorted by range, numbered in place.
-    ready = words.join(needed, "digest", "left_semi").dropDuplicates(["digest"])
-    ready = ready.join(first.select("digest", "first"), "digest").orderBy("first")
-    lines = written(ready.select("digest", "words", F.monotonically_increasing_id().alias("ord")), "candidate-lines")
-
+    lines = _numbered(keyed, first, needed, min_words)
     made = lines.select("ord", "words").mapInArrow(_emit_variants, "hole long, without long, ord long")
     groups = made.groupBy("hole").agg(F.min("ord").alias("earlier"), F.max("ord").alias("last"))
     groups = groups.where("earlier < last").select("hole", "earlier")
@@ -217,23 +276,80 @@ def near_digests(keyed: DataFrame, first: DataFrame, min_words: int) -> DataFram
     return pairs.mapInArrow(_verify, "digest binary")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, measured: bool = False) -> DataFrame:
+def further_digests(
+    keyed: DataFrame, first: DataFrame, near: DataFrame, min_words: int, words_per_edit: int
+) -> DataFrame:
+    """Digests of lines not in ``near`` that are within the grown bound of an earlier line."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words, bounds in line_chunks(batch.column("text")):
+                line, at, gram = fingerprints(words, bounds, words_per_edit)
+                if len(line):
+                    digests = _binary16(digests_of(words, bounds)[line])
+                    size = np.diff(bounds)[line].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(gram.view(np.int64)), digests, pa.array(at.astype(np.int32)), pa.array(size)],
+                        ["gram", "digest", "at", "n"],
+                    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("words").to_pylist(), batch.column("other").to_pylist()):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                good.append(within(a, b, _edits(min(len(a), len(b)), words_per_edit)))
+            yield pa.RecordBatch.from_arrays([batch.column("digest").filter(pa.array(good, pa.bool_()))], ["digest"])
+
+    made = written(keyed.select("text").mapInArrow(emit, "gram long, digest binary, at int, n int"), "grams")
+    mark = F.xxhash64("digest")
+    shared = made.groupBy("gram").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a < b").select("gram")
+    found = made.join(shared, "gram", "left_semi").dropDuplicates(["gram", "digest", "at"])
+    found = written(found, "shared-grams")
+    lines = _numbered(keyed, first, found.select("digest").distinct(), min_words)
+    found = written(found.join(lines.select("digest", "ord"), "digest"), "placed-grams")
+    later = found.join(near.select("digest"), "digest", "left_anti")
+    other = lines.select(F.col("ord").alias("earlier"), F.col("words").alias("other"))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("ord", "earlier").distinct().join(lines, "ord").join(other, "earlier")
+        return pairs.select("digest", "words", "other").mapInArrow(verify, "digest binary").distinct()
+
+    leaders = found.groupBy("gram").agg(F.min("ord").alias("earlier"))
+    one = written(judged(later.join(leaders, "gram").where("earlier < ord")), "further-lines")
+    before = found.select("gram", F.col("ord").alias("earlier"), F.col("at").alias("_at"), F.col("n").alias("_n"))
+    bound = F.floor(F.least("n", "_n") / F.lit(words_per_edit))
+    pairs = later.join(one, "digest", "left_anti").join(before, "gram").where("earlier < ord")
+    pairs = pairs.where((F.abs(F.col("n") - F.col("_n")) <= bound) & (F.abs(F.col("at") - F.col("_at")) <= bound))
+    return one.unionByName(judged(pairs))
+
+
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, measured: bool = False, words_per_edit: int | None = None
+) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, ``n_lines``, ``n_exact``, ``n_near`` and ``removed``.
 
     ``removed`` holds the 0-based numbers of the lines that went, in order. ``measured`` adds three
     numbers, null where no line went: ``total_words`` before, ``copied_words`` in lines of any length
     that equal a line of an earlier document, and ``new_words`` in lines that stay and do not.
+    Lines differ by one word at most, or with ``words_per_edit`` by one for every so many of their words.
     """
     require(docs, "doc_id", "text")
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
+    if words_per_edit is not None and words_per_edit < 4:
+        raise ValueError("words_per_edit must be at least 4")
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     lines = written(_lines(keyed, 1 if measured else min_words, min_words), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "line")
     first = lines.groupBy("digest").agg(F.min(order).alias("first"), F.first("halves").alias("halves"))
     first = written(first, "first-lines")
-    near = written(near_digests(keyed, first.where(F.size("halves") > 0), min_words).withColumn("near", F.lit(True)), "near-lines")
+    able = first.where(F.size("halves") > 0)
+    near = written(near_digests(keyed, able, min_words).withColumn("near", F.lit(True)), "near-lines")
+    if words_per_edit is not None:
+        further = further_digests(keyed, able, near, min_words, words_per_edit)
+        near = near.unionByName(written(further.withColumn("near", F.lit(True)), "further-near-lines"))
     verdict = first.select("digest", "first").join(near, "digest", "left")
     gone = lines.drop("halves").join(verdict, "digest").withColumn("near", F.coalesce("near", F.lit(False)))
     gone = gone.withColumn("exact", F.col("first") != order).where("near OR exact")

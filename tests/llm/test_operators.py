@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 from collections import Counter
 
 import pytest
@@ -133,6 +134,30 @@ def test_line_dedup(docs):
         assert (row["text"] or "") == "\n".join(left)
 
 
+def test_line_dedup_with_a_growing_bound(spark):
+    """One edit for ten words, at any place and of any kind, against plain edit distance."""
+    draw = random.Random(5)
+    lines = []
+    for size in (12, 19, 20, 29, 35, 60, 90):
+        base = [f"b{size}w{draw.randrange(size)}" for _ in range(size)]
+        lines.append(base)
+        for edits in range(1, size // 10 + 3):
+            line = list(base)
+            for k in range(edits):
+                at = draw.randrange(len(line))
+                line[at : at + draw.randrange(2)] = [f"e{size}k{edits}x{k}"] * draw.randrange(2)
+            lines.append(line)
+        lines.append([w if i % (size // max(1, size // 10) ) else f"s{size}w{i}" for i, w in enumerate(base)])
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["removed"] for r in dedup_lines(frame, words_per_edit=10).collect()}
+    near = lambda a, b: brute.edit_distance(a, b) <= max(1, min(len(a), len(b)) // 10)
+    expected = {i: [0] if any(near(a, b) for b in lines[:i]) else [] for i, a in enumerate(lines)}
+    assert found == expected
+    once = {r["doc_id"]: r["removed"] for r in dedup_lines(frame).collect()}
+    assert sum(map(len, once.values())) < sum(map(len, found.values()))
+
+
 def test_language_model(docs):
     train = [t for _, t in PLAIN[:12]]
     plain = brute.KneserNey(train)
