@@ -2,8 +2,8 @@
 
 Lines are sequences of lower-cased words. A line goes if an earlier line equals it, or differs from
 it by one word inserted, deleted or replaced. "Earlier" is by document id (nulls last), then text
-digest, then place in the text. Lines of fewer than ``min_words`` words are never touched: one word is
-too much of them.
+digest, then place in the text. Lines of fewer than ``min_words`` words are not compared by edits, as
+one word is too much of them; they go as exact repeats only if ``exact_words`` allows it.
 
 Every candidate line emits, for each of its words, the hash of the line with a hole in that word's
 place and the hash of the line without that word. Lines with the same hole pattern differ by one
@@ -325,7 +325,11 @@ def further_digests(
 
 
 def dedup_lines(
-    docs: DataFrame, min_words: int = MIN_WORDS, measured: bool = False, words_per_edit: int | None = None
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    measured: bool = False,
+    words_per_edit: int | None = None,
+    exact_words: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, ``n_lines``, ``n_exact``, ``n_near`` and ``removed``.
 
@@ -333,15 +337,19 @@ def dedup_lines(
     numbers, null where no line went: ``total_words`` before, ``copied_words`` in lines of any length
     that equal a line of an earlier document, and ``new_words`` in lines that stay and do not.
     Lines differ by one word at most, or with ``words_per_edit`` by one for every so many of their words.
+    ``exact_words`` lets shorter lines than ``min_words`` go too, where they equal an earlier one.
     """
     require(docs, "doc_id", "text")
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
+    exact_words = min_words if exact_words is None else exact_words
+    if not 1 <= exact_words <= min_words:
+        raise ValueError("exact_words must be from 1 to min_words")
     if words_per_edit is not None and words_per_edit < 4:
         raise ValueError("words_per_edit must be at least 4")
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    lines = written(_lines(keyed, 1 if measured else min_words, min_words), "lines")
+    lines = written(_lines(keyed, 1 if measured else exact_words, min_words), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "line")
     first = lines.groupBy("digest").agg(F.min(order).alias("first"), F.first("halves").alias("halves"))
     first = written(first, "first-lines")
@@ -353,7 +361,7 @@ def dedup_lines(
     verdict = first.select("digest", "first").join(near, "digest", "left")
     gone = lines.drop("halves").join(verdict, "digest").withColumn("near", F.coalesce("near", F.lit(False)))
     gone = gone.withColumn("exact", F.col("first") != order).where("near OR exact")
-    goes = F.col("n") >= min_words
+    goes = F.col("n") >= exact_words
     sums = []
     if measured:
         document = lambda of: F.struct(*[F.col(of + c) for c in ("doc_id", "key")])

@@ -158,6 +158,16 @@ def test_line_dedup_with_a_growing_bound(spark):
     assert sum(map(len, once.values())) < sum(map(len, found.values()))
 
 
+def test_line_dedup_of_short_exact_repeats(spark):
+    """Short lines go where they equal an earlier one, also in their own document, never by an edit."""
+    rows = [(1, "a short line\n\nother\na short line"), (2, "A short  line\na short lime\n\nother"), (3, "alone")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dedup_lines(frame, exact_words=1).collect()
+    assert {r["doc_id"]: (r["removed"], r["n_exact"], r["n_near"]) for r in found} == {
+        1: ([3], 1, 0), 2: ([0, 3], 2, 0), 3: ([], 0, 0)
+    }
+
+
 def test_language_model(docs):
     train = [t for _, t in PLAIN[:12]]
     plain = brute.KneserNey(train)
