@@ -6,7 +6,7 @@ bidirectional LSTM in numpy reads a page's blocks in order and labels each with
 context. The text is the blocks labelled main, joined by blank lines.
 
 The labeller is trained here, on a bounded sample: ``TRAIN_PAGES`` pages chosen by a hash of their id,
-labelled by their own semantic elements (main text stands in article or main, and in none of the
+without those of more than ``TRAIN_BLOCKS`` blocks, labelled by their own semantic elements (main text stands in article or main, and in none of the
 parts that the lexicon below names). Each is also shown with those elements renamed or nameless, and
 with parts that a lexicon describes put in, so that no single tag decides.
 
