@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import SF_DIR
+from shared_rows import SF_DIR
 from gleaner.operators import lookup
 from gleaner.operators.bm25 import bm25_hits
 from gleaner.operators.requests import resolved_batch

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CHUNK_ROWS, DOCUMENT_ROWS, SF_DIR
+from shared_rows import CHUNK_ROWS, DOCUMENT_ROWS, SF_DIR
 from gleaner.operators.bm25 import bm25_hits, bm25_search
 from gleaner.operators.hybrid import fuse, hybrid_search, normalized_weights
 from gleaner.operators.lsh import vector_search_lsh
@@ -289,7 +289,7 @@ def test_vector_search_without_vectors(spark, tables, tmp_path):
 
 def test_lsh_recall(spark):
     from gleaner.plans.open import store_for
-    from conftest import SF_DIR
+    from shared_rows import SF_DIR
     from gleaner.sources.raw import raw
 
     opened = store_for(spark, SF_DIR)

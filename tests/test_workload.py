@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import SF_DIR
+from shared_rows import SF_DIR
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
