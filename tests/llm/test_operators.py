@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import ROWS
+from llm_rows import ROWS
 from gleaner.llm import html_text, language, language_model
 from gleaner.llm.decontaminate import contaminated
 from gleaner.llm.mixing import mix, route, targets

@@ -8,7 +8,7 @@ import pytest
 
 import brute
 import corpus_pipeline
-from conftest import ROWS
+from llm_rows import ROWS
 
 FILLER = "plain words of a document that says nothing twice and goes on for a little while longer number"
 
