@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm import html_text, language, language_model, sql
+from gleaner.llm import html_text, language, language_model, sql, whitening
 from gleaner.llm.decontaminate import contaminated
 from gleaner.llm.mixing import mix
 from gleaner.llm.near_lines import dedup_lines
 from gleaner.llm.near_sets import ngram_jaccard
+from gleaner.llm.packing import pack
 from gleaner.llm.quality import cascade, text_measures
-from gleaner.llm.shared import scratch
+from gleaner.llm.shared import lower_ascii, scratch
+from gleaner.llm.spelling import MIN_LENGTH, variants
 from gleaner.llm.tokens import TokenizerFile, count_tokens
 from gleaner.llm.url_lists import host_of, judge
 
@@ -150,6 +152,54 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def misspelt(docs: DataFrame) -> DataFrame:
+    """``(word, n)``: the letter runs of all texts, one in 31 without one of its code points."""
+    letters = rf"([A-Za-z\u00C0-\u00FF]{{{MIN_LENGTH},}})"  # a shorter run gives no word
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(letters), F.lit(1))).alias("run"))
+    runs = runs.select("doc_id", lower_ascii(F.col("run")).alias("run"))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    runs = runs.select("run", F.crc32(key.cast("binary")).alias("h"), F.length("run").alias("length"))
+    at = F.pmod("h", "length").cast("int")
+    without = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.col("length")))
+    word = F.when(F.col("h") % 31 == 0, without).otherwise(F.col("run"))
+    words = runs.select(word.alias("word")).where(F.length("word") >= MIN_LENGTH)
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = misspelt(table(spark, sf_dir, "documents"))
+    found = variants(words.where("n >= 2"), ratio=10)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = TokenizerFile.read(public_tokenizers.path("word_bpe_49k.json"), drops_space=True)
+    pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, end_id=2, longest=4096)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it goes beyond a long; the operator gives it as a decimal."""
+    vectors = whitening.quantized(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    vectors = vectors.select("vec_id", "x")
+    model, distinct = whitening.fit(vectors)
+    if model is None:
+        columns = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+        return spark.createDataFrame([], columns)
+    explained = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues])
+    return whitening.whiten(vectors, model).select(
+        "vec_id",
+        "component",
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        F.get(explained, F.col("component") - 1).alias("explained"),
+        F.lit(whitening.identity_error(distinct, model)).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     build.__name__: build
     for build in (
@@ -163,6 +213,9 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_html_extraction,
         op10_source_mixing,
+        op11_spelling_variants,
+        op12_packing,
+        op13_embedding_whitening,
     )
 }
 
