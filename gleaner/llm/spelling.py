@@ -37,6 +37,7 @@ MARKS = ("\x02", "\x03")  # begin and end
 
 _OCCURRENCE_BITS = 10
 _RARE_IDS = 1 << 18  # ids of short grams that the dictionary lacks
+_INDEX = "key long, skipped array<int>, letters long, word string, n long"
 RESULT = ("word", "n", "n_near", "form", "form_n", "root")
 
 
@@ -127,6 +128,17 @@ def keys_of(word: str, dictionary: GramDictionary) -> list[tuple[int, list[int]]
     ]
 
 
+def letters_of(word: str) -> int:
+    """Which code points a word has, modulo 64, as bits of a signed number.
+
+    An edit takes at most one bit away and adds at most one.
+    """
+    bits = 0
+    for c in set(word):
+        bits |= 1 << (ord(c) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def gram_dictionary(words: DataFrame, most: int = MOST_GRAMS) -> GramDictionary:
     """The frequent grams of a table of words, ``most`` at the most.
 
@@ -153,7 +165,7 @@ def gram_dictionary(words: DataFrame, most: int = MOST_GRAMS) -> GramDictionary:
 
 
 def keyed(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
-    """``(key, skipped, word, n)``: the rows of the index, a few per word."""
+    """``(key, skipped, letters, word, n)``: the rows of the index, a few per word."""
     shared = ship(words.sparkSession, dictionary)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +175,9 @@ def keyed(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                keys, skipped, counts = [], [], []
+                keys, skipped, counts, letters = [], [], [], []
                 for word in batch.column("word").to_pylist():
+                    letters.append(letters_of(word))
                     found = keys_of(word, grams)
                     counts.append(len(found))
                     for key, before in found:
@@ -175,13 +188,14 @@ def keyed(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
                     [
                         pa.array(keys, pa.int64()),
                         pa.array(skipped, pa.list_(pa.int32())),
+                        pa.array(letters, pa.int64()).take(rows),
                         batch.column("word").take(rows),
                         batch.column("n").take(rows),
                     ],
-                    ["key", "skipped", "word", "n"],
+                    ["key", "skipped", "letters", "word", "n"],
                 )
 
-    return words.select("word", "n").mapInArrow(index, "key long, skipped array<int>, word string, n long")
+    return words.select("word", "n").mapInArrow(index, _INDEX)
 
 
 def near_pairs(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
@@ -190,6 +204,8 @@ def near_pairs(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     meets = (
         (F.col("a.key") == F.col("b.key"))
+        # cheap tests first: few of those who meet are near
+        & (F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters"))) <= 2)
         & (F.col("a.word") < F.col("b.word"))
         & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
         & ~F.arrays_overlap("a.skipped", "b.skipped")
