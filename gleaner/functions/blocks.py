@@ -19,6 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 9
 _CELLS_PER_BLOCK = 1_000_000
+_LEAST_ROWS = 200  # of a block, however many requests there are
 CANDIDATES = "request_id string, chunk_id string, cost double, key double"
 
 TaskFunction = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -90,7 +91,7 @@ class BestOfAll:
 
 def _pieces(batches: Iterator[pa.RecordBatch], requests: int) -> Iterator[pa.RecordBatch]:
     """Slices for which a line per request stays within the block size."""
-    rows = max(1, _CELLS_PER_BLOCK // max(1, requests))
+    rows = max(_LEAST_ROWS, _CELLS_PER_BLOCK // max(1, requests))
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

@@ -12,15 +12,17 @@ from pyspark.sql.types import (
     ArrayType,
     DoubleType,
     IntegerType,
+    LongType,
     StringType,
     StructField,
     StructType,
 )
 
 from gleaner.functions.blocks import CANDIDATES, TermWeights, best_keyword_scores
-from gleaner.operators.ranking import label_hits, settled, top_ranked
+from gleaner.operators.ranking import label_hits, ranked, settled, top_ranked
 from gleaner.operators.requests import Batch, in_batches, local_frame, passes_filter
 from gleaner.plans.store import Analyzer, Store
+from gleaner.schemas import MAX_LIMIT
 
 # (request, term) pairs that are held and broadcast at once; a batch with more is cut by requests.
 TERMS_AT_ONCE = 100_000
@@ -30,8 +32,15 @@ MAX_NAMED_TERMS = 5_000
 # matches at most this share of them.
 FEW_TERMS = 64
 DENSE_SHARE = 0.25
+# Postings that a batch must match before blocks are weighed against its results: see ``_worth_reading``.
+WEIGH_FROM = 20_000_000
+# Blocks named in a scan filter; where more of them may hold results, all are read.
+MAX_NAMED_BLOCKS = 2_000
+_SLACK = 1e-6  # scores may differ by the order in which they are summed
 
 _TERMS = StructType([StructField("r", IntegerType()), StructField("term", StringType())])
+_WEIGHTS = StructType([*_TERMS, StructField("df", LongType())])
+_REACH = StructType([StructField("r", IntegerType()), StructField("reach", DoubleType())])
 _PARAMS = StructType(
     [
         StructField("r", IntegerType()),
@@ -55,6 +64,10 @@ class Bm25:
     def idf_value(self, n_chunks: int, df: int) -> float:
         return math.log10((n_chunks - df + 0.5) / (df + 0.5) + 1.0)
 
+    @property
+    def name(self) -> str:
+        return f"{self.k1}_{self.b}"
+
     def saturation(self, tf: Column, dl: Column, avgdl: float) -> Column:
         length = F.lit(1.0 - self.b) + F.lit(self.b) * dl / F.lit(avgdl)
         return tf * F.lit(self.k1 + 1.0) / (tf + F.lit(self.k1) * length)
@@ -71,6 +84,7 @@ def bm25_hits(
     store: Store,
     analyzer: Analyzer = Analyzer(),
     model: Bm25 = Bm25(),
+    weigh: bool | None = None,
 ) -> DataFrame:
     """Ranked ``(request_id, chunk_id, fts_score, rank)``.
 
@@ -80,17 +94,19 @@ def bm25_hits(
     A batch that matches a small part of the postings reads that part (``_from_postings``). One
     that would multiply the postings by its requests, or names too many terms for a scan filter,
     reads every chunk once instead (``_from_chunks``). Both give the same rows. Terms are held for
-    at most ``TERMS_AT_ONCE`` pairs, or one request; the postings are never shuffled.
+    at most ``TERMS_AT_ONCE`` pairs, or one request; the postings are never shuffled. A few requests
+    that match very many postings read those blocks only that may hold results (``_worth_reading``);
+    ``weigh`` overrules what counts as very many.
     """
     if not batch.rows:
         return batch.empty(_HITS)
     wanted = query_terms(batch.frame, analyzer)
     found = wanted.limit(TERMS_AT_ONCE + 1).collect()
     if len(found) <= TERMS_AT_ONCE:
-        return _hits_of(batch, found, store, analyzer, model)
+        return _hits_of(batch, found, store, analyzer, model, weigh)
     counts = {row["request_id"]: row["count"] for row in wanted.groupBy("request_id").count().collect()}
     parts = [
-        _hits_of(part, query_terms(part.frame, analyzer).collect(), store, analyzer, model)
+        _hits_of(part, query_terms(part.frame, analyzer).collect(), store, analyzer, model, weigh)
         for part in _cut(batch, counts)
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -111,7 +127,7 @@ def _cut(batch: Batch, counts: dict[str, int]) -> Iterator[Batch]:
 
 
 def _hits_of(
-    batch: Batch, found: list[Row], store: Store, analyzer: Analyzer, model: Bm25
+    batch: Batch, found: list[Row], store: Store, analyzer: Analyzer, model: Bm25, weigh: bool | None
 ) -> DataFrame:
     numbers = {row["request_id"]: n for n, row in enumerate(batch.rows)}
     entries = ({"r": numbers[row["request_id"]], "term": row["term"]} for row in found)
@@ -121,12 +137,66 @@ def _hits_of(
     # Named terms reach the scans, which skip all other pages.
     terms = store.terms(analyzer).where(_among(named)) if few else store.terms(analyzer)
     weights = terms.join(wanted, "term").select("r", "term", "df")
-    if len(found) > FEW_TERMS:
-        rows = weights.collect()
-        matched = sum(row["df"] for row in rows)
-        if not few or matched > DENSE_SHARE * store.corpus(analyzer)["n_postings"]:
-            return _from_chunks(batch, store, analyzer, model, rows)
-    return _from_postings(batch, store, analyzer, model, F.broadcast(weights), named)
+    least = WEIGH_FROM if weigh is None else 0 if weigh else math.inf
+    if len(found) <= FEW_TERMS and store.corpus(analyzer)["n_postings"] < least:
+        return _from_postings(batch, store, analyzer, model, F.broadcast(weights), named)
+    rows = weights.collect()
+    matched = sum(row["df"] for row in rows)
+    weights = F.broadcast(local_frame(batch.frame.sparkSession, (row.asDict() for row in rows), _WEIGHTS))
+    if len(found) <= FEW_TERMS:
+        blocks = _worth_reading(batch, store, analyzer, model, rows, weights) if matched >= least else None
+        return _from_postings(batch, store, analyzer, model, weights, named, blocks)
+    if not few or matched > DENSE_SHARE * store.corpus(analyzer)["n_postings"]:
+        return _from_chunks(batch, store, analyzer, model, rows)
+    return _from_postings(batch, store, analyzer, model, weights, named)
+
+
+def _worth_reading(
+    batch: Batch, store: Store, analyzer: Analyzer, model: Bm25, rows: list[Row], weights: DataFrame
+) -> list[int] | None:
+    """Blocks that may hold results of some request, or None where they are too many to be named.
+
+    A block's bound for a request is the sum of its terms' largest parts there. For frequent terms
+    these are stored; the postings of the others are few and are read for it. The blocks with the
+    highest bounds are scored first, as many as results are wanted. The last result so far is a
+    score that all results reach, so blocks with a lower bound hold none. Frequencies, lengths and
+    ranks are as without this: the rows that are left out could not be among the results.
+    """
+    frequent = sorted({row["term"] for row in rows if row["df"] >= store.peak_terms_from()})
+    others = sorted({row["term"] for row in rows} - set(frequent))
+    corpus = store.corpus(analyzer)
+    avgdl = corpus["avgdl"] or 1.0
+    value = lambda length: model.saturation(F.col("tf"), F.col("dl"), length)
+    peaks = store.peaks(model.name, value, analyzer).where(_among(frequent)).select("term", "block", "peak")
+    found = store.postings(analyzer).where(_among(others)).groupBy("term", "block").agg(F.max(value(avgdl)).alias("peak"))
+    bounds = (
+        peaks.unionByName(found)
+        .join(weights, "term")
+        .groupBy("r", "block")
+        .agg(F.sum(model.idf(corpus["n_chunks"], F.col("df")) * F.col("peak")).alias("bound"))
+    )
+    limits = F.broadcast(batch_frame(batch).select("r", "limit"))
+    first = ranked(
+        bounds.join(limits, "r"), F.col("bound").desc(), F.col("block"), limit=F.col("limit"), most=MAX_LIMIT, by="r"
+    ).collect()
+    named = sorted({row["block"] for row in first})
+    if not named or len(named) > MAX_NAMED_BLOCKS:
+        return None
+    terms = [*frequent, *others]
+    best = _from_postings(batch, store, analyzer, model, weights, terms, named)
+    last = {
+        row["request_id"]: row["least"]
+        for row in best.groupBy("request_id").agg(F.count("*").alias("n"), F.min("fts_score").alias("least"))
+        .join(batch.frame.select("request_id", "limit"), "request_id").where(F.col("n") >= F.col("limit")).collect()
+    }
+    reach = [
+        {"r": n, "reach": max(last.get(row["request_id"], 0.0), row["min_score"] or 0.0) - _SLACK}
+        for n, row in enumerate(batch.rows)
+    ]
+    spark = batch.frame.sparkSession
+    reached = bounds.join(F.broadcast(local_frame(spark, reach, _REACH)), "r").where(F.col("bound") >= F.col("reach"))
+    kept = reached.select("block").distinct().limit(MAX_NAMED_BLOCKS + 1).collect()
+    return sorted(row["block"] for row in kept) if len(kept) <= MAX_NAMED_BLOCKS else None
 
 
 def _from_postings(
@@ -136,14 +206,17 @@ def _from_postings(
     model: Bm25,
     weights: DataFrame,
     named: list[str],
+    blocks: list[int] | None = None,
 ) -> DataFrame:
-    """Join postings with query terms and sum per (request, chunk).
+    """Join postings with query terms and sum per (request, chunk), of some blocks or of all.
 
     Postings are bucketed by chunk, so the sum needs no shuffle; what moves is each task's best
     100 rows per request. Requests are numbered: a number is cheaper than a name in group keys.
     """
     corpus, postings = store.corpus(analyzer), store.postings(analyzer).where(_among(named))
-    params = F.broadcast(local_frame(batch.frame.sparkSession, _numbered(batch), _PARAMS))
+    if blocks is not None:
+        postings = postings.where(F.col("block").isin(blocks))
+    params = F.broadcast(batch_frame(batch))
     matches = postings.join(weights, "term")
     if any(row["allowed_ciks"] is not None for row in batch.rows):
         matches = matches.join(params, "r").where(passes_filter(F.col("allowed_ciks"), F.col("cik")))
@@ -159,6 +232,7 @@ def _from_postings(
         F.col("chunk_id"),
         limit=F.col("limit"),
         by="r",
+        tasks=store.posting_tasks(),
     )
     return best.drop("limit").join(params, "r").select("request_id", "chunk_id", "fts_score", "rank")
 
@@ -188,6 +262,7 @@ def _from_chunks(
         F.col("key"),
         F.col("chunk_id"),
         limit=F.col("limit"),
+        tasks=store.passage_tasks(),
     ).select("request_id", "chunk_id", "fts_score", "rank")
 
 
@@ -199,6 +274,11 @@ def _among(terms: list[str]) -> Column:
     return F.expr("term IN (" + ", ".join(f"'{t}'" for t in quoted) + ")")
 
 
+def batch_frame(batch: Batch) -> DataFrame:
+    """The requests of a batch by their numbers."""
+    return local_frame(batch.frame.sparkSession, _numbered(batch), _PARAMS)
+
+
 def _numbered(batch: Batch) -> list[dict]:
     names = [field.name for field in _PARAMS if field.name != "r"]
     return [{"r": n, **{name: row[name] for name in names}} for n, row in enumerate(batch.rows)]
@@ -209,10 +289,12 @@ def bm25_search(
     store: Store,
     analyzer: Analyzer = Analyzer(),
     model: Bm25 = Bm25(),
+    weigh: bool | None = None,
 ) -> DataFrame:
     """Keyword search for a request table; see ``RESULT_COLUMNS``."""
     return in_batches(
         requests,
         store.companies,
-        lambda batch: label_hits(bm25_hits(batch, store, analyzer, model), store, "fts", batch=batch),
+        lambda batch: label_hits(bm25_hits(batch, store, analyzer, model, weigh), store, "fts", batch=batch),
+        shared_pass=True,
     )

@@ -124,4 +124,4 @@ def hybrid_search(
     def search(batch: Batch) -> DataFrame:
         return label_hits(hybrid_hits(batch, store, analyzer, model), store, "hybrid", batch=batch)
 
-    return in_batches(requests, store.companies, search, hybrid=True)
+    return in_batches(requests, store.companies, search, hybrid=True, shared_pass=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.operators.requests import Batch, local_frame
@@ -9,20 +11,38 @@ from gleaner.plans.store import Store
 from gleaner.schemas import MAX_LIMIT, RESULT_COLUMNS
 
 SCORE_DIGITS = 9
+TASKS_RANKED_AT_ONCE = 2_000
 NAMED_HITS = 2_000  # also what parquet scans are told to look up by value, see ``Store``
 _SCORES = ("fts_score", "vector_score", "distance", "combined_score")
 
 
 def top_ranked(
-    hits: DataFrame, *order: Column, limit: Column, by: str = "request_id"
+    hits: DataFrame, *order: Column, limit: Column, by: str = "request_id", tasks: int = 0
+) -> DataFrame:
+    """Number each request's rows in ``order`` and keep ``limit`` of them; see ``ranked``."""
+    return ranked(hits, *order, limit=limit, most=MAX_LIMIT, by=by, tasks=tasks)
+
+
+def ranked(
+    hits: DataFrame, *order: Column, limit: Column, most: int, by: str = "request_id", tasks: int = 0
 ) -> DataFrame:
-    """Number each request's rows in ``order`` and keep ``limit`` of them.
+    """``top_ranked`` for limits that go up to ``most``.
 
     The literal ceiling is redundant for the result; it lets the planner cut every task's rows
-    to 100 per request before they are shuffled.
+    to so many per request before they are shuffled. Where hits come from very many ``tasks``, their
+    rows of one request would still be too many for the one task that ranks them, so groups of
+    tasks are ranked first.
     """
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return hits.withColumn("rank", rank).where((F.col("rank") <= MAX_LIMIT) & (F.col("rank") <= limit))
+    if tasks > TASKS_RANKED_AT_ONCE:
+        groups = math.ceil(math.sqrt(tasks))
+        hits = hits.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        hits = _cut(hits, order, limit, most, (by, "_group")).drop("_group", "rank")
+    return _cut(hits, order, limit, most, (by,))
+
+
+def _cut(hits: DataFrame, order: tuple[Column, ...], limit: Column, most: int, by: tuple[str, ...]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return hits.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("rank") <= limit))
 
 
 def settled(score: Column) -> Column:
@@ -55,15 +75,16 @@ def label_hits(
     at run time. Without ``method`` the hits bring that column along; ``keep`` names further
     columns of theirs.
     """
-    keyed = hits.withColumn("part", store.part_of(F.col("chunk_id")))
+    places = [F.col("chunk_id")]
+    keyed = hits.withColumns({"part": store.part_of(*places), "block": store.block_of(*places)})
     passages = store.passages().where("linked")
     if methods * sum(row["limit"] for row in batch.rows) <= NAMED_HITS:
         rows = keyed.collect()
         keyed = local_frame(hits.sparkSession, (row.asDict() for row in rows), keyed.schema)
-        passages = passages.where(F.col("part").isin(sorted({row["part"] for row in rows})))
-        passages = passages.where(F.col("chunk_id").isin(sorted({row["chunk_id"] for row in rows})))
+        for name in ("part", "block", "chunk_id"):
+            passages = passages.where(F.col(name).isin(sorted({row[name] for row in rows})))
     labelled = (
-        passages.join(F.broadcast(keyed), ["part", "chunk_id"])
+        passages.join(F.broadcast(keyed), ["part", "block", "chunk_id"])
         .join(company_names(store.companies), "cik", "left")
     )
     if method is not None:

@@ -2,9 +2,13 @@
 
 Searches answer a table of requests at once. What depends on the requests alone (terms, vectors,
 limits) is small by contract, so a batch of at most ``MAX_BATCH`` rows is read into the plan and
-turns into literal filters and broadcast sides of known size. A larger table is cut into batches
-by a hash of the request id, and every batch's result is appended to a table in the shared folder:
-the driver holds one batch at a time, whatever the number of requests.
+turns into literal filters and broadcast sides of known size. A larger table is cut into slices
+by a hash of the request id, and every slice's result is appended to a table in the shared folder:
+the driver holds one slice at a time, whatever the number of requests.
+
+A slice is a pass over what is searched. Searches that look at a row once for all requests take
+slices that are as large as their results and vectors allow: ``PASS_REQUESTS`` requests, ``PASS_ROWS`` rows
+of results, ``PASS_VALUES`` numbers in vectors. 20,000 requests with the default limit are two passes.
 
 Every search begins with ``in_batches``, which refuses requests out of bounds before anything runs.
 """
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
@@ -32,6 +37,9 @@ from gleaner.schemas import (
 from gleaner.session import shared_folder
 
 MAX_BATCH = 1000
+PASS_REQUESTS = 20_000
+PASS_ROWS = 200_000
+PASS_VALUES = 1 << 23
 
 _NAMED_FAULTS = 10  # requests an error names
 
@@ -87,6 +95,16 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(r"\S"), F.lit(False))
 
 
+_LIMITS = (
+    ("limit", 1, MAX_LIMIT),
+    ("min_score", 0, None),
+    ("max_distance", 0, MAX_DISTANCE),
+    ("fts_weight", 0, 1),
+    ("semantic_weight", 0, 1),
+)
+_NO_WEIGHT = "combined weights must be greater than 0"
+
+
 def _bounds(hybrid: bool) -> dict[str, Column]:
     """Broken bounds by the reason that names them."""
 
@@ -95,17 +113,9 @@ def _bounds(hybrid: bool) -> dict[str, Column]:
         broken = (value < low) | (value > high) if high is not None else value < low
         return F.coalesce(broken, F.lit(False))
 
-    checks = {
-        "limit out of bounds": outside("limit", 1, MAX_LIMIT),
-        "min_score out of bounds": outside("min_score", 0, None),
-        "max_distance out of bounds": outside("max_distance", 0, MAX_DISTANCE),
-        "fts_weight out of bounds": outside("fts_weight", 0, 1),
-        "semantic_weight out of bounds": outside("semantic_weight", 0, 1),
-    }
+    checks = {f"{name} out of bounds": outside(name, low, high) for name, low, high in _LIMITS}
     if hybrid:
-        checks["combined weights must be greater than 0"] = (
-            F.col("fts_weight") + F.col("semantic_weight") <= 0
-        )
+        checks[_NO_WEIGHT] = F.col("fts_weight") + F.col("semantic_weight") <= 0
     return checks
 
 
@@ -133,9 +143,35 @@ def refuse_faulty(requests: DataFrame, *, hybrid: bool = False) -> None:
     faults = judged.where("reason <> ''").unionByName(
         shared.select("request_id", F.lit("request id not unique").alias("reason"))
     )
-    found = faults.limit(_NAMED_FAULTS).collect()
+    _raise_for((row["request_id"], row["reason"]) for row in faults.limit(_NAMED_FAULTS).collect())
+
+
+def refuse_faulty_rows(rows: Iterable[Row], *, hybrid: bool = False) -> None:
+    """``refuse_faulty`` for requests that the driver holds: no job."""
+
+    def outside(row: Row, name: str, low: float, high: float | None) -> bool:
+        value = row[name]
+        # NaN is larger than any number, as it is for Spark
+        return value is not None and (value < low or (high is not None and not value <= high))
+
+    faults = []
+    rows = list(rows)
+    for row in rows:
+        reasons = [] if row["request_id"] is not None else ["no request id"]
+        reasons += [f"{name} out of bounds" for name, low, high in _LIMITS if outside(row, name, low, high)]
+        if hybrid and None not in (row["fts_weight"], row["semantic_weight"]):
+            reasons += [_NO_WEIGHT] if row["fts_weight"] + row["semantic_weight"] <= 0 else []
+        if reasons:
+            faults.append((row["request_id"], "; ".join(reasons)))
+    counts = Counter(row["request_id"] for row in rows if row["request_id"] is not None)
+    faults += [(request, "request id not unique") for request, n in counts.items() if n > 1]
+    _raise_for(faults[:_NAMED_FAULTS])
+
+
+def _raise_for(faults: Iterable[tuple[str, str]]) -> None:
+    found = sorted(f"{request}: {reason}" for request, reason in faults)
     if found:
-        raise ValueError("; ".join(sorted(f"{r['request_id']}: {r['reason']}" for r in found)))
+        raise ValueError("; ".join(found))
 
 
 def is_given(values: Column) -> Column:
@@ -229,22 +265,25 @@ def in_batches(
     search: Callable[[Batch], DataFrame],
     max_batch: int = MAX_BATCH,
     hybrid: bool = False,
+    shared_pass: bool = False,
 ) -> DataFrame:
-    """Run ``search`` over all requests, batch by batch when there are more than ``max_batch``.
+    """Run ``search`` over all requests, slice by slice when there are more than ``max_batch``.
 
-    Faulty requests are refused first; with ``hybrid`` a sum of weights of 0 is a fault, too.
+    Faulty requests are refused first; with ``hybrid`` a sum of weights of 0 is a fault, too. With
+    ``shared_pass`` slices are as large as a pass can serve.
     """
     spark = requests.sparkSession
     rows = requests.limit(max_batch + 1).collect()
     if len(rows) <= max_batch:
-        refuse_faulty(local_frame(spark, (row.asDict() for row in rows), requests.schema), hybrid=hybrid)
+        refuse_faulty_rows(rows, hybrid=hybrid)
         return search(resolved_batch(spark, rows, companies))
 
     folder = f"{shared_folder(spark)}/gleaner/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     requests.write.parquet(f"{folder}/requests")
     requests = spark.read.parquet(f"{folder}/requests")
     refuse_faulty(requests, hybrid=hybrid)
-    slices = _slice_count(requests, max_batch)
+    weight = _share_of_a_pass(max_batch) if shared_pass else F.lit(1.0 / max_batch)
+    slices = _slice_count(requests, weight)
     # Written by slice, so that each slice is read from its own directory.
     cut = requests.withColumn("slice", _slice(slices)).repartition("slice")
     cut.write.partitionBy("slice").parquet(f"{folder}/slices")
@@ -258,19 +297,30 @@ def in_batches(
     return spark.read.parquet(f"{folder}/hits")
 
 
+def _share_of_a_pass(max_batch: int) -> Column:
+    """What a request takes of the requests, result rows and vector values that a pass holds."""
+    return F.greatest(
+        F.lit(1.0 / max(max_batch, PASS_REQUESTS)),
+        F.col("limit") / F.lit(float(PASS_ROWS)),
+        F.coalesce(F.size("query_vec"), F.lit(0)) / F.lit(float(PASS_VALUES)),
+    )
+
+
 def _slice(slices: int) -> Column:
     return F.pmod(F.xxhash64("request_id"), F.lit(slices))
 
 
-def _slice_count(requests: DataFrame, max_batch: int) -> int:
-    """A slice count for which no slice exceeds the batch size, checked by counting.
+def _slice_count(requests: DataFrame, weight: Column) -> int:
+    """A slice count for which the weights of no slice exceed 1, checked by adding up.
 
     Ids are unique here, so slices shrink with their number. The first count leaves a slice about a
     tenth empty.
     """
-    slices = max(2, math.ceil(1.1 * requests.count() / max_batch))
+    slices = max(2, math.ceil(1.1 * requests.agg(F.sum(weight)).first()[0]))
     while True:
-        largest = requests.groupBy(_slice(slices).alias("s")).count().agg(F.max("count")).first()[0]
-        if largest <= max_batch:
+        totals = requests.groupBy(_slice(slices).alias("s")).agg(F.sum(weight).alias("t"), F.count(F.lit(1)).alias("n"))
+        # a request that takes more than a pass has one to itself
+        largest = totals.where("n > 1").agg(F.max("t")).first()[0] or 0.0
+        if largest <= 1.0 + 1e-9:
             return slices
-        slices = math.ceil(slices * max(1.05, largest / max_batch))
+        slices = math.ceil(slices * max(1.05, largest))

@@ -53,6 +53,7 @@ def vector_hits(batch: Batch, store: Store) -> DataFrame:
             F.col("key"),
             F.col("chunk_id"),
             limit=F.col("limit"),
+            tasks=store.vector_tasks(),
         )
         .withColumn("vector_score", similarity(F.col("distance")))
         .select("request_id", "chunk_id", "distance", "vector_score", "rank")
@@ -75,4 +76,4 @@ def vector_search(requests: DataFrame, store: Store) -> DataFrame:
     def search(batch: Batch) -> DataFrame:
         return label_hits(shown_distances(vector_hits(batch, store), batch), store, "vector", batch=batch)
 
-    return in_batches(requests, store.companies, search)
+    return in_batches(requests, store.companies, search, shared_pass=True)

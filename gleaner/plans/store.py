@@ -2,22 +2,34 @@
 
 Four written tables, each arranged so that a search touches a small part of it:
 
-``passages``  chunk text with its labels, clustered by ``part`` (a hash of the chunk id). A search
+Chunks are dealt to blocks of about a hundred by a hash of their id. All layouts use the same blocks:
+a block lies in one directory of passages and one bucket of postings, and its rows lie together, in
+small pages, so naming a block reads little else.
+
+``passages``  chunk text with its labels, clustered by ``part`` (a hash of the chunk id) and block. A search
               ends with at most 100 rows per request; joining them on ``(part, chunk_id)`` lets
               dynamic partition pruning read only the directories that hold those rows.
 ``forward``   per chunk: length and ``(term, tf)`` pairs, counted inside the row. Read by the
               build steps below, so text is tokenised once.
 ``terms``     document and collection frequency per term, over all chunks.
-``postings``  ``(term, chunk_id, tf, dl, cik)``, bucketed by chunk and sorted by term. All postings
+``postings``  ``(term, chunk_id, tf, dl, cik, block)``, bucketed by chunk and sorted by term and block. All postings
               of a chunk share a bucket, so scores are summed where the rows are read, without a
               shuffle; a term holding a third of all rows spreads evenly over all buckets; and the
               sort lets a scan skip the pages of terms the query does not name.
 
+``peaks``     for frequent terms the largest saturated count that a block holds: what tells a search
+              which blocks cannot reach its results.
+``grams``     the blocks in which three code points follow each other, for substring search.
+
 ``documents``  metadata without text, which lookups read.
 
 ``vectors`` holds ``(chunk_id, cik, embedding, norm)`` cut by ``(cik, chunk_id)`` ranges, so
 company filters skip row groups and a dominant company still spreads over many files.
 
+``ivf_*``     for approximate search: each vector once, with a compact code, in directories by its
+              nearest centroid and in pages of few rows, so a search reads the codes of the
+              directories it probes and the whole vectors of the rows it re-ranks.
+
 ``hashes``    for approximate search: each vector once per hash table, in directories by a hash of
               ``(table, bucket)`` and cut by ``(table, bucket, chunk_id)`` ranges, so a search opens
               the directories of its own buckets and a crowded bucket spreads over many files.
@@ -35,6 +47,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from gleaner.functions.grams import grams_of_blocks
 from gleaner.functions.stem import stem_tokens
 from gleaner.functions.text import run_counts, run_starts, tokens
 from gleaner.functions.vectors import norm
@@ -42,9 +55,19 @@ from gleaner.schemas import CHUNKS, COMPANIES, DOCUMENTS, EMBEDDINGS, SECTIONS
 from gleaner.sources.tables import Tables
 
 _PASSAGES_PER_FILE = 2_000_000
+_CHUNKS_PER_TASK = 100_000  # of text, by the size of files that a task reads
 _KEYS_PER_TASK = 5_000_000
 _POSTINGS_PER_BUCKET = 8_000_000
+_POSTINGS_PER_CHUNK = 100
 _VECTORS_PER_FILE = 200_000
+_VECTORS_PER_PAGE = 64
+_CHUNKS_PER_BLOCK = 128
+_PASSAGES_PER_PAGE = 64
+_POSTINGS_PER_PAGE = 1024
+_PEAKS_PER_FILE = 20_000_000
+# Terms found in so many chunks of an average block have peaks: the table stays that much smaller than postings.
+_POSTINGS_PER_PEAK = 16
+_GRAMS_PER_CHUNK = 60  # of those that are new in a block
 _SMALLEST_SHARE = 1_000
 _MOST_DIRECTORIES = 4096
 _MOST_BUCKETS = 50_000
@@ -56,6 +79,7 @@ _POSTINGS_SCHEMA = StructType(
         StructField("tf", IntegerType()),
         StructField("dl", IntegerType()),
         StructField("cik", StringType()),
+        StructField("block", IntegerType()),
     ]
 )
 
@@ -104,6 +128,11 @@ def shares(rows: int, target: int, cores: int) -> int:
     return max(1, by_size, by_cores)
 
 
+def paged(rows: int) -> dict[str, str]:
+    """Writer options for pages of so many rows, which scans with named values read singly."""
+    return {"parquet.page.row.count.limit": str(rows), "parquet.page.size.row.check.min": str(rows)}
+
+
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A session setting for the jobs inside."""
@@ -162,6 +191,10 @@ class Store:
                 self._built[name] = self.spark.read.parquet(target)
             return self._built[name]
 
+    def fact(self, name: str, compute: Callable[[], DataFrame]) -> Row:
+        """What an operator has worked out once about this store; see ``_fact``."""
+        return self._fact(name, compute)
+
     def _fact(self, name: str, compute: Callable[[], DataFrame]) -> Row:
         """A one-row frame, computed once; kept beside the layouts of a store to be reused."""
         with self._lock:
@@ -207,12 +240,41 @@ class Store:
 
         return self._fact("chunks", compute)["n"]
 
+    def chunk_count(self) -> int:
+        return self._chunk_count()
+
     def part_count(self) -> int:
         return min(_MOST_DIRECTORIES, shares(self._chunk_count(), _PASSAGES_PER_FILE, self._cores))
 
     def part_of(self, chunk_id: Column) -> Column:
         return F.pmod(F.hash(chunk_id), F.lit(self.part_count()))
 
+    def block_count(self) -> int:
+        """A multiple of the directories of passages and of the buckets of postings.
+
+        All three are remainders of the same hash, so a block lies in one of each.
+        """
+        step = math.lcm(self.part_count(), self._bucket_count())
+        return step * math.ceil(max(1, self._chunk_count()) / _CHUNKS_PER_BLOCK / step)
+
+    def block_of(self, chunk_id: Column) -> Column:
+        return F.pmod(F.hash(chunk_id), F.lit(self.block_count()))
+
+    def passage_tasks(self) -> int:
+        """About how many tasks read all passages or term counts."""
+        return shares(self._chunk_count(), _CHUNKS_PER_TASK, 1)
+
+    def posting_tasks(self) -> int:
+        return self._bucket_count()
+
+    def vector_tasks(self) -> int:
+        return shares(self.vector_count(), _VECTORS_PER_FILE, 1)
+
+    def _bucket_count(self) -> int:
+        """Buckets of postings: by the chunks, as blocks are made before terms are counted."""
+        rows = self._chunk_count() * _POSTINGS_PER_CHUNK
+        return min(_MOST_BUCKETS, shares(rows, _POSTINGS_PER_BUCKET, self._cores))
+
     def _write_passages(self, target: str) -> None:
         rows, parts = self._chunk_count(), self.part_count()
         # A multiple of the directory count: the shuffle hashes as ``part_of`` does, so every task
@@ -234,8 +296,10 @@ class Store:
                 .join(labels, "chunk_id", "left")
                 .withColumn("linked", F.coalesce("linked", F.lit(False)))
                 .withColumn("part", self.part_of(F.col("chunk_id")))
-                .sortWithinPartitions("part", "chunk_id")
+                .withColumn("block", self.block_of(F.col("chunk_id")))
+                .sortWithinPartitions("part", "block", "chunk_id")
                 .write.mode("overwrite")
+                .options(**paged(_PASSAGES_PER_PAGE))
                 .partitionBy("part")
                 .parquet(target)
             )
@@ -275,8 +339,7 @@ class Store:
         name = f"postings_{analyzer.layout}"
         with self._lock:
             if name not in self._built:
-                rows = self.corpus(analyzer)["n_postings"]
-                buckets = min(_MOST_BUCKETS, shares(rows, _POSTINGS_PER_BUCKET, self._cores))
+                buckets = self._bucket_count()
                 table = f"gleaner_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}_{name}"
                 if self.reuse and self._complete(name):
                     self._attach_postings(table, f"{self.path}/{name}", buckets)
@@ -298,8 +361,10 @@ class Store:
         with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "1"):
             (
                 posting_rows(placed)
-                .sortWithinPartitions("term", "chunk_id")
+                .withColumn("block", self.block_of(F.col("chunk_id")))
+                .sortWithinPartitions("term", "block", "chunk_id")
                 .write.mode("overwrite")
+                .options(**paged(_POSTINGS_PER_PAGE))
                 .bucketBy(buckets, "chunk_id")
                 .option("path", target)
                 .saveAsTable(table)
@@ -314,6 +379,64 @@ class Store:
             f"LOCATION '{target}'"
         )
 
+    def peak_terms_from(self) -> int:
+        """Chunks that a term must be in to have peaks."""
+        return self.block_count() * _POSTINGS_PER_PEAK
+
+    def peaks(self, name: str, saturation: Callable[[float], Column], analyzer: Analyzer = Analyzer()) -> DataFrame:
+        """``(term, block, peak)`` of frequent terms: the largest ``saturation`` that a block's postings have.
+
+        ``saturation`` is an expression over ``tf`` and ``dl``, given the average length; ``name`` stands for it.
+        """
+
+        def write(target: str) -> None:
+            frequent = self.terms(analyzer).where(F.col("df") >= self.peak_terms_from()).select("term")
+            value = saturation(self.corpus(analyzer)["avgdl"] or 1.0)
+            rows = self.corpus(analyzer)["n_postings"] // _POSTINGS_PER_PEAK
+            (
+                self.postings(analyzer)
+                .join(frequent, "term")
+                .groupBy("term", "block")
+                .agg(F.max(value).alias("peak"))
+                .repartitionByRange(shares(rows, _PEAKS_PER_FILE, self._cores), "term", "block")
+                .sortWithinPartitions("term", "block")
+                .write.mode("overwrite")
+                .options(**paged(_POSTINGS_PER_PAGE))
+                .parquet(target)
+            )
+
+        return self._written(f"peaks_{analyzer.layout}_{name}", write)
+
+    # -- substrings ---------------------------------------------------------------------------
+
+    def grams(self) -> DataFrame:
+        """``(gram, block, slots)``: where linked passages hold three code points in a row.
+
+        A block's chunks are dealt to 64 slots, one bit each, so grams that a block has in different
+        chunks are told apart. A block can have two rows for a gram, where its passages were read apart.
+        """
+
+        def write(target: str) -> None:
+            (
+                block_grams(self.passages().where("linked"))
+                .repartitionByRange(shares(self._chunk_count() * _GRAMS_PER_CHUNK, _PEAKS_PER_FILE, self._cores), "gram", "block")
+                .sortWithinPartitions("gram", "block")
+                .write.mode("overwrite")
+                .options(**paged(_POSTINGS_PER_PAGE))
+                .parquet(target)
+            )
+
+        return self._written("grams", write)
+
+    def gram_counts(self) -> DataFrame:
+        """``(gram, n)``: in how many slots a gram is found."""
+
+        def write(target: str) -> None:
+            counted = self.grams().groupBy("gram").agg(F.sum(F.bit_count("slots").cast("long")).alias("n"))
+            counted.sortWithinPartitions("gram").write.mode("overwrite").parquet(target)
+
+        return self._written("gram_counts", write)
+
     # -- vectors ------------------------------------------------------------------------------
 
     def _vector_facts(self) -> Row:
@@ -341,6 +464,26 @@ class Store:
 
         return self._written("vectors", write)
 
+    def vector_count(self) -> int:
+        return self._vector_facts()["n"] or 0
+
+    def inverted_lists(self, name: str, placed: Callable[[], DataFrame]) -> DataFrame:
+        """Vectors by ``list``; ``placed`` gives the stored ones with that column and their codes."""
+
+        def write(target: str) -> None:
+            files = shares(self.vector_count(), _VECTORS_PER_FILE, self._cores)
+            (
+                placed()
+                .repartitionByRange(files, "list", "chunk_id")
+                .sortWithinPartitions("list", "chunk_id")
+                .write.mode("overwrite")
+                .options(**paged(_VECTORS_PER_PAGE))
+                .partitionBy("list")
+                .parquet(target)
+            )
+
+        return self._written(name, write)
+
     def hashes(self, name: str, buckets: Callable[[DataFrame], DataFrame], tables: int) -> DataFrame:
         """Vectors by hash bucket; ``buckets`` adds an array column with one bucket per table."""
 
@@ -403,6 +546,13 @@ def posting_rows(forward: DataFrame) -> DataFrame:
     )
 
 
+def block_grams(passages: DataFrame) -> DataFrame:
+    """``(gram, block, slots)`` of lower-cased text, as rows lie: each task's blocks without repeats."""
+    slot = F.pmod(F.xxhash64("chunk_id"), F.lit(64)).cast("int").alias("slot")
+    lowered = passages.select("block", slot, F.lower("chunk_text").alias("text")).where("text IS NOT NULL")
+    return lowered.mapInArrow(grams_of_blocks, "gram long, block int, slots long")
+
+
 def corpus_stats(forward: DataFrame) -> DataFrame:
     """Chunk count, average length of chunks that have tokens, number of (term, chunk) pairs."""
     return forward.agg(

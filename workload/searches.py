@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import presets, summary
 from gleaner.operators.bm25 import bm25_search
 from gleaner.operators.hybrid import hybrid_search
+from gleaner.operators.ivf import vector_search_ivf
 from gleaner.operators.lsh import vector_search_lsh
 from gleaner.operators.requests import with_defaults
 from gleaner.operators.substring import substring_search, text_search
@@ -63,6 +64,12 @@ SUBSTRING = [
     {"request_id": "scored", "query": "nicht", "min_score": 99.0},
     {"request_id": "none", "query": "no such text"},
 ]
+SUBSTRING_RARE = [
+    {"request_id": "inside", "query": "hble nic", "limit": 40},
+    {"request_id": "short", "query": "q%_", "limit": 10},
+    {"request_id": "accents", "query": "EAUENAUX OUÈ", "limit": 10},
+    {"request_id": "signs", "query": "ENSE. ", "limit": 10},
+]
 VECTOR = [{"request_id": "v", "query": "vector 0", "vec_id": 0, "limit": 20}]
 VECTOR_FILTERED = [
     {"request_id": "tickers", "query": "v", "vec_id": 0, "tickers": ["tk0", "TK0B", "NOPE"], "limit": 100},
@@ -109,6 +116,20 @@ _search("bm25_batch", KEYWORD_BATCH, bm25_search, fts_sql)
 _search("bm25_filtered", KEYWORD_FILTERED, bm25_search, fts_sql)
 _search("bm25_min_score", KEYWORD_SCORED, bm25_search, fts_sql)
 _search("substring_batch", SUBSTRING, substring_search, substring_sql)
+# The same through bounds of blocks, which small corpora do without.
+_search(
+    "bm25_weighed_blocks",
+    KEYWORD + KEYWORD_BATCH + KEYWORD_FILTERED + KEYWORD_SCORED,
+    lambda requests, opened: bm25_search(requests, opened, weigh=True),
+    fts_sql,
+)
+# The same and more through the index of three code points, which small corpora do without.
+_search(
+    "substring_indexed",
+    SUBSTRING + SUBSTRING_RARE,
+    lambda requests, opened: substring_search(requests, opened, indexed=True),
+    substring_sql,
+)
 
 
 def _text_search_indexed(requests, opened):
@@ -152,6 +173,14 @@ _search(
     None,
 )
 _search("vector_lsh", VECTOR + VECTOR_FILTERED, vector_search_lsh, None)
+# Approximate search with its own bounds; with every list probed and many rows re-ranked it is exact.
+_search("vector_ivf", VECTOR + VECTOR_FILTERED, vector_search_ivf, None)
+_search(
+    "vector_ivf_all_lists",
+    VECTOR_FILTERED + VECTOR_BOUNDED,
+    lambda requests, opened: vector_search_ivf(requests, opened, probes=10**6, overfetch=20),
+    vector_sql,
+)
 
 
 def benchmark_requests(spark, sf_dir):
@@ -201,6 +230,19 @@ def paired_requests(spark, sf_dir):
     return with_defaults(asked.join(vectors, "request_id", "left"))
 
 
+@query(
+    "vector_ivf_recall",
+    f"SELECT request_id, true AS enough FROM ({LABEL_REQUESTS}) r",
+)
+def vector_ivf_recall(spark, sf_dir):
+    """Whether the approximate search finds nine of ten of the exact one's hits, per request."""
+    requests, opened = label_requests(spark, sf_dir), store(spark, sf_dir)
+    exact = vector_search(requests, opened).select("request_id", "chunk_id")
+    near = vector_search_ivf(requests, opened).select("request_id", "chunk_id", F.lit(1).alias("hit"))
+    both = exact.join(near, ["request_id", "chunk_id"], "left").groupBy("request_id")
+    return both.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("vector_benchmark_passages", vector_sql(PAIRED_REQUESTS))
 def vector_benchmark_passages(spark, sf_dir):
     return vector_search(paired_requests(spark, sf_dir), store(spark, sf_dir))
