@@ -71,7 +71,7 @@ def ciks_of_tickers(companies: DataFrame, tickers: list[str]) -> DataFrame:
     )
 
 
-def _metadata(documents: DataFrame) -> DataFrame:
+def document_metadata(documents: DataFrame) -> DataFrame:
     return documents.select(
         *[F.col(c).cast("string") if c == "ingested_at" else F.col(c) for c in DOCUMENT_COLUMNS]
     )
@@ -110,7 +110,7 @@ def find_documents(
     """Document metadata by comma-separated tickers, ciks and year; cik sorts as text."""
     found = documents_matching(tables, tickers=tickers, ciks=ciks, year=year)
     return (
-        _metadata(found)
+        document_metadata(found)
         .orderBy(
             F.col("cik").asc_nulls_last(),
             F.col("year").desc_nulls_last(),
@@ -122,7 +122,7 @@ def find_documents(
 
 def get_document(documents: DataFrame, doc_id: str) -> DataFrame:
     """Metadata of one document: one row, or none."""
-    return _metadata(documents.where(F.col("doc_id") == doc_id))
+    return document_metadata(documents.where(F.col("doc_id") == doc_id))
 
 
 # Presets with the defaults the client methods use.

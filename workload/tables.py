@@ -8,6 +8,7 @@ from gleaner.functions.text import contains_ci, excerpt, plain_list, upper_list
 from gleaner.functions.vectors import cosine_distance, norm, similarity
 from gleaner.operators import lookup
 from gleaner.operators.derive import document_totals
+from gleaner.operators.lookup_batch import find_companies_batch, find_documents_batch
 from gleaner.operators.ranking import company_names
 from gleaner.operators.requests import clamp_limit, complement_weights, split_requests, with_defaults
 from gleaner.operators.stats import capabilities, is_empty, table_counts
@@ -266,6 +267,78 @@ _company_query("companies_wildcard_name", "upper(name) LIKE upper('%n%_1_%')", n
 _company_query("companies_top_3", "upper(name) LIKE upper('%nation%')", 3, name="nation")
 
 
+# Every listing asks for itself in several ways: part of its name, wildcards, its ticker, all filters, nothing.
+_COMPANY_REQUESTS = """
+    SELECT kind || ticker || '/' || cik AS request_id, wanted_name, wanted_ticker, wanted_cik, wanted_exchange, lim FROM (
+        SELECT ticker, cik, unnest(['n', 'w', 't', 'a', 'e', '-', 'l']) AS kind,
+               CASE WHEN kind IN ('n', 'a') THEN substr(name, 3, 6) WHEN kind = 'w' THEN substr(name, 1, 2) || '%' || right(name, 2) || '_' END AS wanted_name,
+               CASE WHEN kind IN ('t', 'a') THEN substr(lower(ticker), 2) WHEN kind = 'w' THEN '_' END AS wanted_ticker,
+               CASE WHEN kind = 'a' THEN cik WHEN kind = '-' THEN 0 END AS wanted_cik,
+               CASE WHEN kind IN ('e', 'a', 'l') THEN lower(exchange) WHEN kind = '-' THEN '' END AS wanted_exchange,
+               CASE WHEN kind = 'l' THEN 1001 ELSE 5 END AS lim
+        FROM t_companies)
+"""
+
+
+def company_requests(companies):
+    """``_COMPANY_REQUESTS`` as a frame."""
+    kind = F.col("kind")
+    asked = companies.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in "nwtae-l"])))
+    wild = F.concat(F.substring("name", 1, 2), F.lit("%"), F.right("name", F.lit(2)), F.lit("_"))
+    return asked.select(
+        F.concat("kind", "ticker", F.lit("/"), "cik").alias("request_id"),
+        F.when(kind.isin("n", "a"), F.substring("name", 3, 6)).when(kind == "w", wild).alias("name"),
+        F.when(kind.isin("t", "a"), F.expr("substr(lower(ticker), 2)")).when(kind == "w", F.lit("_")).alias("ticker"),
+        F.when(kind == "a", F.col("cik")).when(kind == "-", F.lit(0)).cast("long").alias("cik"),
+        F.when(kind.isin("e", "a", "l"), F.lower("exchange")).when(kind == "-", F.lit("")).alias("exchange"),
+        F.when(kind == "l", F.lit(1001)).otherwise(F.lit(5)).alias("limit"),
+    )
+
+
+_COMPANY_VALID = """
+    (wanted_name <> '' OR wanted_ticker <> '' OR wanted_cik <> 0 OR wanted_exchange <> '') IS TRUE AND lim BETWEEN 1 AND 1000
+"""
+
+
+@query(
+    "companies_batch",
+    with_ctes(
+        f"""
+        SELECT request_id, rank, cik, name, ticker, exchange FROM (
+            SELECT r.request_id, r.lim, c.*, row_number() OVER (PARTITION BY r.request_id
+                       ORDER BY name NULLS LAST, ticker NULLS LAST, cik NULLS LAST, exchange NULLS LAST) AS rank
+            FROM (SELECT * FROM ({_COMPANY_REQUESTS}) WHERE {_COMPANY_VALID}) r JOIN t_companies c
+              ON (coalesce(wanted_name, '') = '' OR upper(name) LIKE '%' || upper(wanted_name) || '%')
+             AND (coalesce(wanted_ticker, '') = '' OR upper(ticker) LIKE '%' || upper(wanted_ticker) || '%')
+             AND (coalesce(wanted_cik, 0) = 0 OR cik = wanted_cik)
+             AND (coalesce(wanted_exchange, '') = '' OR upper(exchange) = upper(wanted_exchange)))
+        WHERE rank <= lim
+        """,
+        "t_companies",
+    ),
+)
+def companies_batch(spark, sf_dir):
+    companies = _tables(spark, sf_dir)[COMPANIES]
+    return find_companies_batch(company_requests(companies), companies)[0]
+
+
+@query(
+    "companies_batch_rejected",
+    with_ctes(
+        f"""
+        SELECT request_id, concat_ws('; ', CASE WHEN (wanted_name <> '' OR wanted_ticker <> '' OR wanted_cik <> 0
+                   OR wanted_exchange <> '') IS NOT TRUE THEN 'no filter' END,
+                   CASE WHEN lim NOT BETWEEN 1 AND 1000 THEN 'limit out of bounds' END) AS reason
+        FROM ({_COMPANY_REQUESTS}) WHERE NOT ({_COMPANY_VALID})
+        """,
+        "t_companies",
+    ),
+)
+def companies_batch_rejected(spark, sf_dir):
+    companies = _tables(spark, sf_dir)[COMPANIES]
+    return find_companies_batch(company_requests(companies), companies)[1].select("request_id", "reason")
+
+
 @query("preset_companies_by_ticker", _company_sql("upper(ticker) LIKE upper('%tk2%')"))
 def preset_companies_by_ticker(spark, sf_dir):
     return lookup.companies_by_ticker(_tables(spark, sf_dir)[COMPANIES], "tk2")
@@ -319,6 +392,53 @@ _document_query(
     ciks="4,5",
     year=2019,
 )
+# Every listing asks for the documents of its ticker, of its cik, of both, and of a year.
+_DOCUMENT_REQUESTS = """
+    SELECT kind || ticker || '/' || cik AS request_id, lim, tick, ck, yr FROM (
+        SELECT ticker, cik, unnest(['t', 'c', 'b', 'y', '-']) AS kind,
+               CASE WHEN kind IN ('t', 'b') THEN [lower(ticker), 'NOPE'] WHEN kind = '-' THEN [''] END AS tick,
+               CASE WHEN kind IN ('c', 'b') THEN [CAST(cik AS VARCHAR), CAST(cik + 1 AS VARCHAR)] END AS ck,
+               CASE WHEN kind IN ('c', 'y') THEN 2015 + cik % 6 WHEN kind = '-' THEN 0 END AS yr, 7 AS lim
+        FROM t_companies)
+"""
+
+
+def document_requests(companies):
+    """``_DOCUMENT_REQUESTS`` as a frame."""
+    kind = F.col("kind")
+    asked = companies.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in "tcby-"])))
+    ciks = F.array(F.col("cik").cast("string"), (F.col("cik") + 1).cast("string"))
+    return asked.select(
+        F.concat("kind", "ticker", F.lit("/"), "cik").alias("request_id"),
+        F.when(kind.isin("t", "b"), F.array(F.lower("ticker"), F.lit("NOPE"))).when(kind == "-", F.array(F.lit(""))).alias("tickers"),
+        F.when(kind.isin("c", "b"), ciks).alias("ciks"),
+        F.when(kind.isin("c", "y"), F.lit(2015) + F.col("cik") % 6).when(kind == "-", F.lit(0)).cast("int").alias("year"),
+        F.lit(7).alias("limit"),
+    )
+
+
+@query(
+    "documents_batch",
+    with_ctes(
+        f"""
+        SELECT request_id, rank, {_DOC_COLUMNS} FROM (
+            SELECT r.request_id, r.lim, d.*, row_number() OVER (PARTITION BY r.request_id
+                       ORDER BY d.cik NULLS LAST, d.year DESC NULLS LAST, d.filename NULLS LAST, d.doc_id) AS rank
+            FROM (SELECT * FROM ({_DOCUMENT_REQUESTS}) WHERE tick <> [''] OR ck IS NOT NULL OR yr <> 0) r JOIN t_documents d
+              ON (tick IS NULL OR EXISTS (SELECT 1 FROM t_companies c WHERE CAST(c.cik AS VARCHAR) = d.cik
+                                          AND list_contains(list_transform(tick, lambda x: upper(x)), upper(c.ticker))))
+             AND (ck IS NULL OR list_contains(ck, d.cik)) AND (coalesce(yr, 0) = 0 OR d.year = yr))
+        WHERE rank <= lim
+        """,
+        "t_documents",
+        "t_companies",
+    ),
+)
+def documents_batch(spark, sf_dir):
+    given = _lookup_tables(spark, sf_dir)
+    return find_documents_batch(document_requests(given[COMPANIES]), given)[0]
+
+
 _document_query("documents_year_zero_is_no_filter", "d.cik IN ('7')", 1000, ciks="7", year=0)
 
 
