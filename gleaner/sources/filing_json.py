@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gleaner.schemas import DOCUMENTS, SECTIONS
 
 _PREFIX = "section_"
-_NAME_PATTERN = r"(\d+)_(\d{4})\.json$"
+NAME_PATTERN = r"(\d+)_(\d{4})\.json$"
 
 # Item titles of the annual report form.
 ITEM_TITLES = {
@@ -62,8 +62,8 @@ def _fields() -> Column:
 
 def _with_keys(filings: DataFrame) -> DataFrame:
     return filings.select(
-        F.regexp_extract("filename", _NAME_PATTERN, 1).alias("cik"),
-        F.regexp_extract("filename", _NAME_PATTERN, 2).cast("int").alias("year"),
+        F.regexp_extract("filename", NAME_PATTERN, 1).alias("cik"),
+        F.regexp_extract("filename", NAME_PATTERN, 2).cast("int").alias("year"),
         "filename",
         "file_path",
         "fields",

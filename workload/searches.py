@@ -19,6 +19,8 @@ from gleaner.plans.store import Analyzer, Store
 from gleaner.schemas import COMPANIES, DOCUMENTS, TICKERS
 from gleaner.sources import sinks
 from gleaner.sources.filing_json import filing_documents, filing_sections, read_filing_lines
+from gleaner.sources.mixed_json import read_mixed_lines
+from gleaner.sources.publish import publish, read_published, remove_old
 from gleaner.sources.raw import raw
 from gleaner.sources.ticker_json import read_exchange_table, read_ticker_map
 from workload.registry import query, requests_for, store
@@ -634,3 +636,69 @@ def sections_of_filings(spark, sf_dir):
 )
 def documents_of_filings(spark, sf_dir):
     return filing_documents(_filings(spark, sf_dir)).drop("file_path", "ingested_at", "processor_version")
+
+
+def _mixed_filings(spark, sf_dir):
+    """Every raw document in one of three layouts, or in one that cannot be read, as its id decides."""
+    path = f"{work_folder(spark, sf_dir)}/mixed_filings"
+    name = F.concat("doc_id", F.lit("_2019.json")).alias("filename")
+    object_of = lambda *columns: F.to_json(F.struct(name, *columns))
+    sections = F.create_map(F.lit("1A"), "lang", F.lit("7"), "text").alias("sections")
+    entry = lambda item, text: F.struct(F.lit(item).alias("item"), F.col(text).alias("text"))
+    told = F.to_json(F.struct(F.col("doc_id").alias("cik"), F.lit("2019").alias("year"), sections))
+    kinds = (
+        object_of(F.col("lang").alias("section_1A"), F.col("text").alias("section_7"), F.array("doc_id").alias("more")),
+        object_of(sections),
+        object_of(F.array(entry("1A", "lang"), entry("7", "text"), entry("7", "lang")).alias("items")),
+        told,
+        object_of(F.col("source").alias("publisher")),
+        F.concat(F.lit("{broken "), "doc_id"),
+        F.to_json(F.array("doc_id")),
+        F.to_json(F.struct(sections)),
+    )
+    chosen = F.element_at(F.array(*kinds), (F.pmod("doc_id", F.lit(len(kinds))) + 1).cast("int"))
+    raw(spark, sf_dir, "documents").select(chosen.alias("value")).write.mode("overwrite").text(path)
+    return read_mixed_lines(spark, path)
+
+
+@query(
+    "mixed_filing_sections",
+    """
+    SELECT key || '_' || n AS section_id, key AS doc_id, n AS section_no,
+           CASE n WHEN 1 THEN 'Risk Factors' ELSE 'MD&A' END AS section_name,
+           CASE n WHEN 1 THEN lang ELSE text END AS section_text
+    FROM (SELECT doc_id || '_2019' AS key, lang, text, unnest([1, 2]) AS n FROM documents WHERE doc_id % 8 < 4)
+    """,
+)
+def mixed_filing_sections(spark, sf_dir):
+    return filing_sections(_mixed_filings(spark, sf_dir)[0])
+
+
+@query(
+    "mixed_filing_rejects",
+    """
+    SELECT CASE doc_id % 8 WHEN 4 THEN 'no sections' WHEN 5 THEN 'not JSON' WHEN 6 THEN 'not an object'
+                ELSE 'no cik or year' END AS reason, count(*) AS files
+    FROM documents WHERE doc_id % 8 >= 4 GROUP BY ALL
+    """,
+)
+def mixed_filing_rejects(spark, sf_dir):
+    return _mixed_filings(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("files"))
+
+
+@query(
+    "published_results",
+    fts_sql(LABEL_REQUESTS.replace("'label ' || label AS query", "'the license' AS query")),
+)
+def published_results(spark, sf_dir):
+    """Search results, published as a version, read through the pointer after a failed later write."""
+    folder = f"{work_folder(spark, sf_dir)}/published-{uuid.uuid4().hex}"
+    asked = label_requests(spark, sf_dir).withColumn("query", F.lit("the license"))
+    found = bm25_search(asked, store(spark, sf_dir))
+    publish(found.limit(3), folder)
+    publish(found, folder)
+    try:
+        publish(found.limit(1), folder, rows=2)
+    except ValueError:
+        remove_old(spark, folder, keep=1)
+    return read_published(spark, folder)
