@@ -61,8 +61,19 @@ class Coder:
         return levels[:, : self.dimensions] - (LEVELS - 1) / 2
 
 
+def best_possible(queries: np.ndarray, centroids: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Per request and list the largest cosine that a vector of the list can have with the request.
+
+    ``least`` is the smallest cosine of a list's vectors with its centroid: no vector is further away
+    from the request, as angles go, than the centroid less that.
+    """
+    apart = np.arccos(np.clip(queries @ centroids.T, -1.0, 1.0))
+    reach = np.arccos(np.clip(least, -1.0, 1.0))
+    return np.cos(np.maximum(apart - reach, 0.0))
+
+
 def assign_lists(centroids: np.ndarray, coder: Coder) -> TaskFunction:
-    """Vectors with the list of their nearest centroid, code and factor."""
+    """Vectors with the list of their nearest centroid, their cosine with it, code and factor."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -71,12 +82,14 @@ def assign_lists(centroids: np.ndarray, coder: Coder) -> TaskFunction:
                 matrix = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
                 matrix = matrix.astype(np.float64).reshape(batch.num_rows, -1)
                 units = matrix / batch.column("norm").to_numpy(zero_copy_only=False)[:, None]
-                nearest = np.argmax(units @ centroids.T, axis=1).astype(np.int32)
+                cosines = units @ centroids.T
+                nearest = np.argmax(cosines, axis=1).astype(np.int32)
+                cosine = cosines[np.arange(len(units)), nearest]
                 packed, factors = coder.encode(units)
                 codes = pa.array([row.tobytes() for row in packed], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(nearest), codes, pa.array(factors)],
-                    [*batch.schema.names, "list", "code", "factor"],
+                    [*batch.columns, pa.array(nearest), pa.array(cosine), codes, pa.array(factors)],
+                    [*batch.schema.names, "list", "cosine", "code", "factor"],
                 )
 
     return assign

@@ -8,6 +8,9 @@ Two bounds set what is read. ``probes`` is the number of directories a request o
 the number that a sample of stored vectors needed to find its own neighbours, measured when the file
 is built: few where vectors form groups, and many where they do not, as no grouping then tells where
 neighbours are; beyond half of the directories all are opened. ``overfetch`` is how many vectors are re-ranked for each row asked for.
+
+The same file serves exact searches (``vector_search_bounded``): a list's centroid and its vector furthest
+from that bound what the list can offer, and lists below a request's last result are not read.
 """
 
 from __future__ import annotations
@@ -20,16 +23,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from gleaner.functions.codes import Coder, assign_lists, exact_distances, nearest_codes
+from gleaner.functions.codes import Coder, assign_lists, best_possible, exact_distances, nearest_codes
 from gleaner.functions.vectors import similarity
 from gleaner.operators.ranking import NAMED_HITS, label_hits, ranked, settled, top_ranked
 from gleaner.operators.requests import Batch, in_batches, local_frame
-from gleaner.operators.vector import HITS, shown_distances, unit_queries
+from gleaner.operators.vector import HITS, exact_hits, shown_distances, unit_queries
 from gleaner.plans.store import Store
 
 MOST_LISTS = 4096
 SAMPLE_VALUES = 1 << 23  # numbers in the sample that centroids are fitted on
 SAMPLE_PER_LIST = 32
+_SLACK = 1e-6  # angles and cosines are rounded
 CALIBRATION_QUERIES = 256
 CALIBRATION_NEIGHBOURS = 10
 CALIBRATION_SHARE = 0.99  # of the sample's neighbours that the default number of probes finds
@@ -56,6 +60,8 @@ class InvertedFile:
     centroids: np.ndarray
     probes: int
     coder: Coder
+    least: np.ndarray  # cosine of a list's vectors with its centroid
+    sizes: np.ndarray
 
 
 def _sample(store: Store, lists: int) -> DataFrame:
@@ -114,10 +120,19 @@ def inverted_file(store: Store, lists: int | None = None, seed: int = 7) -> Inve
         vectors = store.vectors().where(F.col("norm") > 0)
         schema = vectors.schema.simpleString().removeprefix("struct<").removesuffix(">")
         return vectors.mapInArrow(
-            assign_lists(centroids, coder), f"{schema}, list int, code binary, factor float".replace(":", " ")
+            assign_lists(centroids, coder), f"{schema}, list int, cosine double, code binary, factor float".replace(":", " ")
         )
 
-    return InvertedFile(store.inverted_lists(name, placed), centroids, fact["probes"], coder)
+    rows = store.inverted_lists(name, placed)
+
+    def reaches() -> DataFrame:
+        held = rows.groupBy("list").agg(F.min("cosine").alias("least"), F.count(F.lit(1)).alias("n"))
+        return held.agg(F.collect_list(F.struct("list", "least", "n")).alias("lists"))  # one entry per list
+
+    least, sizes = np.ones(len(centroids)), np.zeros(len(centroids), np.int64)
+    for entry in store.fact(f"{name}_reaches", reaches)["lists"]:
+        least[entry["list"]], sizes[entry["list"]] = entry["least"], entry["n"]
+    return InvertedFile(rows, centroids, fact["probes"], coder, least, sizes)
 
 
 def ivf_hits(
@@ -200,6 +215,56 @@ def ivf_candidates(
     return best.select("r", "request_id", "limit", "cutoff", "chunk_id", "list")
 
 
+def bounded_lists(batch: Batch, store: Store, stored: InvertedFile, queries: np.ndarray) -> list[int]:
+    """The lists that may hold an exact result of some request.
+
+    The lists that promise most are searched first, as many as hold the rows asked for. What a request
+    has found by then, all its results reach; a list whose best possible cosine stays below has none.
+    """
+    bounds = best_possible(np.nan_to_num(queries), stored.centroids, stored.least)
+    bounds[np.isnan(queries).any(axis=1)] = -np.inf
+    bounds[:, stored.sizes == 0] = -np.inf
+    order = np.argsort(-bounds, axis=1)
+    held = np.cumsum(stored.sizes[order], axis=1)
+    limits = np.array([row["limit"] for row in batch.rows])
+    count = np.minimum((held < limits[:, None]).sum(axis=1) + 1, order.shape[1])
+    first = sorted({int(n) for line, c in zip(order, count) for n in line[:c]})
+    found = exact_hits(batch, store, stored.rows.where(F.col("list").isin(first)), queries)
+    last = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("distance"))
+    reached = {row["request_id"]: (row["n"], 1.0 - row["distance"]) for row in last.collect()}
+    needed = np.full(len(batch.rows), -1.0)
+    for n, row in enumerate(batch.rows):
+        hits, cosine = reached.get(row["request_id"], (0, -1.0))
+        if hits >= row["limit"]:
+            needed[n] = cosine
+        if row["max_distance"]:
+            needed[n] = max(needed[n], 1.0 - row["max_distance"])
+    return np.flatnonzero((bounds >= needed[:, None] - _SLACK).any(axis=0)).tolist()
+
+
+def bounded_vector_hits(batch: Batch, store: Store, lists: int | None = None, seed: int = 7) -> DataFrame:
+    """The rows of ``vector_hits``, from the lists of the inverted file that can hold them."""
+    batch = batch.where(lambda row: row["query_vec"] is not None)
+    if not batch.rows or not store.has_vectors:
+        return batch.empty(HITS)
+    queries = unit_queries(batch, store.dimensions())
+    stored = inverted_file(store, lists, seed)
+    chosen = bounded_lists(batch, store, stored, queries)
+    return exact_hits(batch, store, stored.rows.where(F.col("list").isin(chosen)), queries)
+
+
+def vector_search_bounded(
+    requests: DataFrame, store: Store, lists: int | None = None, seed: int = 7
+) -> DataFrame:
+    """Exact nearest chunks for a request table, lists that cannot hold them left unread."""
+
+    def search(batch: Batch) -> DataFrame:
+        hits = bounded_vector_hits(batch, store, lists, seed)
+        return label_hits(shown_distances(hits, batch), store, "vector", batch=batch)
+
+    return in_batches(requests, store.companies, search)
+
+
 def vector_search_ivf(
     requests: DataFrame,
     store: Store,

@@ -34,8 +34,11 @@ def vector_hits(batch: Batch, store: Store) -> DataFrame:
     batch = batch.where(lambda row: row["query_vec"] is not None)
     if not batch.rows or not store.has_vectors:
         return batch.empty(HITS)
-    vectors = store.vectors()
-    queries = unit_queries(batch, store.dimensions())
+    return exact_hits(batch, store, store.vectors(), unit_queries(batch, store.dimensions()))
+
+
+def exact_hits(batch: Batch, store: Store, vectors: DataFrame, queries: np.ndarray) -> DataFrame:
+    """The nearest of some vectors for requests that all have a query."""
     ciks = batch.filtered_ciks
     if ciks is not None:
         vectors = vectors.where(F.col("cik").isin(ciks))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plan_rows import rows_read
-from gleaner.functions.codes import Coder
+from gleaner.functions.codes import Coder, best_possible
 from gleaner.operators import ivf
 from gleaner.operators.requests import request_frame, resolved_batch
 from gleaner.operators.vector import unit_queries, vector_hits
@@ -19,6 +19,9 @@ CHUNK_COUNT = 6000
 
 def vectors_of(kind: str, dimensions: int) -> np.ndarray:
     draw = np.random.default_rng(dimensions)
+    if kind == "narrow":
+        means = draw.normal(size=(60, dimensions))
+        return means[draw.integers(60, size=CHUNK_COUNT)] + 0.1 * draw.normal(size=(CHUNK_COUNT, dimensions))
     if kind == "groups":
         means = draw.normal(size=(60, dimensions)) * 2
         return means[draw.integers(60, size=CHUNK_COUNT)] + draw.normal(size=(CHUNK_COUNT, dimensions))
@@ -67,6 +70,33 @@ def test_recall_and_reading(spark, tables, tmp_path, kind, dimensions):
         assert 0 < rows_read(codes, "code") <= 0.2 * len(vectors)
 
 
+def test_bounds_leave_lists_unread(spark, tables, tmp_path):
+    vectors = vectors_of("narrow", 64)
+    opened = store_of(spark, tables, vectors, tmp_path)
+    for limit, given in ((10, {}), (3, {"max_distance": 0.05}), (100, {})):
+        rows = [{"request_id": "r", "query": "v", "query_vec": vectors[7].tolist(), "limit": limit, **given}]
+        batch = resolved_batch(spark, request_frame(spark, rows).collect(), opened.companies)
+        key = lambda frame: sorted((r["rank"], r["chunk_id"], round(r["distance"], 9)) for r in frame.collect())
+        found = ivf.bounded_vector_hits(batch, opened)
+        assert key(found) == key(vector_hits(batch, opened))
+        assert rows_read(found, "embedding") < 0.2 * len(vectors)
+
+
+def test_no_list_offers_more_than_its_bound():
+    draw = np.random.default_rng(4)
+    for spread in (0.01, 0.3, 3.0):
+        centroids = draw.normal(size=(5, 8))
+        centroids /= np.linalg.norm(centroids, axis=1)[:, None]
+        rows = centroids[draw.integers(5, size=400)] + spread * draw.normal(size=(400, 8))
+        rows /= np.linalg.norm(rows, axis=1)[:, None]
+        home = np.argmax(rows @ centroids.T, axis=1)
+        least = np.array([(rows @ centroids.T)[home == k, k].min(initial=1.0) for k in range(5)])
+        queries = draw.normal(size=(50, 8))
+        queries /= np.linalg.norm(queries, axis=1)[:, None]
+        bounds = best_possible(queries, centroids, least)
+        assert ((queries @ rows.T) <= bounds[:, home] + 1e-9).all()
+
+
 def test_odd_requests_and_tables(spark, store, tables, tmp_path):
     rows = [
         {"request_id": "a", "query": "v", "query_vec": [1.0, 0.1], "limit": 3},

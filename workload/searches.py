@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import presets, summary
 from gleaner.operators.bm25 import bm25_search
 from gleaner.operators.hybrid import hybrid_search
-from gleaner.operators.ivf import vector_search_ivf
+from gleaner.operators.ivf import vector_search_bounded, vector_search_ivf
 from gleaner.operators.lsh import vector_search_lsh
 from gleaner.operators.requests import with_defaults
 from gleaner.operators.substring import substring_search, text_search
@@ -177,6 +177,7 @@ _search(
 _search("vector_lsh", VECTOR + VECTOR_FILTERED, vector_search_lsh, None)
 # Approximate search with its own bounds; with every list probed and many rows re-ranked it is exact.
 _search("vector_ivf", VECTOR + VECTOR_FILTERED, vector_search_ivf, None)
+_search("vector_bounded_lists", VECTOR + VECTOR_FILTERED + VECTOR_BOUNDED, vector_search_bounded, vector_sql)
 _search(
     "vector_ivf_all_lists",
     VECTOR_FILTERED + VECTOR_BOUNDED,
