@@ -26,10 +26,11 @@ def table_counts(spark: SparkSession, tables: Tables) -> DataFrame:
     )
 
 
-def capabilities(spark: SparkSession, tables: Tables) -> DataFrame:
+def capabilities(spark: SparkSession, tables: Tables, ranked: bool = True) -> DataFrame:
     """One row: possible searches, counts, vector length, text method and default weights.
 
-    The vector length is the one the store searches with.
+    The vector length is the one the store searches with; ``ranked`` is the store's and decides the
+    method, as it does for ``text_search``.
     """
     one = spark.range(1)
     if CHUNKS in tables:
@@ -49,7 +50,7 @@ def capabilities(spark: SparkSession, tables: Tables) -> DataFrame:
         (F.col("total_chunks") > 0).alias("fts_available"),
         (F.col("total_embeddings") > 0).alias("vector_available"),
         ((F.col("total_chunks") > 0) | (F.col("total_embeddings") > 0)).alias("hybrid_available"),
-        F.when(F.col("total_chunks") > 0, F.lit("BM25")).otherwise(F.lit("LIKE")).alias("search_method"),
+        F.when((F.col("total_chunks") > 0) & F.lit(ranked), F.lit("BM25")).otherwise(F.lit("LIKE")).alias("search_method"),
         "total_chunks",
         "total_embeddings",
         "vector_dimensions",

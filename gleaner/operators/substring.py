@@ -152,10 +152,10 @@ def text_search(
     analyzer: Analyzer = Analyzer(),
     model: Bm25 = Bm25(),
 ) -> DataFrame:
-    """Keyword search where the store has complete postings, else substring search.
+    """Keyword search in a ranked store, else substring search; ``indexed`` overrules the store.
 
-    ``indexed`` overrules what the store says.
+    It is what the store was opened as that decides, not what has been built or asked before.
     """
-    if store.has_postings(analyzer) if indexed is None else indexed:
+    if store.ranked if indexed is None else indexed:
         return bm25_search(requests, store, analyzer, model)
     return substring_search(requests, store)

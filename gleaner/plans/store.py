@@ -156,13 +156,14 @@ class Store:
 
     With ``reuse`` complete layouts found under ``path`` are opened instead of written again, so one
     job can build a store that later sessions search. The caller answers for the tables being the
-    ones it was built from.
+    ones it was built from. A store that is not ``ranked`` has no postings: text is searched by substring.
     """
 
     spark: SparkSession
     tables: Tables
     path: str
     reuse: bool = False
+    ranked: bool = True
     _built: dict[str, DataFrame] = field(default_factory=dict)
     _facts: dict[str, Row] = field(default_factory=dict)
     _lock: threading.RLock = field(default_factory=threading.RLock)
@@ -348,11 +349,6 @@ class Store:
                 self._built[name] = self.spark.table(table)
             return self._built[name]
 
-    def has_postings(self, analyzer: Analyzer = Analyzer()) -> bool:
-        """Whether complete postings are there: made by this store, or found under its path."""
-        name = f"postings_{analyzer.layout}"
-        return name in self._built or (self.reuse and self._complete(name))
-
     def _write_postings(self, table: str, target: str, buckets: int, analyzer: Analyzer) -> None:
         # The compact per-chunk arrays are shuffled, not the rows they unfold into.
         placed = self.forward(analyzer).where("linked").repartition(buckets, "chunk_id")

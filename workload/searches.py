@@ -135,14 +135,13 @@ _search(
 
 
 def _text_search_indexed(requests, opened):
-    """With complete postings in the store, words are ranked."""
-    opened.postings()
+    """In a ranked store words are ranked, whatever has been built."""
     return text_search(requests, opened)
 
 
 def _text_search_fallback(requests, opened):
-    """A store that never wrote postings is searched by substring."""
-    bare = Store(opened.spark, opened.tables, f"{opened.path}/bare-{uuid.uuid4().hex}")
+    """A store that is not ranked is searched by substring."""
+    bare = Store(opened.spark, opened.tables, f"{opened.path}/bare-{uuid.uuid4().hex}", ranked=False)
     return text_search(requests, bare)
 
 
