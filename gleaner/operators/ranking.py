@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.operators.requests import Batch, local_frame
-from gleaner.plans.store import Store
+from gleaner.plans.store import Store, company_names  # noqa: F401  (named here by callers)
 from gleaner.schemas import MAX_LIMIT, RESULT_COLUMNS
 
 SCORE_DIGITS = 9
@@ -50,13 +50,6 @@ def settled(score: Column) -> Column:
     return F.round(score, SCORE_DIGITS)
 
 
-def company_names(companies: DataFrame) -> DataFrame:
-    """One name per cik, as text."""
-    return companies.groupBy(F.col("cik").cast("string").alias("cik")).agg(
-        F.min("name").alias("company_name")
-    )
-
-
 def label_hits(
     hits: DataFrame,
     store: Store,
@@ -85,7 +78,7 @@ def label_hits(
             passages = passages.where(F.col(name).isin(sorted({row[name] for row in rows})))
     labelled = (
         passages.join(F.broadcast(keyed), ["part", "block", "chunk_id"])
-        .join(company_names(store.companies), "cik", "left")
+        .join(store.company_names(), "cik", "left")
     )
     if method is not None:
         labelled = labelled.withColumn("method", F.lit(method))

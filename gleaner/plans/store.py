@@ -512,6 +512,21 @@ class Store:
     def companies(self) -> DataFrame:
         return self.tables[COMPANIES]
 
+    def company_names(self) -> DataFrame:
+        """One name per cik, which every labelled result is joined with."""
+
+        def write(target: str) -> None:
+            company_names(self.companies).sortWithinPartitions("cik").write.mode("overwrite").parquet(target)
+
+        return self._written("company_names", write)
+
+
+def company_names(companies: DataFrame) -> DataFrame:
+    """One name per cik, as text."""
+    return companies.groupBy(F.col("cik").cast("string").alias("cik")).agg(
+        F.min("name").alias("company_name")
+    )
+
 
 def forward_rows(passages: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFrame:
     """Per chunk: token count and term frequencies, both counted inside the row."""
