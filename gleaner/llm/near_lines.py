@@ -148,6 +148,9 @@ def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     return far.get(goal) == len(a)
 
 
+_SIGNS = ("s0", "s1", "s2", "s3")
+
+
 def _edits(shorter, words_per_edit: int):
     """The bound of two lines, from the words of the shorter one."""
     return max(1, shorter // words_per_edit)
@@ -248,6 +251,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("digest").filter(pa.array(good))], ["digest"])
 
 
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which words lines have, modulo 256, as bits of four numbers. An edit changes two bits at most."""
+    for batch in batches:
+        bits = np.zeros((batch.num_rows, 256), np.uint8)
+        for row, words in enumerate(batch.column("words").to_pylist()):
+            bits[row, (np.frombuffer(words, np.uint64) & np.uint64(255)).astype(np.int64)] = 1
+        signs = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("digest"), batch.column("ord"), *(pa.array(signs[:, k].copy()) for k in range(4))],
+            ["digest", "ord", "s0", "s1", "s2", "s3"],
+        )
+
+
 def _numbered(keyed: DataFrame, first: DataFrame, needed: DataFrame, min_words: int) -> DataFrame:
     """``(digest, words, ord)`` of the needed lines; ``ord`` grows with the order of the lines."""
     words = _words_of(keyed, needed, min_words)
@@ -307,7 +323,8 @@ def further_digests(
     found = made.join(shared, "gram", "left_semi").dropDuplicates(["gram", "digest", "at"])
     found = written(found, "shared-grams")
     lines = _numbered(keyed, first, found.select("digest").distinct(), min_words)
-    found = written(found.join(lines.select("digest", "ord"), "digest"), "placed-grams")
+    signed = lines.mapInArrow(_sign, "digest binary, ord long, s0 long, s1 long, s2 long, s3 long")
+    found = written(found.join(signed, "digest"), "placed-grams")
     later = found.join(near.select("digest"), "digest", "left_anti")
     other = lines.select(F.col("ord").alias("earlier"), F.col("words").alias("other"))
 
@@ -317,10 +334,13 @@ def further_digests(
 
     leaders = found.groupBy("gram").agg(F.min("ord").alias("earlier"))
     one = written(judged(later.join(leaders, "gram").where("earlier < ord")), "further-lines")
-    before = found.select("gram", F.col("ord").alias("earlier"), F.col("at").alias("_at"), F.col("n").alias("_n"))
+    before = found.select("gram", F.col("ord").alias("earlier"), *(F.col(c).alias(f"_{c}") for c in ("at", "n", *_SIGNS)))
     bound = F.floor(F.least("n", "_n") / F.lit(words_per_edit))
+    # lines that share a passage, or copies with more edits, differ in too many words to be compared
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in _SIGNS), F.lit(0))
     pairs = later.join(one, "digest", "left_anti").join(before, "gram").where("earlier < ord")
     pairs = pairs.where((F.abs(F.col("n") - F.col("_n")) <= bound) & (F.abs(F.col("at") - F.col("_at")) <= bound))
+    pairs = pairs.where(differ <= bound * 2)
     return one.unionByName(judged(pairs))
 
 
