@@ -174,7 +174,8 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = TokenizerFile.read(public_tokenizers.path("word_bpe_49k.json"), drops_space=True)
-    pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, end_id=2, longest=4096)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = pack(docs, tokenizer, end_id=2, longest=4096, signs=".,;:!?")
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

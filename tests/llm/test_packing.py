@@ -20,13 +20,24 @@ def test_piece_lengths():
         assert len([x for x in found if x < 64]) == len({x for x in found if x < 64})
 
 
-@pytest.mark.parametrize("drops_space", [True, False])
-def test_round_trip(spark, docs, drops_space, tmp_path):
+# Words that a sign, a case or a composed letter could make differ from what their parts give.
+ODD = [
+    "The. the, THE; a: B! c? d.. e., f!? .g ,, it's. we'll, x1. \u00e9. \u00c9a. K. \u017f. \u0130. i\u0307. I. 3. a.b c-d. \u00df!",
+    "<|endoftext|>abc <|startoftext|> x<|endoftext|>. y",
+    "\u00a0 nb\u00a0sp x\x1cy\x85z \u0301 \u0301a b\u0301. \U0001f600. \ud55c\uad6d\uc5b4. \x00a.\x00 a\r\nb.\tc,\x0bd",
+]
+
+
+@pytest.mark.parametrize(("drops_space", "signs"), [(True, ""), (True, ".,;:!?"), (False, "")])
+def test_round_trip(spark, docs, drops_space, signs, tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
+    more = spark.createDataFrame([(1000 + i, text) for i, text in enumerate(ODD)], "doc_id long, text string")
+    docs = docs.unionByName(more, allowMissingColumns=True)
     odd = docs.selectExpr("doc_id", "text", "lang", "7 AS start", "'x' AS ids", "1 AS bucket", "'y' AS _number")
-    found = pack(odd, TokenizerFile.read(path, drops_space), end_id=2, longest=1024, folder=str(tmp_path / "packed"))
+    found = pack(
+        odd, TokenizerFile.read(path, drops_space), end_id=2, longest=1024, folder=str(tmp_path / "packed"), signs=signs)
     pieces = found.collect()
     library = Tokenizer.from_file(str(path))
     expected = sorted(
