@@ -6,7 +6,7 @@ prefix shingle. The order puts rare shingles first, by counts over all texts in
 buckets, which keeps passages that many documents share out of the prefixes.
 
 Within a group a signature tree is built: leaves hold sets of like size, every node the OR of its
-sets' token bitmaps, their size range and how many tokens may share a bit. Two traversals of the
+sets' token bitmaps, their size range and how many tokens may share a bit. Traversals of the
 tree against itself drop node pairs whose largest possible overlap is too small. What is left is
 verified exactly on the whole sets. Groups with the same smallest member mostly belong to one family
 of near copies; they are worked on in one unit, where a pair counts once and a set is brought once,
@@ -118,15 +118,16 @@ def signature_of(shingles: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def widened(signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures as bit words of one width, and how many bits each had set.
+def widened(signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures as bit words of one width, how many bits each had set, and how often it is repeated.
 
     A narrow one is repeated: it then says of every wider hash whether its low bits occur, so an
     overlap is never taken for less than it may be.
     """
     words = [np.frombuffer(signature, np.uint64) for signature in signatures]
     width = max(map(len, words))
-    return np.stack([np.tile(w, width // len(w)) for w in words]), np.array([int(popcount(w)) for w in words])
+    own = np.array([int(popcount(w)) for w in words])
+    return np.stack([np.tile(w, width // len(w)) for w in words]), own, np.array([width // len(w) for w in words])
 
 
 def profiles(keyed: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -167,7 +168,7 @@ class SignatureTree:
     """Sets in order of size, grouped into leaves and upward; each level knows what it may overlap."""
 
     def __init__(self, sizes: np.ndarray, signatures: list[bytes], component: np.ndarray):
-        bits, own = widened(signatures)
+        bits, own, self.repeats = widened(signatures)
         spare = sizes - own  # tokens that share a bit with another of the same set
         self.levels = [(bits, sizes, sizes, spare, component, component)]
         step = LEAF
@@ -194,6 +195,12 @@ class SignatureTree:
         i, j = i[apart], j[apart]
         both = popcount(bits[i] & bits[j]) + np.minimum(spare[i], spare[j])
         both = np.minimum(both, np.minimum(hi[i], hi[j]))
+        if level == 0:
+            # a bit that one of two sets has is a token that the other lacks, counted once for its repeats;
+            # bitmaps of unlike width say nothing of that
+            lacking = popcount(bits[i] ^ bits[j]) // self.repeats[i]
+            lacking = np.where(self.repeats[i] == self.repeats[j], lacking, 0)
+            both = np.minimum(both, (lo[i] + lo[j] - lacking) // 2)
         apart[apart] = both * (100 + percent) >= (lo[i] + lo[j]) * percent
         return apart
 
@@ -387,7 +394,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     A unit's pairs are verified together, so a set is brought once to a unit, not to every pair.
     """
     pairs = written(pairs, "pairs")
-    asked = written(pairs.select("unit", F.explode(F.array("a", "b")).alias("sid")).distinct(), "asked")
+    # each side is made distinct where it is read: a set of many pairs is asked for once per task
+    sides = [pairs.select("unit", F.col(side).alias("sid")).distinct() for side in ("a", "b")]
+    asked = written(sides[0].union(sides[1]).distinct(), "asked")
     blobs = _whole_sets(texts, asked.select("sid").distinct(), n)
 
     def check(some: pa.Table, sets: pa.Table) -> pa.Table:
@@ -450,6 +459,17 @@ def linked_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     described = written(described, "signatures")
     members = written(_in_units(members, described), "members")
 
+    def open_runs(roots: DataFrame, least: int) -> DataFrame:
+        """Members of runs of ``least`` sets or more that lie in several components."""
+        placed = members.where(F.col("m") >= least).join(roots.withColumnRenamed("u", "sid"), "sid", "left")
+        placed = placed.select("unit", "run", "m", "sid", F.coalesce("root", "sid").alias("component"))
+        several = placed.groupBy("run").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+        return placed.join(several.where("c0 < c1").select("run"), "run", "left_semi")
+
+    def joined_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+        tree = roots.select(F.col("u").alias("a"), F.col("root").alias("b"))
+        return written(components(tree.unionByName(links)), "roots")
+
     def candidates(chosen: DataFrame, leaders: bool) -> DataFrame:
         ready = chosen.join(described, "sid").repartition("unit").sortWithinPartitions("unit", "run")
         ready = ready.select("unit", "run", "sid", "size", "signature", "component")
@@ -458,15 +478,10 @@ def linked_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     first = verified(candidates(members.withColumn("component", F.col("sid")), True), texts, n, percent)
     roots = written(components(first), "roots")
-    placed = members.join(roots.withColumnRenamed("u", "sid"), "sid", "left")
-    placed = placed.select("unit", "run", "m", "sid", F.coalesce("root", "sid").alias("component"))
     # a run of two was decided in the first round, and one of a single component needs no more
-    open_ = placed.where(F.col("m") > 2).groupBy("run").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    open_ = open_.where(F.col("c0") < F.col("c1")).select("run")
-    second = verified(candidates(placed.join(open_, "run", "left_semi"), False), texts, n, percent)
-    if second.limit(1).count():
-        tree = roots.select(F.col("u").alias("a"), F.col("root").alias("b"))
-        roots = components(tree.unionByName(second))
+    last = verified(candidates(open_runs(roots, 3), False), texts, n, percent)
+    if last.limit(1).count():
+        roots = joined_by(roots, last)
     sids = found.groupBy("key").agg(F.first("sid").alias("sid"), F.first("size").alias("size"))
     return sids.join(roots.withColumnRenamed("u", "sid"), "sid", "left").select(
         "key", "size", F.coalesce("root", "sid").alias("root")
