@@ -1,9 +1,11 @@
 """Unscored substring search, for corpora without postings.
 
-Small corpora are read whole. In larger ones an index of three code points in a row names the blocks
-that can hold a pattern: those that have its rarest grams in the same chunks. Their passages alone are
-read, and the text decides. Patterns without three code points between wildcards have no gram; for
-these, and for patterns that can be nearly everywhere, all passages are read.
+Small corpora are read whole, and larger ones that have no index: it takes several times what reading all
+passages for a batch does, so a search uses one that was written (``Store.write_grams``) but writes none
+unless told to. An index of three code points in a row names the blocks that can hold a pattern: those that
+have its rarest grams in the same chunks. Their passages alone are read, and the text decides. Patterns
+without three code points between wildcards have no gram; for these, and for patterns that can be nearly
+everywhere, all passages are read.
 """
 
 from __future__ import annotations
@@ -50,12 +52,12 @@ def substring_hits(batch: Batch, store: Store, indexed: bool | None = None) -> D
 
     Each pattern is a literal condition on the passage row, and a row emits only the requests it
     matches. ``min_score`` plays no part: there is no score. ``indexed`` overrules the size of the
-    corpus.
+    corpus, and writes the index where there is none.
     """
     if not batch.rows:
         return batch.empty("request_id string, chunk_id string, rank int")
     if indexed is None:
-        indexed = store.chunk_count() >= INDEX_FROM
+        indexed = store.chunk_count() >= INDEX_FROM and store.has_grams()
     if not indexed:
         return _verified(batch, store.passages().where("linked"), store.passage_tasks())
     answered, blocks = candidate_blocks(batch, store)

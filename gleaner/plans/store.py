@@ -69,6 +69,7 @@ _PEAKS_PER_FILE = 20_000_000
 _POSTINGS_PER_PEAK = 16
 _GRAMS_PER_CHUNK = 60  # of those that are new in a block
 _SMALLEST_SHARE = 1_000
+_PACKED = {"compression": "zstd"}
 _MOST_DIRECTORIES = 4096
 _MOST_BUCKETS = 50_000
 
@@ -130,7 +131,7 @@ def shares(rows: int, target: int, cores: int) -> int:
 
 def paged(rows: int) -> dict[str, str]:
     """Writer options for pages of so many rows, which scans with named values read singly."""
-    return {"parquet.page.row.count.limit": str(rows), "parquet.page.size.row.check.min": str(rows)}
+    return {"parquet.page.row.count.limit": str(rows), "parquet.page.size.row.check.min": str(rows), **_PACKED}
 
 
 @contextmanager
@@ -183,6 +184,11 @@ class Store:
         marker = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
         return marker.getFileSystem(context._jsc.hadoopConfiguration()).exists(marker)
 
+    def _has(self, name: str) -> bool:
+        """Whether a layout is there, written by this session or to be opened."""
+        with self._lock:
+            return name in self._built or (self.reuse and self._complete(name))
+
     def _written(self, name: str, write: Callable[[str], None]) -> DataFrame:
         with self._lock:
             if name not in self._built:
@@ -279,8 +285,12 @@ class Store:
     def _write_passages(self, target: str) -> None:
         rows, parts = self._chunk_count(), self.part_count()
         # A multiple of the directory count: the shuffle hashes as ``part_of`` does, so every task
-        # then holds rows of one directory, however many tasks share it.
-        tasks = parts * math.ceil(shares(rows, _PASSAGES_PER_FILE, self._cores) / parts)
+        # then holds rows of one directory, however many tasks share it. A task sorts its texts, so
+        # there are as many as keep them in memory, and as many as a join would be given: with fewer
+        # it would move the texts once more.
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        by_size = shares(rows, min(_PASSAGES_PER_FILE, _CHUNKS_PER_TASK), self._cores)
+        tasks = parts * math.ceil(max(least, by_size) / parts)
         chunks = self.tables[CHUNKS]
         sections = self.tables[SECTIONS].select("section_id", "section_name")
         documents = self.tables[DOCUMENTS].select("doc_id", "cik", "filename")
@@ -291,7 +301,7 @@ class Store:
             .join(documents, "doc_id")
             .select("chunk_id", "cik", "filename", "section_name", F.lit(True).alias("linked"))
         )
-        with shuffle_partitions(self.spark, shares(rows, _KEYS_PER_TASK, 1)):
+        with shuffle_partitions(self.spark, tasks):
             (
                 chunks.repartition(tasks, "chunk_id")
                 .join(labels, "chunk_id", "left")
@@ -405,6 +415,14 @@ class Store:
 
     # -- substrings ---------------------------------------------------------------------------
 
+    def write_grams(self) -> None:
+        """The index of substrings, for a corpus that will be searched often."""
+        self.grams()
+        self.gram_counts()
+
+    def has_grams(self) -> bool:
+        return self._has("grams") and self._has("gram_counts")
+
     def grams(self) -> DataFrame:
         """``(gram, block, slots)``: where linked passages hold three code points in a row.
 
