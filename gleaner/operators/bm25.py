@@ -95,8 +95,9 @@ def bm25_hits(
     that would multiply the postings by its requests, or names too many terms for a scan filter,
     reads every chunk once instead (``_from_chunks``). Both give the same rows. Terms are held for
     at most ``TERMS_AT_ONCE`` pairs, or one request; the postings are never shuffled. A few requests
-    that match very many postings read those blocks only that may hold results (``_worth_reading``);
-    ``weigh`` overrules what counts as very many.
+    that match very many postings read those blocks only that may hold results (``_worth_reading``),
+    where the bounds of blocks have been written (``write_peaks``): that reads more than the search
+    itself. ``weigh`` overrules what counts as very many, and writes the bounds where there are none.
     """
     if not batch.rows:
         return batch.empty(_HITS)
@@ -137,7 +138,10 @@ def _hits_of(
     # Named terms reach the scans, which skip all other pages.
     terms = store.terms(analyzer).where(_among(named)) if few else store.terms(analyzer)
     weights = terms.join(wanted, "term").select("r", "term", "df")
-    least = WEIGH_FROM if weigh is None else 0 if weigh else math.inf
+    if weigh is None:
+        least = WEIGH_FROM if store.has_peaks(model.name, analyzer) else math.inf
+    else:
+        least = 0 if weigh else math.inf
     if len(found) <= FEW_TERMS and store.corpus(analyzer)["n_postings"] < least:
         return _from_postings(batch, store, analyzer, model, F.broadcast(weights), named)
     rows = weights.collect()
@@ -151,6 +155,16 @@ def _hits_of(
     return _from_postings(batch, store, analyzer, model, weights, named)
 
 
+def _peaks(store: Store, analyzer: Analyzer, model: Bm25) -> DataFrame:
+    value = lambda length: model.saturation(F.col("tf"), F.col("dl"), length)
+    return store.peaks(model.name, value, analyzer)
+
+
+def write_peaks(store: Store, analyzer: Analyzer = Analyzer(), model: Bm25 = Bm25()) -> None:
+    """The bounds of blocks, for a corpus that will be searched often."""
+    _peaks(store, analyzer, model)
+
+
 def _worth_reading(
     batch: Batch, store: Store, analyzer: Analyzer, model: Bm25, rows: list[Row], weights: DataFrame
 ) -> list[int] | None:
@@ -166,9 +180,9 @@ def _worth_reading(
     others = sorted({row["term"] for row in rows} - set(frequent))
     corpus = store.corpus(analyzer)
     avgdl = corpus["avgdl"] or 1.0
-    value = lambda length: model.saturation(F.col("tf"), F.col("dl"), length)
-    peaks = store.peaks(model.name, value, analyzer).where(_among(frequent)).select("term", "block", "peak")
-    found = store.postings(analyzer).where(_among(others)).groupBy("term", "block").agg(F.max(value(avgdl)).alias("peak"))
+    value = model.saturation(F.col("tf"), F.col("dl"), avgdl)
+    peaks = _peaks(store, analyzer, model).where(_among(frequent)).select("term", "block", "peak")
+    found = store.postings(analyzer).where(_among(others)).groupBy("term", "block").agg(F.max(value).alias("peak"))
     bounds = (
         peaks.unionByName(found)
         .join(weights, "term")

@@ -57,7 +57,7 @@ from gleaner.sources.tables import Tables
 _PASSAGES_PER_FILE = 2_000_000
 _CHUNKS_PER_TASK = 100_000  # of text, by the size of files that a task reads
 _KEYS_PER_TASK = 5_000_000
-_POSTINGS_PER_BUCKET = 8_000_000
+_POSTINGS_PER_BUCKET = 2_000_000  # sorted by one task
 _POSTINGS_PER_CHUNK = 100
 _VECTORS_PER_FILE = 200_000
 _VECTORS_PER_PAGE = 64
@@ -322,6 +322,7 @@ class Store:
             (
                 forward_rows(self.passages(), analyzer)
                 .write.mode("overwrite")
+                .options(**_PACKED)
                 .parquet(target)
             )
 
@@ -360,13 +361,13 @@ class Store:
             return self._built[name]
 
     def _write_postings(self, table: str, target: str, buckets: int, analyzer: Analyzer) -> None:
-        # The compact per-chunk arrays are shuffled, not the rows they unfold into.
-        placed = self.forward(analyzer).where("linked").repartition(buckets, "chunk_id")
+        # One text and one array a chunk are shuffled, not the rows they unfold into.
+        placed = folded_terms(self.forward(analyzer).where("linked")).repartition(buckets, "chunk_id")
         # A task holds one bucket, in term order already. With a writer per open bucket Spark keeps
         # that order; by default it would sort again, by bucket number first.
         with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "1"):
             (
-                posting_rows(placed)
+                posting_rows(unfolded_terms(placed))
                 .withColumn("block", self.block_of(F.col("chunk_id")))
                 .sortWithinPartitions("term", "block", "chunk_id")
                 .write.mode("overwrite")
@@ -389,6 +390,9 @@ class Store:
         """Chunks that a term must be in to have peaks."""
         return self.block_count() * _POSTINGS_PER_PEAK
 
+    def has_peaks(self, name: str, analyzer: Analyzer = Analyzer()) -> bool:
+        return self._has(_peaks_layout(name, analyzer))
+
     def peaks(self, name: str, saturation: Callable[[float], Column], analyzer: Analyzer = Analyzer()) -> DataFrame:
         """``(term, block, peak)`` of frequent terms: the largest ``saturation`` that a block's postings have.
 
@@ -411,7 +415,7 @@ class Store:
                 .parquet(target)
             )
 
-        return self._written(f"peaks_{analyzer.layout}_{name}", write)
+        return self._written(_peaks_layout(name, analyzer), write)
 
     # -- substrings ---------------------------------------------------------------------------
 
@@ -473,6 +477,7 @@ class Store:
                     .repartitionByRange(files, "cik", "chunk_id")
                     .sortWithinPartitions("cik", "chunk_id")
                     .write.mode("overwrite")
+                    .options(**_PACKED)
                     .parquet(target)
                 )
 
@@ -539,6 +544,10 @@ class Store:
         return self._written("company_names", write)
 
 
+def _peaks_layout(name: str, analyzer: Analyzer) -> str:
+    return f"peaks_{analyzer.layout}_{name}"
+
+
 def company_names(companies: DataFrame) -> DataFrame:
     """One name per cik, as text."""
     return companies.groupBy(F.col("cik").cast("string").alias("cik")).agg(
@@ -569,6 +578,21 @@ def _exploded_terms(forward: DataFrame, *columns: str) -> DataFrame:
     return forward.select(*columns, F.explode_outer("terms").alias("t")).where("t IS NOT NULL")
 
 
+def folded_terms(forward: DataFrame) -> DataFrame:
+    """Chunks that have terms, with these as one text: letters alone, so a space parts them.
+
+    An array of pairs takes several times the room on its way.
+    """
+    return forward.where(F.size("terms") > 0).select(
+        "chunk_id", "cik", "dl", F.array_join("terms.term", " ").alias("names"), F.col("terms.tf").alias("tfs")
+    )
+
+
+def unfolded_terms(folded: DataFrame) -> DataFrame:
+    pairs = F.arrays_zip(F.split("names", " ").alias("term"), F.col("tfs").alias("tf"))
+    return folded.select("chunk_id", "cik", "dl", pairs.alias("terms"))
+
+
 def posting_rows(forward: DataFrame) -> DataFrame:
     return _exploded_terms(forward, "chunk_id", "cik", "dl").select(
         "t.term", "chunk_id", "t.tf", "dl", "cik"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import substring
+from gleaner.operators import bm25, substring
 from gleaner.operators.requests import request_frame, resolved_batch
 from gleaner.plans import store as layouts
 from gleaner.plans.store import Store
@@ -51,3 +51,26 @@ def _counted(calls, run):
         return run(*given)
 
     return counted
+
+
+def test_a_search_writes_no_bounds_of_its_own_accord(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25, "WEIGH_FROM", 0)
+    monkeypatch.setattr(bm25, "_worth_reading", _counted(calls := [], bm25._worth_reading))
+    opened = Store(spark, tables, str(tmp_path))
+    batch = _batch(spark, opened, [{"request_id": "r", "query": "apple cherry"}])
+    read = _pairs(bm25.bm25_hits(batch, opened))
+    assert read and not calls and not list(tmp_path.glob("peaks*"))
+    bm25.write_peaks(opened)
+    assert _pairs(bm25.bm25_hits(batch, opened)) == read
+    assert len(calls) == 1
+
+
+def test_terms_are_folded_on_their_way_to_a_bucket(spark):
+    schema = "chunk_id string, cik string, dl int, terms array<struct<term:string,tf:int>>"
+    rows = [("a", "1", 3, [("x", 2), ("yz", 1)]), ("b", None, 1, [("x", 1)]), ("c", "1", 0, []), ("a", "1", 1, [("w", 1)])]
+    forward = spark.createDataFrame(rows, schema)
+    folded = layouts.folded_terms(forward)
+    assert dict(folded.dtypes)["names"] == "string"
+    unfolded = layouts.posting_rows(layouts.unfolded_terms(folded))
+    assert sorted(map(str, unfolded.collect())) == sorted(map(str, layouts.posting_rows(forward).collect()))
+    assert unfolded.schema.simpleString() == layouts.posting_rows(forward).schema.simpleString()
