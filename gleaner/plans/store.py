@@ -67,7 +67,7 @@ _POSTINGS_PER_PAGE = 1024
 _PEAKS_PER_FILE = 20_000_000
 # Terms found in so many chunks of an average block have peaks: the table stays that much smaller than postings.
 _POSTINGS_PER_PEAK = 16
-_GRAMS_PER_CHUNK = 60  # of those that are new in a block
+_GRAM_BYTES_PER_TASK = "16m"  # of passages as they are written
 _SMALLEST_SHARE = 1_000
 _PACKED = {"compression": "zstd"}
 _MOST_DIRECTORIES = 4096
@@ -432,17 +432,19 @@ class Store:
 
         A block's chunks are dealt to 64 slots, one bit each, so grams that a block has in different
         chunks are told apart. A block can have two rows for a gram, where its passages were read apart.
+        Grams are sorted where they are made, so nothing moves: a scan reads a few pages of every file.
         """
 
         def write(target: str) -> None:
-            (
-                block_grams(self.passages().where("linked"))
-                .repartitionByRange(shares(self._chunk_count() * _GRAMS_PER_CHUNK, _PEAKS_PER_FILE, self._cores), "gram", "block")
-                .sortWithinPartitions("gram", "block")
-                .write.mode("overwrite")
-                .options(**paged(_POSTINGS_PER_PAGE))
-                .parquet(target)
-            )
+            # Tasks read so little that what they sort stays in memory.
+            with setting(self.spark, "spark.sql.files.maxPartitionBytes", _GRAM_BYTES_PER_TASK):
+                (
+                    block_grams(self.passages().where("linked"))
+                    .sortWithinPartitions("gram", "block")
+                    .write.mode("overwrite")
+                    .options(**paged(_POSTINGS_PER_PAGE))
+                    .parquet(target)
+                )
 
         return self._written("grams", write)
 

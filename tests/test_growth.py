@@ -74,3 +74,17 @@ def test_terms_are_folded_on_their_way_to_a_bucket(spark):
     unfolded = layouts.posting_rows(layouts.unfolded_terms(folded))
     assert sorted(map(str, unfolded.collect())) == sorted(map(str, layouts.posting_rows(forward).collect()))
     assert unfolded.schema.simpleString() == layouts.posting_rows(forward).schema.simpleString()
+
+
+def test_grams_are_sorted_where_they_are_made(spark, tables, tmp_path, monkeypatch):
+    def refused(*given):
+        raise AssertionError("grams moved")
+
+    opened = Store(spark, tables, str(tmp_path))
+    made = sorted(map(tuple, layouts.block_grams(opened.passages().where("linked")).collect()))
+    monkeypatch.setattr(type(opened.passages()), "repartitionByRange", refused)
+    rows = opened.grams().select("gram", "block", "slots", F.col("_metadata.file_name").alias("file")).collect()
+    assert sorted((r["gram"], r["block"], r["slots"]) for r in rows) == made
+    for file in {r["file"] for r in rows}:
+        held = [(r["gram"], r["block"]) for r in rows if r["file"] == file]
+        assert held == sorted(held)
