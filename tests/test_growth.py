@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions.stem import stem_word, stemmed
 from gleaner.operators import bm25, substring
 from gleaner.operators.requests import request_frame, resolved_batch
 from gleaner.plans import store as layouts
@@ -76,6 +78,19 @@ def test_terms_are_folded_on_their_way_to_a_bucket(spark):
     assert unfolded.schema.simpleString() == layouts.posting_rows(forward).schema.simpleString()
 
 
+def test_a_word_is_stemmed_once_in_a_batch():
+    class Asked(dict):
+        def __missing__(self, word):
+            asked.append(word)
+            return stem_word(word)
+
+    asked = []
+    lists = pa.array([["running", "dogs"], None, [], ["dogs", None, "dogs"]], pa.list_(pa.string()))
+    assert stemmed(lists, Asked()).to_pylist() == [["run", "dog"], None, [], ["dog", None, "dog"]]
+    assert sorted(asked) == ["dogs", "running"]
+    assert stemmed(lists[2:], Asked()).to_pylist() == [[], ["dog", None, "dog"]]
+
+
 def test_grams_are_sorted_where_they_are_made(spark, tables, tmp_path, monkeypatch):
     def refused(*given):
         raise AssertionError("grams moved")
