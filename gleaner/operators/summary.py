@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.functions.text import excerpt
 from gleaner.operators.bm25 import Bm25
-from gleaner.operators.hybrid import branches, fuse, fused_hits, hybrid_hits, hybrid_search, normalized_weights
+from gleaner.operators.hybrid import branches, fuse, fused_hits, hybrid_hits, normalized_weights
 from gleaner.operators.ranking import label_hits
 from gleaner.operators.requests import Batch, in_batches
 from gleaner.plans.store import Analyzer, Store
@@ -25,6 +25,7 @@ STEP_TEXTS = (
     "Combined results with weighted scoring",
     "Returned top {} results",
 )
+_COUNTS = ("fts_results", "vector_results", "combined_unique")
 
 
 def _score(name: str) -> Column:
@@ -136,55 +137,69 @@ def explain_hybrid(
     model: Bm25 = Bm25(),
 ) -> DataFrame:
     """One row per hybrid request: weights, candidate counts, steps and composition."""
-    counts = ("fts_results", "vector_results", "combined_unique")
 
     def explain(batch: Batch) -> DataFrame:
-        hits = hybrid_hits(batch, store, analyzer, model)
-        results = label_hits(hits, store, "hybrid", keep=counts, batch=batch)
-        return (
-            composition(results, batch.frame, keep=counts)
-            .join(F.broadcast(normalized_weights(batch.frame)), "request_id")
-            .join(
-                F.broadcast(batch.frame.select("request_id", "query", "fts_weight", "semantic_weight")),
-                "request_id",
-            )
-            .select(
-                "request_id",
-                F.col("query").alias("original_query"),
-                F.lit("hybrid").alias("search_method"),
-                "fts_weight",
-                "semantic_weight",
-                F.col("normalize_scores").alias("normalized"),
-                F.col("fts_share").alias("normalized_fts_weight"),
-                F.col("vector_share").alias("normalized_semantic_weight"),
-                *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
-                *_steps(F.col("total_results")),
-                F.col("total_results").alias("results_found"),
-                "fts_only",
-                "vector_only",
-                "both_methods",
-                "company_distribution",
-                "combined_score_avg",
-                "combined_score_min",
-                "combined_score_max",
-            )
-        )
+        return _explained(_counted_results(batch, store, analyzer, model), batch)
 
     return in_batches(requests, store.companies, explain, hybrid=True)
 
 
+def _counted_results(batch: Batch, store: Store, analyzer: Analyzer, model: Bm25) -> DataFrame:
+    """Labelled hybrid hits with the candidate counts of their request."""
+    hits = hybrid_hits(batch, store, analyzer, model)
+    return label_hits(hits, store, "hybrid", keep=_COUNTS, batch=batch)
+
+
+def _explained(results: DataFrame, batch: Batch) -> DataFrame:
+    return (
+        composition(results, batch.frame, keep=_COUNTS)
+        .join(F.broadcast(normalized_weights(batch.frame)), "request_id")
+        .join(
+            F.broadcast(batch.frame.select("request_id", "query", "fts_weight", "semantic_weight")),
+            "request_id",
+        )
+        .select(
+            "request_id",
+            F.col("query").alias("original_query"),
+            F.lit("hybrid").alias("search_method"),
+            "fts_weight",
+            "semantic_weight",
+            F.col("normalize_scores").alias("normalized"),
+            F.col("fts_share").alias("normalized_fts_weight"),
+            F.col("vector_share").alias("normalized_semantic_weight"),
+            *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in _COUNTS],
+            *_steps(F.col("total_results")),
+            F.col("total_results").alias("results_found"),
+            "fts_only",
+            "vector_only",
+            "both_methods",
+            "company_distribution",
+            "combined_score_avg",
+            "combined_score_min",
+            "combined_score_max",
+        )
+    )
+
+
 def explained_envelope(
     requests: DataFrame,
     store: Store,
     analyzer: Analyzer = Analyzer(),
     model: Bm25 = Bm25(),
 ) -> DataFrame:
-    """The response of a hybrid search with its explanation in it: one row per request."""
-    results = hybrid_search(requests, store, analyzer, model)
-    explained = explain_hybrid(requests, store, analyzer, model)
-    fields = [c for c in explained.columns if c != "request_id"]
-    explained = explained.select("request_id", F.struct(*fields).alias("explanation"))
-    return envelope(results, requests, "hybrid").join(explained, "request_id", "left")
+    """The response of a hybrid search with its explanation in it: one row per request.
+
+    The search is run once; its labelled hits are kept and read for both parts.
+    """
+
+    def respond(batch: Batch) -> DataFrame:
+        results = written_hits(store, _counted_results(batch, store, analyzer, model))
+        explained = _explained(results, batch)
+        fields = [c for c in explained.columns if c != "request_id"]
+        explained = explained.select("request_id", F.struct(*fields).alias("explanation"))
+        return envelope(results, batch.frame, "hybrid").join(explained, "request_id", "left")
+
+    return in_batches(requests, store.companies, respond, hybrid=True)
 
 
 def _steps(returned: Column) -> list[Column]:

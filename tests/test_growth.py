@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.stem import stem_word, stemmed
-from gleaner.operators import bm25, substring
+from gleaner.operators import bm25, substring, summary
 from gleaner.operators.requests import request_frame, resolved_batch
 from gleaner.plans import store as layouts
 from gleaner.plans.store import Store
@@ -78,6 +78,20 @@ def test_terms_are_folded_on_their_way_to_a_bucket(spark):
     assert unfolded.schema.simpleString() == layouts.posting_rows(forward).schema.simpleString()
 
 
+def test_an_explained_response_searches_once(spark, store, monkeypatch):
+    monkeypatch.setattr(summary, "hybrid_hits", _counted(calls := [], summary.hybrid_hits))
+    rows = [{"request_id": "r", "query": "apple cherry", "query_vec": [1.0, 0.0]}, {"request_id": "no", "query": "zzz"}]
+    asked = request_frame(spark, rows)
+    found = {row["request_id"]: row for row in summary.explained_envelope(asked, store).collect()}
+    assert len(calls) == 1 and set(found) == {"r", "no"}
+    plain = {row["request_id"]: row for row in summary.explain_hybrid(asked, store).collect()}
+    for name, row in found.items():
+        own = plain[name].asDict(recursive=True)
+        for part, value in row["explanation"].asDict(recursive=True).items():
+            assert value == (pytest.approx(own[part]) if isinstance(value, float) else own[part])
+        assert row["total_results"] == len(row["results"]) == own["results_found"]
+
+
 def test_a_word_is_stemmed_once_in_a_batch():
     class Asked(dict):
         def __missing__(self, word):
