@@ -7,13 +7,13 @@ buckets, which keeps passages that many documents share out of the prefixes.
 
 Within a group a signature tree is built: leaves hold sets of like size, every node the OR of its
 sets' token bitmaps, their size range and how many tokens may share a bit. Traversals of the
-tree against itself drop node pairs whose largest possible overlap is too small. What is left is
-verified exactly on the whole sets. Groups with the same smallest member mostly belong to one family
-of near copies; they are worked on in one unit, where a pair counts once and a set is brought once,
-and a family above ``UNIT`` tokens is dealt to several units.
+tree against itself drop node pairs whose largest possible overlap is too small. Sets for which a pair
+is left are made again whole and compared exactly. Groups with the same smallest member mostly belong
+to one family of near copies; they are worked on in one unit, where a set is brought once and a pair is
+compared once, and never written; a family above ``UNIT`` tokens is dealt to several units.
 
-Links only matter up to connection. A first round links each set to a leader of its group; the
-second looks at all pairs of different components, so a group of thousands of near copies is not
+Links only matter up to connection. A family's sets are first linked to leaders; then all pairs of
+sets that are not connected are looked at, so a group of thousands of near copies is not
 expanded into all pairs, and no link between different components is lost. Groups above
 ``BLOCK`` members are worked on in pairs of blocks.
 
@@ -47,7 +47,7 @@ BLOCK = 4096
 SHARD_POSTINGS = 4_000_000
 HELD_WORDS = 1 << 22  # of signatures compared at a time
 UNIT = 2_000_000  # tokens of the sets that are compared and verified together
-HELD_PAIRS = 500_000  # of a unit, before they are written out
+FIRST_PAIRS, HELD_PAIRS = 256, 65_536  # compared at a time, after which connected ones are left out
 BROADCAST_ROWS = 500_000
 
 
@@ -187,7 +187,7 @@ class SignatureTree:
             )
             step = FAN
 
-    def _may_link(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    def may_link(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
         """Whether node pairs may hold a link: by component, by size, by largest possible overlap."""
         bits, lo, hi, spare, c0, c1 = self.levels[level]
         apart = ~((c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j]))
@@ -218,7 +218,7 @@ class SignatureTree:
             if level == 0:
                 low = i < j
                 i, j = i[low], j[low]
-            keep = self._may_link(level, i, j, percent) if len(i) else np.empty(0, bool)
+            keep = self.may_link(level, i, j, percent) if len(i) else np.empty(0, bool)
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
@@ -242,7 +242,7 @@ class SignatureTree:
         left = order
         while len(left) > 1:
             rest = left[1:]
-            near = self._may_link(0, np.full(len(rest), left[0]), rest, percent)
+            near = self.may_link(0, np.full(len(rest), left[0]), rest, percent)
             if near.any():
                 yield int(left[0]), rest[near]
             left = rest[~near]
@@ -317,51 +317,126 @@ def _runs(percent: int):
     return group
 
 
-def _walk(percent: int, leaders: bool):
-    """Candidate pairs of a partition's runs, which come sorted by unit and run; once per unit."""
+def _asking(percent: int):
+    """Members of a partition's runs, which come sorted by unit, family and run, that may have a link.
 
-    def tree_pairs(run: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    Each comes once for its family. A run tells who may be linked, not with whom, so what is handed on grows
+    with the members, however many of their pairs stay undecided.
+    """
+
+    def may_have_links(run: list[tuple], asked: set[bytes]) -> None:
         run.sort(key=lambda r: (r[1], r[0]))
-        sizes = np.array([r[1] for r in run], np.int64)
-        numbers: dict[bytes, int] = {}
-        component = np.array([numbers.setdefault(r[3], len(numbers)) for r in run], np.int64)
-        tree = SignatureTree(sizes, [r[2] for r in run], component)
-        if leaders:
-            order = np.array(sorted(range(len(run)), key=lambda i: run[i][0]), np.int64)
-            found = ((leader, int(x)) for leader, near in tree.leader_pairs(percent, order) for x in near)
-        else:
-            found = ((int(x), int(y)) for i, j in tree.pairs(percent) for x, y in zip(i, j))
-        for x, y in found:
-            one, other = run[x][0], run[y][0]
-            yield (one, other) if one < other else (other, one)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = key = None
+        sids = np.array([r[0] for r in run], object)
+        near = np.array([sid in asked for sid in sids])
+        if near.all():
+            return
+        sizes, signatures = np.array([r[1] for r in run], np.int64), [r[2] for r in run]
+        # one set stands for most of a family of near copies; two that are asked for already need not be told apart
+        first, others = np.split(np.argsort(sids), [1])
+        tree = SignatureTree(sizes, signatures, np.arange(len(run)))
+        others = others[tree.may_link(0, np.repeat(first, len(others)), others, percent)]
+        near[others] = True
+        near[first] |= len(others) > 0
+        tree = SignatureTree(sizes, signatures, np.where(near, -1, np.arange(len(run))))
+        for i, j in tree.pairs(percent):
+            near[i] = near[j] = True
+            if near.all():
+                break
+        asked.update(sids[near])
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = key = None
         run: list[tuple] = []
-        seen: set[tuple[bytes, bytes]] = set()
+        asked: set[bytes] = set()
 
         def emit() -> pa.RecordBatch:
-            columns = {k: pa.array([p[i] for p in seen], pa.binary()) for i, k in enumerate("ab")}
-            return pa.RecordBatch.from_pydict({"unit": pa.array([unit] * len(seen), pa.int64()), **columns})
+            unit, family = place
+            columns = {"unit": pa.array([unit] * len(asked), pa.int64()), "family": [family] * len(asked)}
+            return pa.RecordBatch.from_pydict(columns | {"sid": pa.array(list(asked), pa.binary())})
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("unit", "run", "sid", "size", "signature", "component")]
-            for next_unit, next_key, *member in zip(*columns):
-                if next_key != key or next_unit != unit:
+            columns = [batch.column(c).to_pylist() for c in ("unit", "family", "run", "sid", "size", "signature")]
+            for unit, family, next_key, *member in zip(*columns):
+                if next_key != key or (unit, family) != place:
                     if len(run) > 1:
-                        seen.update(tree_pairs(run))
+                        may_have_links(run, asked)
                     run = []
-                    if seen and (next_unit != unit or len(seen) > HELD_PAIRS):
-                        yield emit()
-                        seen.clear()
-                    unit, key = next_unit, next_key
+                    if (unit, family) != place:
+                        if asked:
+                            yield emit()
+                            asked.clear()
+                        place = unit, family
+                    key = next_key
                 run.append(tuple(member))
         if len(run) > 1:
-            seen.update(tree_pairs(run))
-        if seen:
+            may_have_links(run, asked)
+        if asked:
             yield emit()
 
-    return walk
+    return asking
+
+
+class Overlaps:
+    """Counts of common tokens of pairs of sets, which are held as numbers of their tokens."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        tokens, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(tokens), bool)
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The overlap of each pair; those of one ``i`` are looked up together."""
+        out = np.empty(len(i), np.int64)
+        order = np.argsort(i, kind="stable")
+        cut = np.flatnonzero(np.diff(i[order])) + 1
+        for some in np.split(order, cut) if len(order) else ():
+            own = self.flat[self.start[i[some[0]]] :][: self.sizes[i[some[0]]]]
+            self.mark[own] = True
+            lengths = self.sizes[j[some]]
+            first = np.cumsum(lengths) - lengths
+            places = np.repeat(self.start[j[some]] - first, lengths) + np.arange(lengths.sum())
+            out[some] = np.add.reduceat(self.mark[self.flat[places]], first, dtype=np.int64)
+            self.mark[own] = False
+        return out
+
+
+def spanning_links(sids: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of non-empty sets that are similar enough: those that connect what all such pairs connect.
+
+    Each set is first compared with a leader, then with the sets it is not connected with yet, so near copies
+    are not compared pair by pair.
+    """
+    if len(sets) < 2:
+        return []
+    overlaps, found = Overlaps(sets), []
+    sizes, signatures = overlaps.sizes, [signature_of(s) for s in sets]
+    order = np.array(sorted(range(len(sids)), key=lambda k: (sizes[k], sids[k])), np.int64)
+    sizes, signatures = sizes[order], [signatures[k] for k in order]
+    label = np.arange(len(sids))  # of the connected part, by places in ``order``
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        step = FIRST_PAIRS
+        while len(i):
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            x, y, i, j = i[:step], j[:step], i[step:], j[step:]
+            both = overlaps.of(order[x], order[y])
+            linked = 100 * both >= percent * (sizes[x] + sizes[y] - both)
+            for a, b in zip(x[linked].tolist(), y[linked].tolist()):
+                if label[a] != label[b]:
+                    label[label == label[b]] = label[a]
+                    found.append((int(order[a]), int(order[b])))
+            step = min(2 * step, HELD_PAIRS)
+
+    tree = SignatureTree(sizes, signatures, label)
+    by_sid = np.array(sorted(range(len(sids)), key=lambda k: sids[order[k]]), np.int64)
+    for leader, near in tree.leader_pairs(percent, by_sid):
+        compare(np.full(len(near), leader), near)
+    if len(sids) > 2 and (label != label[0]).any():
+        for i, j in SignatureTree(sizes, signatures, label.copy()).pairs(percent):
+            compare(i, j)
+    return found
 
 
 def _whole_sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -388,15 +463,14 @@ def _whole_sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(again, "sid binary, blob binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``(unit, a, b)`` of set digests whose whole sets are similar enough.
+def verified(asked: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` between the asked ``(unit, family, sid)`` that connect what all links connect.
 
-    A unit's pairs are verified together, so a set is brought once to a unit, not to every pair.
+    A unit's families are compared together on whole sets, so a set is brought once to a unit, and a pair
+    exists only while it is compared. What a unit connects is handed on as a star, which ``components`` joins
+    in fewer steps than the links themselves.
     """
-    pairs = written(pairs, "pairs")
-    # each side is made distinct where it is read: a set of many pairs is asked for once per task
-    sides = [pairs.select("unit", F.col(side).alias("sid")).distinct() for side in ("a", "b")]
-    asked = written(sides[0].union(sides[1]).distinct(), "asked")
+    asked = written(asked, "asked")
     blobs = _whole_sets(texts, asked.select("sid").distinct(), n)
 
     def check(some: pa.Table, sets: pa.Table) -> pa.Table:
@@ -404,16 +478,31 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
             sid: np.frombuffer(blob, np.uint64)
             for sid, blob in zip(sets["sid"].to_pylist(), sets["blob"].to_pylist())
         }
-        keep = []
-        for x, y in zip(some["a"].to_pylist(), some["b"].to_pylist()):
-            a, b = held[x], held[y]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= percent * (len(a) + len(b) - both))
-        return some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        families: dict[bytes, list[bytes]] = {}
+        for family, sid in zip(some["family"].to_pylist(), some["sid"].to_pylist()):
+            families.setdefault(family, []).append(sid)
+        above: dict[bytes, bytes] = {}  # a smaller set that one is connected with
+
+        def smallest(sid: bytes) -> bytes:
+            path = []
+            while sid in above:
+                path.append(sid)
+                sid = above[sid]
+            above.update(dict.fromkeys(path, sid))
+            return sid
+
+        for sids in families.values():
+            for x, y in spanning_links(sids, [held[sid] for sid in sids], percent):
+                a, b = sorted((smallest(sids[x]), smallest(sids[y])))
+                if a != b:
+                    above[b] = a
+        ends = list(above)
+        return pa.table({"a": pa.array(map(smallest, ends), pa.binary()), "b": pa.array(ends, pa.binary())})
 
     # With few askers the sets go straight to the units; otherwise they are shuffled on the way.
-    brought = blobs.join(_small(asked), "sid").select("unit", "sid", "blob")
-    linked = pairs.groupBy("unit").cogroup(brought.groupBy("unit")).applyInArrow(check, "a binary, b binary")
+    places = asked.select(F.col("unit").alias("place"), "sid").distinct()
+    brought = blobs.join(_small(places), "sid").select("place", "sid", "blob")
+    linked = asked.groupBy("unit").cogroup(brought.groupBy("place")).applyInArrow(check, "a binary, b binary")
     return written(linked, "links")
 
 
@@ -422,19 +511,24 @@ def text_key(text: Column) -> Column:
 
 
 def _in_units(members: DataFrame, described: DataFrame) -> DataFrame:
-    """``(unit, run, m, sid)``: runs put together so that those of one family meet.
+    """``(unit, family, run, sid)``: runs put together so that those of one family meet.
 
-    Runs with the same smallest member belong to one family, more or less. They share a unit, so a
-    pair that meets in many of them comes out once; a unit holds about ``UNIT`` tokens, and a family
-    that has more is dealt to several units by run.
+    Runs with the same smallest member belong to one family, more or less. They share a unit, where a set
+    comes once and is compared with its family; a unit holds about ``UNIT`` tokens. A family of more tokens
+    or more than ``BLOCK`` sets is dealt to several units by run, and each run is compared by itself.
     """
-    sizes = members.join(described.select("sid", "size"), "sid")
-    weights = written(sizes.groupBy("leader").agg(F.sum("size").alias("weight")), "leaders")
+    counted = members.groupBy("leader", "sid").agg(F.count("*").alias("runs"))
+    sizes = counted.join(described.select("sid", "size"), "sid")
+    weights = sizes.groupBy("leader").agg(
+        F.sum(F.col("size") * F.col("runs")).alias("weight"),
+        ((F.sum("size") > UNIT) | (F.count("*") > BLOCK)).alias("large"),
+    )
+    weights = written(weights, "leaders")
     units = int((weights.agg(F.sum("weight")).collect()[0][0] or 0) / UNIT) + 1
-    parts = F.ceil(F.col("weight") / F.lit(UNIT))
-    unit = F.when(parts > 1, F.xxhash64("leader", F.pmod(F.xxhash64("run"), parts)))
-    unit = unit.otherwise(F.pmod(F.xxhash64("leader"), F.lit(units)))
-    return members.join(weights, "leader").select(unit.alias("unit"), "run", "m", "sid")
+    part = F.pmod(F.xxhash64("run"), F.ceil(F.col("weight") / F.lit(UNIT)))
+    unit = F.when(F.col("large"), F.xxhash64("leader", part)).otherwise(F.pmod(F.xxhash64("leader"), F.lit(units)))
+    family = F.when(F.col("large"), F.col("run")).otherwise(F.col("leader"))
+    return members.join(weights, "leader").select(unit.alias("unit"), family.alias("family"), "run", "sid")
 
 
 def linked_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -451,37 +545,15 @@ def linked_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     dealt = dealt.mapInArrow(_postings(shards), "shard int, keys binary, sids binary, sizes binary")
     runs = dealt.groupBy("shard").applyInArrow(_runs(percent), "run binary, sids array<binary>")
     runs = written(runs.groupBy("run").agg(F.first("sids").alias("sids")), "runs")
-    members = runs.select(
-        "run", F.size("sids").alias("m"), F.array_min("sids").alias("leader"), F.explode("sids").alias("sid")
-    )
+    members = runs.select("run", F.array_min("sids").alias("leader"), F.explode("sids").alias("sid"))
     described = found.where(F.length("signature") > 0).select("sid", "size", "signature")
     described = described.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
     described = written(described, "signatures")
-    members = written(_in_units(members, described), "members")
-
-    def open_runs(roots: DataFrame, least: int) -> DataFrame:
-        """Members of runs of ``least`` sets or more that lie in several components."""
-        placed = members.where(F.col("m") >= least).join(roots.withColumnRenamed("u", "sid"), "sid", "left")
-        placed = placed.select("unit", "run", "m", "sid", F.coalesce("root", "sid").alias("component"))
-        several = placed.groupBy("run").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-        return placed.join(several.where("c0 < c1").select("run"), "run", "left_semi")
-
-    def joined_by(roots: DataFrame, links: DataFrame) -> DataFrame:
-        tree = roots.select(F.col("u").alias("a"), F.col("root").alias("b"))
-        return written(components(tree.unionByName(links)), "roots")
-
-    def candidates(chosen: DataFrame, leaders: bool) -> DataFrame:
-        ready = chosen.join(described, "sid").repartition("unit").sortWithinPartitions("unit", "run")
-        ready = ready.select("unit", "run", "sid", "size", "signature", "component")
-        pairs = ready.mapInArrow(_walk(percent, leaders), "unit long, a binary, b binary")
-        return pairs.groupBy("a", "b").agg(F.min("unit").alias("unit"))
-
-    first = verified(candidates(members.withColumn("component", F.col("sid")), True), texts, n, percent)
-    roots = written(components(first), "roots")
-    # a run of two was decided in the first round, and one of a single component needs no more
-    last = verified(candidates(open_runs(roots, 3), False), texts, n, percent)
-    if last.limit(1).count():
-        roots = joined_by(roots, last)
+    ready = _in_units(members, described).join(described, "sid")
+    ready = ready.repartition("unit").sortWithinPartitions("unit", "family", "run")
+    ready = ready.select("unit", "family", "run", "sid", "size", "signature")
+    asked = ready.mapInArrow(_asking(percent), "unit long, family binary, sid binary")
+    roots = written(components(verified(asked, texts, n, percent)), "roots")
     sids = found.groupBy("key").agg(F.first("sid").alias("sid"), F.first("size").alias("size"))
     return sids.join(roots.withColumnRenamed("u", "sid"), "sid", "left").select(
         "key", "size", F.coalesce("root", "sid").alias("root")

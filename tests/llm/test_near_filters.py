@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from gleaner.llm.near_lines import _sign
-from gleaner.llm.near_sets import SignatureTree, signature_of
+from gleaner.llm.near_sets import SignatureTree, signature_of, spanning_links
 
 
 def test_signature_tree_keeps_all_links():
@@ -33,6 +33,27 @@ def test_signature_tree_keeps_all_links():
         assert leaders <= found
 
 
+def test_spanning_links_connect_what_all_links_connect(monkeypatch):
+    draw = np.random.default_rng(2)
+    for first in (1, 256):
+        monkeypatch.setattr("gleaner.llm.near_sets.FIRST_PAIRS", first)
+        base = draw.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = [np.unique(np.append(base[draw.random(60) > 0.13 * draw.random()], draw.integers(0, 2**63, draw.integers(0, 5), dtype=np.uint64))) for _ in range(80)]
+        sets.append(np.array([7], np.uint64))
+        found = spanning_links([bytes([k]) for k in range(len(sets))], sets, 85)
+
+        def parts(pairs):
+            label = list(range(len(sets)))
+            for a, b in pairs:
+                label = [label[a] if x == label[b] else x for x in label]
+            return [label.index(x) for x in label]
+
+        similar = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+        linked = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if similar(a, b)]
+        assert parts(found) == parts(linked) and 1 < len(set(parts(linked))) < len(sets)
+        assert all(similar(a, b) for a, b in found) and len(found) == len(sets) - len(set(parts(linked)))
+
+
 def test_line_signs_change_by_two_bits_an_edit():
     draw = np.random.default_rng(1)
     lines, edits = [], []

@@ -17,7 +17,7 @@ from gleaner.llm.mixing import mix, route, targets
 from gleaner.llm.near_lines import dedup_lines
 from gleaner.llm.near_sets import ngram_jaccard, one_of_each
 from gleaner.llm.quality import RULES, cascade, measure, text_measures
-from gleaner.llm.shared import scratch
+from gleaner.llm.shared import scratch, written
 from gleaner.llm.tokens import TokenizerFile, count_tokens
 from gleaner.llm.url_lists import host_of, intervals, judge
 
@@ -108,6 +108,31 @@ def test_ngram_jaccard_in_blocks(spark, monkeypatch):
     assert found == {i: min(g) for i, g in enumerate(groups)}
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_ngram_jaccard_writes_no_pairs_of_sets_that_do_not_link(spark, monkeypatch, block):
+    """A template with three slots: any two of its texts lie just below the threshold."""
+    monkeypatch.setattr("gleaner.llm.near_sets.BLOCK", block)
+    made = []
+
+    def counted(frame, label):
+        made.append((label, (out := written(frame, label)).count()))
+        return out
+
+    monkeypatch.setattr("gleaner.llm.near_sets.written", counted)
+    rows = []
+    for i in range(60):
+        text = [f"t{k}" for k in range(150)]
+        text[20] = text[60] = text[100] = f"u{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(100, rows[3][1] + " more"), (101, "first " + rows[3][1]), (102, rows[9][1] + " last")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in ngram_jaccard(frame).collect()}
+    assert found == {i: {100: 3, 101: 3, 102: 9}.get(i, i) for i, _ in rows}
+    if block > len(rows):
+        assert max(n for label, n in made if label != "runs") <= 2 * len(rows)
+    assert dict(made)["links"] < len(rows)
+
+
 def test_one_of_each(docs):
     kept = one_of_each(docs, 4, 85)
     assert kept.columns == docs.columns
