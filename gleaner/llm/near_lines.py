@@ -18,6 +18,7 @@ the shorter one. Lines long enough for two edits are then also cut into winnowed
 Lines within the bound share a run of words long enough to hold a window, so they share an n-gram at
 places no further apart than the bound; pairs that do are verified by edit distance on the words.
 Each is first compared with the earliest line of its n-grams, and with all others only if that fails.
+Two lines that share many n-grams meet at the first of them, and again only after a gap of several.
 
 Defined results: null and empty texts have no lines; rows that agree in id and text are one document
 and share one fate; an empty table gives an empty result. Columns of the input that have the name of
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gleaner.llm.bloom import bloom_of, may_hold_all
 from gleaner.llm.near_sets import text_key
@@ -40,6 +41,8 @@ from gleaner.llm.words import gram_hashes, mix64, powers, texts, word_chunks
 MIN_WORDS = 8
 BROADCAST_BYTES = 32_000_000
 ROW_BYTES = 80  # of a document's entry, besides its line numbers
+LOOK_BACK = 4  # shared n-grams before a place that tell whether two lines have met
+PLACES = 3  # places of one mark; no further apart than the least bound of lines that are cut into n-grams, two
 _HOLE = np.uint64(0xA0761D6478BD642F)
 
 RESULT = ("n_lines", "n_exact", "n_near", "removed")
@@ -149,6 +152,7 @@ def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
 
 
 _SIGNS = ("s0", "s1", "s2", "s3")
+_BACK = [f"b{k}" for k in range(1, LOOK_BACK + 1)]
 
 
 def _edits(shorter, words_per_edit: int):
@@ -292,6 +296,34 @@ def near_digests(keyed: DataFrame, first: DataFrame, min_words: int) -> DataFram
     return pairs.mapInArrow(_verify, "digest binary")
 
 
+def _looking_back(found: DataFrame) -> DataFrame:
+    """Each n-gram of a line with marks of the ``LOOK_BACK`` ones before it and their places."""
+    order = Window.partitionBy("digest").orderBy("at")
+    marked = found.withColumn("mark", F.xxhash64("gram", F.floor(F.col("at") / PLACES)))
+    none = lambda k: F.xxhash64("digest", F.lit(k))  # noqa: E731  at the start, what no other line has
+    back = [F.coalesce(F.lag("mark", k).over(order), none(k)).alias(name) for k, name in enumerate(_BACK, 1)]
+    return marked.select(*found.columns, *back)
+
+
+def _meetings(later: DataFrame, found: DataFrame, words_per_edit: int) -> DataFrame:
+    """Pairs of lines that share an n-gram and may be within the bound, few times each.
+
+    A pair that has met at one of the n-grams just before does not meet again. What is left out has
+    met at an earlier place of the later line, so the first meeting of each pair stays.
+    """
+    before = found.select(
+        "gram", F.col("ord").alias("earlier"), *(F.col(c).alias(f"_{c}") for c in ("at", "n", *_SIGNS, *_BACK))
+    )
+    bound = F.floor(F.least("n", "_n") / F.lit(words_per_edit))
+    # lines that share a passage, or copies with more edits, differ in too many words to be compared
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in _SIGNS), F.lit(0))
+    may = (F.col("earlier") < F.col("ord")) & (F.abs(F.col("n") - F.col("_n")) <= bound)
+    may &= (F.abs(F.col("at") - F.col("_at")) <= bound) & (differ <= bound * 2)
+    for c in _BACK:
+        may &= ~F.col(c).isin([F.col(f"_{b}") for b in _BACK])
+    return later.join(before, "gram").where(may)  # in one condition, which keeps the order: what few pairs fail comes last
+
+
 def further_digests(
     keyed: DataFrame, first: DataFrame, near: DataFrame, min_words: int, words_per_edit: int
 ) -> DataFrame:
@@ -324,7 +356,7 @@ def further_digests(
     found = written(found, "shared-grams")
     lines = _numbered(keyed, first, found.select("digest").distinct(), min_words)
     signed = lines.mapInArrow(_sign, "digest binary, ord long, s0 long, s1 long, s2 long, s3 long")
-    found = written(found.join(signed, "digest"), "placed-grams")
+    found = written(_looking_back(found.join(signed, "digest")), "placed-grams")
     later = found.join(near.select("digest"), "digest", "left_anti")
     other = lines.select(F.col("ord").alias("earlier"), F.col("words").alias("other"))
 
@@ -334,13 +366,7 @@ def further_digests(
 
     leaders = found.groupBy("gram").agg(F.min("ord").alias("earlier"))
     one = written(judged(later.join(leaders, "gram").where("earlier < ord")), "further-lines")
-    before = found.select("gram", F.col("ord").alias("earlier"), *(F.col(c).alias(f"_{c}") for c in ("at", "n", *_SIGNS)))
-    bound = F.floor(F.least("n", "_n") / F.lit(words_per_edit))
-    # lines that share a passage, or copies with more edits, differ in too many words to be compared
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in _SIGNS), F.lit(0))
-    pairs = later.join(one, "digest", "left_anti").join(before, "gram").where("earlier < ord")
-    pairs = pairs.where((F.abs(F.col("n") - F.col("_n")) <= bound) & (F.abs(F.col("at") - F.col("_at")) <= bound))
-    pairs = pairs.where(differ <= bound * 2)
+    pairs = _meetings(later.join(one, "digest", "left_anti"), found, words_per_edit)
     return one.unionByName(judged(pairs))
 
 

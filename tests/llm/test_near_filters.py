@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from gleaner.llm.near_lines import _sign
+from gleaner.llm.near_lines import _looking_back, _meetings, _sign
 from gleaner.llm.near_sets import SignatureTree, signature_of, spanning_links
 
 
@@ -73,3 +73,31 @@ def test_line_signs_change_by_two_bits_an_edit():
     signs = np.stack([signed.column(f"s{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
     for k, n in enumerate(edits):
         assert np.bitwise_count(signs[2 * k] ^ signs[2 * k + 1]).sum() <= 2 * n
+
+
+def test_lines_with_many_shared_grams_meet_few_times(spark):
+    """Every pair that meets anywhere is still found; it no longer comes once for each gram it shares."""
+    draw = np.random.default_rng(3)
+    base, rows = draw.integers(0, 2**62, 30).tolist(), []
+    for line in range(40):
+        grams = [int(draw.integers(0, 2**62)) if draw.random() < 0.15 else g for g in base]
+        grams[20:20] = base[:2] * (line % 5 == 0)  # some n-grams come twice in a line
+        places = [5 * k + (line % 4 == 1) * (k > line % 20) for k in range(len(grams))]  # words put in on the way
+        n = 200 + line % 3
+        rows += [(g, bytes([line]), at, n, line, 0, 0, 0, 0) for g, at in zip(grams, places)]
+    schema = "gram long, digest binary, at int, n int, ord long, s0 long, s1 long, s2 long, s3 long"
+    found = _looking_back(spark.createDataFrame(rows, schema)).cache()
+    later = found.where("ord % 3 > 0")
+    pairs = [(r["ord"], r["earlier"]) for r in _meetings(later, found, 25).select("ord", "earlier").collect()]
+    by_gram: dict = {}
+    for g, _, at, n, line, *_ in rows:
+        by_gram.setdefault(g, []).append((line, at, n))
+    meetings = [
+        (x, y)
+        for same in by_gram.values()
+        for x, at, n in same
+        for y, other, m in same
+        if y < x and x % 3 > 0 and abs(at - other) <= min(n, m) // 25
+    ]
+    assert set(pairs) == set(meetings) and len(set(pairs)) > 300
+    assert len(pairs) < 2 * len(set(meetings)) < len(meetings) / 2
